@@ -40,10 +40,10 @@ CTE = {
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey)""",
     "conds": """conds(condition, base, seed, amp) AS (
   SELECT base, base, CAST(NULL AS BIGINT), amp FROM (VALUES ('T2', 2.5e0), ('POS', 1.9e0), ('T3', 1.8e0),
-    ('POS_TRANS', 1.7e0), ('T3_PLUS_POS', 1.5e0)) f(base, amp)
+    ('POS_TRANS', 1.7e0), ('T3_PLUS_POS', 1.5e0), ('N1', 2.45e0), ('N2', 2.1e0), ('REAL_BOUNDARY_SHUFFLED_LABEL', 2.0e0)) f(base, amp)
   UNION ALL
   SELECT base || '_s' || seed, base, CAST(seed AS BIGINT), amp
-  FROM (VALUES ('TS', 2.2e0), ('RB', 2.3e0), ('RND', 2.6e0)) c(base, amp), (VALUES (13), (21), (42), (87), (101)) s(seed))""",
+  FROM (VALUES ('TS', 2.2e0), ('RB', 2.3e0), ('RND', 2.6e0), ('NS', 2.35e0)) c(base, amp), (VALUES (13), (21), (42), (87), (101)) s(seed))""",
     "preds": f"""preds AS (
   SELECT condition, base, seed, entity_id, grp, subgrp, score AS y_true,
          score + ({h("condition", "entity_id")} / 4294967296.0e0 - 0.5e0) * amp AS y_pred

@@ -10,8 +10,11 @@ from spandoc.operators.ordered import cut_hot, neighbours
 from spandoc.schemas import DEFAULT_SCHEME
 
 # Amplitude of the keyed noise per base condition of the prediction fixture.
-FIXED_CONDITIONS = {"T2": 2.5, "POS": 1.9, "T3": 1.8, "POS_TRANS": 1.7, "T3_PLUS_POS": 1.5}
-CONTROL_CONDITIONS = {"TS": 2.2, "RB": 2.3, "RND": 2.6}
+FIXED_CONDITIONS = {
+    "T2": 2.5, "POS": 1.9, "T3": 1.8, "POS_TRANS": 1.7, "T3_PLUS_POS": 1.5,
+    "N1": 2.45, "N2": 2.1, "REAL_BOUNDARY_SHUFFLED_LABEL": 2.0,
+}
+CONTROL_CONDITIONS = {"TS": 2.2, "RB": 2.3, "RND": 2.6, "NS": 2.35}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
