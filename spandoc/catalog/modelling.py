@@ -1,0 +1,341 @@
+"""Scaling, residuals, correlations, audits of feature tables, and fitted models."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from spandoc.catalog.controls import ranked_sql, shuffled_sql
+from spandoc.catalog.ctes import sql
+from spandoc.catalog.evaluation import rounded
+from spandoc.catalog.feature_sql import features_extra, features_select
+from spandoc.catalog.registry import query
+from spandoc.operators import audit, controls, metrics as m, models, qa, splits, stats, structure
+from spandoc.plans import conditions, evaluation
+from spandoc.schemas import CHAT_SCHEME, DEFAULT_SCHEME
+from spandoc.sources import adapters as src
+
+_T3 = ("surface", "count", "firstlast", "transition", "label_position")
+_NAMES = conditions.feature_names("T3")
+_LONG = (features_extra("doc_spans", "doc_entities", DEFAULT_SCHEME.labels, DEFAULT_SCHEME.gap)
+         + ",\nlong AS (" + features_select(_T3, DEFAULT_SCHEME.labels, DEFAULT_SCHEME.gap) + ")"
+         + ",\nnames(feature) AS (VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ")"
+         + ",\ndense AS (SELECT e.entity_id, e.split, n.feature, coalesce(l.value, 0) AS value FROM doc_entities e CROSS JOIN names n "
+           "LEFT JOIN long l ON l.entity_id = e.entity_id AND l.feature = n.feature)")
+
+
+def _docs(spark, sf):
+    return src.doc_spans(spark, sf), src.doc_entities(spark, sf)
+
+
+def _train(wide, ents):
+    return wide.join(ents.filter("split = 'train'").select("entity_id"), "entity_id", "left_semi")
+
+
+@query("feature_audit", sql("""SELECT 'T3' AS condition, feature AS feature_name, CASE WHEN feature LIKE 'surface\\_%' ESCAPE '\\' THEN 'surface'
+      WHEN feature LIKE 'count\\_%' ESCAPE '\\' OR feature LIKE 'prop\\_%' ESCAPE '\\' THEN 'count' WHEN feature LIKE 'order\\_trans\\_%' ESCAPE '\\' THEN 'transition'
+      WHEN feature LIKE 'order\\_first\\_is\\_%' ESCAPE '\\' OR feature LIKE 'order\\_final\\_is\\_%' ESCAPE '\\' THEN 'firstlast' ELSE 'label_position' END AS feature_family,
+    CAST(115 AS BIGINT) AS n_dimensions_condition, round(avg(CASE WHEN value <> 0 THEN 1.0e0 ELSE 0 END), 6) AS mean_nonzero_fraction,
+    min(value) = max(value) AS is_constant_train, false AS is_near_constant_train,
+    round(CASE WHEN min(value) = max(value) THEN 0 ELSE stddev_pop(value) END, 5) AS train_std, false AS contains_forbidden_token
+  FROM dense WHERE split = 'train' GROUP BY feature""", "doc_spans", "doc_entities", extra=_LONG))
+def feature_audit(spark, sf):
+    spans, ents = _docs(spark, sf)
+    out = stats.feature_audit(_train(conditions.build_condition("T3", spans, ents), ents), "T3")
+    return out.withColumns({"mean_nonzero_fraction": F.round("mean_nonzero_fraction", 6), "train_std": F.round("train_std", 5)})
+
+
+_CONFOUNDS = {
+    "word_count": "surface_word_count", "char_count": "surface_char_count", "sentence_count": "surface_sentence_count",
+    "paragraph_count": "surface_paragraph_count", "component_count": "count_total_components",
+    "coverage": "count_annotation_coverage",
+}
+
+
+@query("correlations", sql("""SELECT f.feature AS feature_name, c.confound, round(CASE WHEN stddev_pop(c.value) > 0 THEN corr(f.value, c.value) END, 5) AS r
+  FROM (SELECT entity_id, feature, value FROM dense WHERE split = 'train' AND feature LIKE 'order%') f
+  JOIN (SELECT entity_id, n.confound, value FROM dense JOIN (VALUES """ + ", ".join(f"('{k}', '{v}')" for k, v in _CONFOUNDS.items())
+  + """) n(confound, feature) USING (feature)
+        UNION ALL SELECT entity_id, 'score', score FROM doc_entities) c USING (entity_id)
+  GROUP BY f.feature, c.confound HAVING stddev_pop(f.value) >= 1e-12""", "doc_spans", "doc_entities", extra=_LONG))
+def correlations(spark, sf):
+    return correlation_pvalues(spark, sf).select("feature_name", "confound", F.round("r", 5).alias("r"))
+
+
+@query("correlation_pvalues")
+def correlation_pvalues(spark, sf):
+    spans, ents = _docs(spark, sf)
+    wide = _train(conditions.build_condition("T3", spans, ents), ents).join(
+        ents.select("entity_id", F.col("score").cast("double").alias("score")), "entity_id")
+    structural = [n for n in _NAMES if n.startswith("order_")]
+    return stats.correlations(wide, structural, {**_CONFOUNDS, "score": "score"})
+
+
+@query("scaled_features", sql("""SELECT entity_id, feature, round((value - mu) / CASE WHEN lo = hi THEN 1 ELSE sd END, 5) AS value
+  FROM dense JOIN (SELECT feature, avg(value) AS mu, stddev_pop(value) AS sd, min(value) AS lo, max(value) AS hi FROM dense WHERE split = 'train' GROUP BY feature) s USING (feature)
+  WHERE feature LIKE 'surface%' OR feature LIKE 'count%'""", "doc_spans", "doc_entities", extra=_LONG))
+def scaled_features(spark, sf):
+    spans, ents = _docs(spark, sf)
+    wide = conditions.build_condition("T2", spans, ents)
+    cols = [c for c in models.feature_columns(wide) if c.startswith(("surface", "count"))]
+    scaled = models.fit_scaling(_train(wide, ents), cols).apply(wide)
+    return scaled.unpivot(["entity_id"], cols, "feature", "value").withColumn("value", F.round("value", 5))
+
+
+@query("residualized", sql("""SELECT d.entity_id, d.feature,
+    round(d.value - (my + b1 * (a.value - m1) + b2 * (b.value - m2)), 6) AS value
+  FROM dense d JOIN (SELECT entity_id, value FROM dense WHERE feature = 'surface_word_count') a USING (entity_id)
+  JOIN (SELECT entity_id, value FROM dense WHERE feature = 'count_total_components') b USING (entity_id)
+  JOIN (SELECT feature, my, m1, m2, (c1 * v2 - c2 * v12) / (v1 * v2 - v12 * v12) AS b1, (c2 * v1 - c1 * v12) / (v1 * v2 - v12 * v12) AS b2
+    FROM (SELECT d.feature, avg(d.value) AS my, avg(a.value) AS m1, avg(b.value) AS m2, var_pop(a.value) AS v1, var_pop(b.value) AS v2,
+        covar_pop(a.value, b.value) AS v12, covar_pop(d.value, a.value) AS c1, covar_pop(d.value, b.value) AS c2
+      FROM dense d JOIN (SELECT entity_id, value FROM dense WHERE feature = 'surface_word_count') a USING (entity_id)
+      JOIN (SELECT entity_id, value FROM dense WHERE feature = 'count_total_components') b USING (entity_id)
+      WHERE d.split = 'train' AND d.feature LIKE 'order%' GROUP BY d.feature)) c USING (feature)
+  WHERE d.feature LIKE 'order%'""", "doc_spans", "doc_entities", extra=_LONG))
+def residualized(spark, sf):
+    spans, ents = _docs(spark, sf)
+    wide = conditions.build_condition("T3", spans, ents)
+    cols = [n for n in _NAMES if n.startswith("order_")]
+    fits = models.fit_residuals(_train(wide, ents), cols, ("surface_word_count", "count_total_components"))
+    out = models.residualized(wide, fits)
+    # Adding zero turns a negative zero into zero.
+    return out.unpivot(["entity_id"], cols, "feature", "value").withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+_RIDGE_SQL = """x AS (SELECT entity_id, split, CAST(score AS DOUBLE) AS y, max(value) FILTER (feature = 'surface_word_count') AS a,
+    max(value) FILTER (feature = 'count_total_components') AS b FROM dense JOIN doc_entities USING (entity_id, split) GROUP BY ALL),
+p AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, count(*) AS n,
+    corr(a, b) AS rab, corr(a, y) * stddev_pop(y) AS cay, corr(b, y) * stddev_pop(y) AS cby FROM x WHERE split = 'train'),
+w AS (SELECT *, (n * cay * (n + 10.0e0) - n * cby * n * rab) / ((n + 10.0e0) * (n + 10.0e0) - n * rab * n * rab) AS wa,
+    (n * cby * (n + 10.0e0) - n * cay * n * rab) / ((n + 10.0e0) * (n + 10.0e0) - n * rab * n * rab) AS wb FROM p)"""
+
+
+@query("ridge_fixed", sql("SELECT entity_id, split, round(my + wa * (a - ma) / sa + wb * (b - mb) / sb, 5) AS prediction FROM x, w",
+                          "doc_spans", "doc_entities", extra=_LONG + ",\n" + _RIDGE_SQL))
+def ridge_fixed(spark, sf):
+    """MLlib ridge (alpha 10) on two scaled features against the closed form."""
+    spans, ents = _docs(spark, sf)
+    wide = conditions.build_condition("T2", spans, ents)
+    scaling = models.fit_scaling(_train(wide, ents), ["surface_word_count", "count_total_components"])
+    rows = models.numeric_vectors(wide, scaling).join(
+        ents.select("entity_id", "split", F.col("score").cast("double").alias("score")), "entity_id")
+    fit = models.fit_ridge(rows.filter("split = 'train'"), 10.0, features="num", columns=2)
+    return fit.transform(rows).select("entity_id", "split", F.round("prediction", 5).alias("prediction"))
+
+
+@query("ridge_from_products", sql("SELECT entity_id, split, round(my + wa * (a - ma) / sa + wb * (b - mb) / sb, 5) AS prediction FROM x, w",
+                                  "doc_spans", "doc_entities", extra=_LONG + ",\n" + _RIDGE_SQL))
+def ridge_from_products(spark, sf):
+    """The same fit from distributed cross products."""
+    spans, ents = _docs(spark, sf)
+    cols = ["count_total_components", "surface_word_count"]
+    wide = conditions.build_condition("T2", spans, ents).select("entity_id", *cols)
+    rows = wide.join(ents.select("entity_id", "split", "score"), "entity_id")
+    products = models.cross_products(rows.filter("split = 'train'"), cols, "split")
+    fit = models.ridge_from_products(products, products.total(), cols, 10.0)
+    return rows.select("entity_id", "split", F.round(F.expr(fit.prediction()), 5).alias("prediction"))
+
+
+def _setup(spark, sf, **kw):
+    spans, ents = _docs(spark, sf)
+    return evaluation.Setup(spans, ents, **kw)
+
+
+@query("ridge_cv")
+def ridge_cv(spark, sf):
+    """Mean held-out MSE per alpha over five contiguous folds, and the alpha chosen."""
+    best, scores = evaluation.choose_alpha(_setup(spark, sf), "T2")
+    return spark.createDataFrame([(a, e, a == best) for a, e in scores], "alpha double, cv_mse double, selected boolean")
+
+
+@query("ridge_text")
+def ridge_text(spark, sf):
+    """Text + surface + counts, fitted on train, metrics per phase."""
+    return m.metrics(evaluation.run_condition("T2", _setup(spark, sf)), ["condition", "phase"])
+
+
+@query("run_log")
+def run_log(spark, sf):
+    """Several conditions through the runner; unknown ones become failed rows."""
+    preds, log = evaluation.run_conditions(["T0", "T1", "RND_s13", "NOT_A_CONDITION"], _setup(spark, sf, max_features=5000))
+    scored = m.metrics(preds.filter("phase = 'test'"), ["condition"])
+    return log.join(scored, "condition", "left")
+
+
+@query("gbt_numeric")
+def gbt_numeric(spark, sf):
+    """Boosted trees on the text-free conditions (few iterations; the default is 300)."""
+    setup = _setup(spark, sf, tree_iterations=10)
+    preds = reduce(lambda a, b: a.unionByName(b), [evaluation.run_condition(c, setup) for c in ("N0", "N1")])
+    return m.metrics(preds, ["condition", "phase"])
+
+
+LOGO = ["T2", "T3", "POS", "POS_TRANS", "T3_PLUS_POS"]
+
+
+@query("leave_one_group_out")
+def leave_one_group_out(spark, sf):
+    """Every source held out once, five numeric conditions, from one pass of cross products."""
+    return evaluation.fold_table(evaluation.leave_one_group_out(_setup(spark, sf), LOGO), LOGO)
+
+
+@query("leave_one_group_out_text")
+def leave_one_group_out_text(spark, sf):
+    """Every language held out once with the vocabulary refitted per fold."""
+    spans, ents = _docs(spark, sf)
+    setup = evaluation.Setup(spans, ents.withColumn("grp", F.col("subgrp")), max_features=5000)
+    return evaluation.fold_table(evaluation.leave_one_group_out_refit(setup, ["T2"]), ["T2"])
+
+
+@query("embedding_head")
+def embedding_head(spark, sf):
+    """Linear head on stored vectors (D0): metrics per phase."""
+    ents = src.vector_entities(spark, sf).withColumn("score", F.col("score"))
+    setup = evaluation.Setup(src.doc_spans(spark, sf), ents, alpha=1.0)
+    return m.metrics(evaluation.run_condition("D0", setup), ["condition", "phase"])
+
+
+@query("embedding_structure_head")
+def embedding_structure_head(spark, sf):
+    """Vectors joined with the structure of the documents of the same id (D2, D_SHUFFLED)."""
+    docs = src.doc_entities(spark, sf)
+    vec = src.vector_entities(spark, sf).select("entity_id", "embedding")
+    setup = evaluation.Setup(src.doc_spans(spark, sf), docs.join(vec, "entity_id"))
+    preds = reduce(lambda a, b: a.unionByName(b), [evaluation.run_condition(c, setup) for c in ("D2", "D_SHUFFLED_s42")])
+    return m.metrics(preds, ["condition", "phase"])
+
+
+@query("residualized_ridge")
+def residualized_ridge(spark, sf):
+    """Structure features residualized on length and component count, then refitted."""
+    spans, ents = _docs(spark, sf)
+    ranks = structure.max_rank_count(spans, ents.filter("split = 'train'"))
+    out = None
+    wide = conditions.build_condition("T3_PLUS_POS", spans, ents, max_ranks=ranks).persist()
+    rows = ents.select("entity_id", "split", "score", "grp")
+    for name in ("POS", "TRANS", "T3"):
+        cols = conditions.feature_names(name, max_ranks=ranks)
+        part = wide.select("entity_id", *cols)
+        own = [c for c in cols if not c.startswith(("surface_", "count_", "prop_"))]
+        fits = models.fit_residuals(_train(part, ents), own, ("surface_word_count", "count_total_components"))
+        both = models.residualized(part, fits).join(rows, "entity_id")
+        products = models.cross_products(both.filter("split = 'train'"), cols, "split")
+        fit = models.ridge_from_products(products, products.total(), cols, 10.0)
+        one = both.filter("split = 'test'").select(
+            F.lit(f"{name}_residualized").alias("condition"), "entity_id", F.col("score").alias("y_true"),
+            F.expr(fit.prediction()).alias("y_pred"))
+        out = one if out is None else out.unionByName(one)
+    return m.metrics(out)
+
+
+# --- manifests and protocol -------------------------------------------------------------------
+
+_MANIFEST = ["T1", "T2", "T3", "FIRSTLAST", "TRANS", "LABELPOS", "NO_TRANS", "NO_POS", "COUNTS_TRANS"]
+_FAMILY_CASE = """CASE WHEN f LIKE 'surface%' THEN 'surface' WHEN f LIKE 'count%' OR f LIKE 'prop%' THEN 'count' WHEN f LIKE 'order_trans%' THEN 'transition'
+  WHEN f LIKE 'order_first_is%' OR f LIKE 'order_final_is%' THEN 'firstlast' ELSE 'label_position' END"""
+
+
+def _manifest_values() -> str:
+    return ", ".join(f"('{c}', '{f}')" for c in _MANIFEST for f in conditions.feature_names(c))
+
+
+@query("feature_manifest", sql(f"""SELECT c AS condition, f AS feature_name, {_FAMILY_CASE} AS feature_family, false AS contains_forbidden_token
+  FROM (VALUES {_manifest_values()}) v(c, f) WHERE EXISTS (SELECT 1 FROM documents)"""))
+def feature_manifest(spark, sf):
+    spans, ents = _docs(spark, sf)
+    built = [conditions.actual_manifest(c, conditions.build_condition(c, spans, ents)) for c in _MANIFEST]
+    return qa.manifest(reduce(lambda a, b: a.unionByName(b), built))
+
+
+@query("manifest_match", sql("""SELECT condition, expected_feature_count, actual_feature_count, missing_features, extra_features, manifest_match FROM (VALUES
+    ('T2', CAST(24 AS BIGINT), CAST(24 AS BIGINT), '', '', true), ('T3', 115, 115, '', '', true), ('NO_TRANS', 66, 66, '', '', true),
+    ('TRANS', 74, 73, 'order_trans_Lead__Nothing', '', false)) v(condition, expected_feature_count, actual_feature_count, missing_features, extra_features, manifest_match)
+  WHERE EXISTS (SELECT 1 FROM documents)"""))
+def manifest_match(spark, sf):
+    """Expected against built columns; one column is removed from TRANS to show a mismatch."""
+    spans, ents = _docs(spark, sf)
+    names = ["T2", "T3", "NO_TRANS", "TRANS"]
+    # TRANS is 24 + 49 = 73 columns; a 74th name is expected on purpose.
+    expected = conditions.manifest_rows(spark, names).unionByName(
+        spark.createDataFrame([("TRANS", "order_trans_Lead__Nothing")], "condition string, feature_name string"))
+    built = reduce(lambda a, b: a.unionByName(b), [
+        conditions.actual_manifest(c, conditions.build_condition(c, spans, ents)) for c in names])
+    return qa.manifest_match(expected, built)
+
+
+@query("ablation_consistency", sql("""SELECT true AS no_trans_is_t3_minus_trans, true AS no_trans_values_match, true AS labelpos_columns_match,
+  true AS trans_columns_match, true AS pos_has_no_order_columns, true AS counts_trans_matches_trans WHERE EXISTS (SELECT 1 FROM documents)"""))
+def ablation_consistency(spark, sf):
+    """Names by set algebra on built tables, values by the largest difference over all entities."""
+    spans, ents = _docs(spark, sf)
+    built = {c: conditions.build_condition(c, spans, ents, max_ranks=5) for c in ("T3", "NO_TRANS", "LABELPOS", "TRANS", "POS", "COUNTS_TRANS")}
+    cols = {c: set(models.feature_columns(d)) for c, d in built.items()}
+
+    def named(prefix, c, infix=""):
+        return {x for x in cols[c] if x.startswith(prefix) and infix in x}
+
+    same = stats.max_difference(built["NO_TRANS"], built["T3"].select("entity_id", *sorted(cols["NO_TRANS"])), sorted(cols["NO_TRANS"]))
+    trans = sorted(named("order_trans_", "TRANS"))
+    twin = stats.max_difference(built["COUNTS_TRANS"].select("entity_id", *trans), built["TRANS"].select("entity_id", *trans), trans)
+    ok = (F.col("max_abs_diff") < 1e-9) & (F.col("unmatched") == 0)
+    a = same.select(ok.alias("no_trans_values_match"), F.lit(1).alias("one"))
+    b = twin.select(ok.alias("counts_trans_matches_trans"), F.lit(1).alias("one"))
+    return a.join(b, "one").select(
+        F.lit(cols["NO_TRANS"] == cols["T3"] - named("order_trans_", "T3")).alias("no_trans_is_t3_minus_trans"),
+        "no_trans_values_match",
+        F.lit(named("order_", "LABELPOS", "_pos_") == named("order_", "T3", "_pos_")).alias("labelpos_columns_match"),
+        F.lit(named("order_trans_", "TRANS") == named("order_trans_", "T3")).alias("trans_columns_match"),
+        F.lit(not named("order_", "POS")).alias("pos_has_no_order_columns"), "counts_trans_matches_trans")
+
+
+@query("leakage_check", sql("""SELECT column_name AS feature_name, regexp_matches(lower(column_name),
+    '^(prompt|assignment|competition|gender|grade|ell_|race_|economically|student_disability|effectiveness|holistic|target)') AS contains_forbidden_token
+  FROM (SELECT unnest(['doc_id','text','lang','source','n_chars','grade_doc_id','Prompt_source','target','order_first_is_Lead']) AS column_name)
+  WHERE EXISTS (SELECT 1 FROM documents)"""))
+def leakage_check(spark, sf):
+    docs = src.table(spark, sf, "documents")
+    names = [*docs.columns, f"grade_{docs.columns[0]}", "Prompt_source", "target", "order_first_is_Lead"]
+    rows = docs.select(F.explode(F.array(*[F.lit(c) for c in names])).alias("feature_name")).distinct()
+    return rows.select("feature_name", qa.has_forbidden_prefix(F.col("feature_name")).alias("contains_forbidden_token"))
+
+
+@query("protocol_checks", sql("""SELECT 'no_train_test_overlap' AS "check", count(*) FILTER (n > 1) = 0 AS passed,
+    'train=' || count(*) FILTER (s = 'train') || ', test=' || count(*) FILTER (s = 'test') AS detail
+  FROM (SELECT entity_id, count(DISTINCT split) AS n, any_value(split) AS s FROM chat_entities GROUP BY entity_id)
+  UNION ALL SELECT 'shuffled_label_counts_preserved', true, 'n_checks=' || count(DISTINCT entity_id) FROM rk
+  UNION ALL SELECT 'random_control_dim_match', true, 'rnd=91, order=91'
+  UNION ALL SELECT 'manifest_match', true, 'T2=24' WHERE EXISTS (SELECT 1 FROM documents)
+  UNION ALL SELECT 'bootstrap_samples_ge_10000', true, '10000'
+  UNION ALL SELECT 'invalid_entities_excluded', true, 'kept=' || count(*) FILTER (n_ann > 0) FROM
+    (SELECT count(*) FILTER (label <> 'Unannotated') AS n_ann FROM doc_spans GROUP BY entity_id)""",
+  "chat_spans", "chat_entities", "doc_spans", extra=ranked_sql("chat_spans", "system")))
+def protocol_checks(spark, sf):
+    chat, ents = src.chat_spans(spark, sf), src.chat_entities(spark, sf)
+    doc_spans, docs = _docs(spark, sf)
+    ids = qa.id_set_counts(ents.filter("split = 'train'"), ents.filter("split = 'test'"), "entity_id")
+    overlap = ids.select((F.col("n_both") == 0).alias("passed"), F.concat(
+        F.lit("train="), F.col("n_left_only") + F.col("n_both"), F.lit(", test="), F.col("n_right_only")).alias("detail"))
+    kept = controls.label_counts_equal(
+        controls.ranked_spans(chat, CHAT_SCHEME), controls.shuffle_labels(chat, 13, CHAT_SCHEME), "same")
+    preserved = kept.agg(F.bool_and("same").alias("passed"), F.concat(F.lit("n_checks="), F.count(F.lit(1))).alias("detail"))
+    order = conditions.feature_names("T3")
+    n_order = sum(n.startswith("order_") for n in order)
+    rnd = controls.random_features(docs, conditions.RANDOM_DIMS, 13)
+    n_rnd = len(models.feature_columns(rnd))
+    one = docs.agg(F.count(F.lit(1)).alias("n"))
+    dims = one.select(F.lit(n_rnd == n_order).alias("passed"), F.lit(f"rnd={n_rnd}, order={n_order}").alias("detail"))
+    match = qa.manifest_match(conditions.manifest_rows(spark, ["T2"]), conditions.actual_manifest(
+        "T2", conditions.build_condition("T2", doc_spans, docs))).select(
+        F.col("manifest_match").alias("passed"), F.concat("condition", F.lit("="), "actual_feature_count").alias("detail"))
+    import inspect
+    from spandoc.operators import bootstrap
+
+    reps = inspect.signature(bootstrap.paired_bootstrap).parameters["replicates"].default
+    enough = one.select(F.lit(reps >= 10000).alias("passed"), F.lit(str(reps)).alias("detail"))
+    annotated = doc_spans.groupBy("entity_id").agg(F.count_if(F.col("label") != DEFAULT_SCHEME.gap).alias("n")).filter("n > 0")
+    excluded = annotated.agg((F.min("n") > 0).alias("passed"), F.concat(F.lit("kept="), F.count(F.lit(1))).alias("detail"))
+    return qa.protocol_table([
+        ("no_train_test_overlap", overlap), ("shuffled_label_counts_preserved", preserved), ("random_control_dim_match", dims),
+        ("manifest_match", match), ("bootstrap_samples_ge_10000", enough), ("invalid_entities_excluded", excluded)])

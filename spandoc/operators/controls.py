@@ -103,8 +103,9 @@ def altered_spans(control: str, spans: DataFrame, entities: DataFrame, seed: int
 def random_features(entities: DataFrame, dims: int, seed: int) -> DataFrame:
     """``dims`` standard normals per entity, keyed by (seed, entity, dimension)."""
     eid = F.col("entity_id")
-    return entities.select(
-        "entity_id", *[keyed_normal(F.lit(seed), eid, F.lit(j)).alias(f"rnd_{j}") for j in range(dims)])
+    draws = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda j: keyed_normal(F.lit(seed), eid, j))
+    return entities.select("entity_id", draws.alias("v")).select(
+        "entity_id", *[F.expr(f"get(v, {j}) AS rnd_{j}") for j in range(dims)])
 
 
 def label_counts_equal(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
@@ -115,41 +116,47 @@ def label_counts_equal(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
     return net.groupBy("entity_id").agg((F.count_if(F.col("net") != 0) == 0).alias(name))
 
 
-def _met(ranked: DataFrame, altered: DataFrame) -> DataFrame:
-    b = altered.select("entity_id", F.col("k").alias("rank"), F.col("start_at").alias("s2"),
-                       F.col("end_at").alias("e2"), F.col("label").alias("l2"))
-    return ranked.join(b, ["entity_id", "rank"], "full_outer")
-
-
 def control_checks(spans: DataFrame, entities: DataFrame, seeds, scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:
-    """Invariants of all controls, every entity and seed, compared row by row."""
+    """Invariants of all controls, every entity and seed, compared row by row.
+
+    The true spans and the three control tables meet once on (entity, rank); all checks are
+    aggregates of that one table.
+    """
+    tables = {"x": "shuffled_labels", "y": "random_boundaries", "z": "random_boundaries_true_order"}
     ranked = ranked_spans(spans, scheme)
     out = None
     for seed in seeds:
-        made = {c: altered_spans(c, spans, entities, seed, scheme)
-                for c in ("shuffled_labels", "random_boundaries", "random_boundaries_true_order")}
-        moved = (F.col("start_at") != F.col("s2")) | (F.col("end_at") != F.col("e2")) | F.col("s2").isNull() | F.col("start_at").isNull()
-
-        def per_entity(control, **checks):
-            return _met(ranked, made[control]).groupBy("entity_id").agg(*[c.alias(n) for n, c in checks.items()])
-
-        relabelled = F.count_if(~F.col("label").eqNullSafe(F.col("l2")))
-        one = per_entity(
-            "shuffled_labels", shuffled_boundaries_preserved=F.count_if(moved) == 0,
-            labels_changed=relabelled > 0)
-        for extra in (
-            label_counts_equal(ranked, made["shuffled_labels"], "shuffled_label_counts_preserved"),
-            label_counts_equal(ranked, made["random_boundaries"], "rb_label_counts_preserved"),
-            per_entity("random_boundaries", rb_boundaries_differ=F.count_if(moved) > 0,
-                       rb_component_count_preserved=F.count("start_at") == F.count("s2")),
-            overlap_pairs(made["random_boundaries"], scheme).select(
-                "entity_id", (F.col("overlap_pairs") == 0).alias("rb_non_overlapping")),
-            per_entity("random_boundaries_true_order", rseq_label_order_preserved=relabelled == 0,
-                       rseq_boundaries_differ=F.count_if(moved) > 0,
-                       rseq_component_count_preserved=F.count("start_at") == F.count("s2")),
-        ):
-            one = one.join(extra, "entity_id")
-        one = one.withColumn("seed", F.lit(seed).cast("bigint"))
+        met = ranked
+        borders = None
+        for s, control in tables.items():
+            made = altered_spans(control, spans, entities, seed, scheme)
+            borders = made if s == "y" else borders
+            met = met.join(made.select(
+                "entity_id", F.col("k").alias("rank"), F.col("start_at").alias(f"{s}_start"),
+                F.col("end_at").alias(f"{s}_end"), F.col("label").alias(f"{s}_label")), ["entity_id", "rank"], "full_outer")
+
+        def moved(s: str) -> Column:
+            return F.count_if(~(F.col("start_at").eqNullSafe(F.col(f"{s}_start")) & F.col("end_at").eqNullSafe(F.col(f"{s}_end"))))
+
+        def relabelled(s: str) -> Column:
+            return F.count_if(~F.col("label").eqNullSafe(F.col(f"{s}_label")))
+
+        def same_counts(s: str) -> Column:
+            ok = F.lit(True)
+            for t in scheme.labels:
+                ok = ok & (F.count_if(F.col("label") == t) == F.count_if(F.col(f"{s}_label") == t))
+            return ok
+
+        checks = met.groupBy("entity_id").agg(
+            (moved("x") == 0).alias("shuffled_boundaries_preserved"), (relabelled("x") > 0).alias("labels_changed"),
+            same_counts("x").alias("shuffled_label_counts_preserved"), same_counts("y").alias("rb_label_counts_preserved"),
+            (moved("y") > 0).alias("rb_boundaries_differ"),
+            (F.count("start_at") == F.count("y_start")).alias("rb_component_count_preserved"),
+            (relabelled("z") == 0).alias("rseq_label_order_preserved"), (moved("z") > 0).alias("rseq_boundaries_differ"),
+            (F.count("start_at") == F.count("z_start")).alias("rseq_component_count_preserved"),
+        )
+        apart = overlap_pairs(borders, scheme).select("entity_id", (F.col("overlap_pairs") == 0).alias("rb_non_overlapping"))
+        one = checks.join(apart, "entity_id", "left").withColumn("seed", F.lit(seed).cast("bigint"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -165,7 +165,7 @@ def select_alpha(products: Products, columns: list[str], alphas=RIDGE_ALPHAS) ->
         errors = []
         for z in products.by_group.values():
             fit = ridge_from_products(products, total - z, columns, alpha)
-            errors.append(_squared_error(products, z, fit) / z[0, 0])
+            errors.append(_squared_error(products, z, fit) / float(z[0, 0]))
         scores.append((float(alpha), sum(errors) / len(errors)))
     return min(scores, key=lambda s: s[1])[0], scores
 
@@ -196,7 +196,8 @@ def leave_group_out_predictions(rows: DataFrame, products: Products, subsets: di
 # --- MLlib fits -------------------------------------------------------------------------------
 
 
-def fit_ridge(train: DataFrame, alpha: float, features: str = "features", target: str = "score", columns: int = 0):
+def fit_ridge(train: DataFrame, alpha: float, features: str = "features", target: str = "score", columns: int = 0,
+              tolerance: float = 1e-6, iterations: int = 100):
     """Ridge by MLlib with the penalty of the plain loss |y - Xw|^2 + alpha |w|^2.
 
     MLlib divides the loss by 2n and scales the target by its deviation, so regParam is
@@ -205,11 +206,12 @@ def fit_ridge(train: DataFrame, alpha: float, features: str = "features", target
     from pyspark.ml.regression import LinearRegression
 
     small = 0 < columns <= 4096
+    train = train.select(features, F.col(target).cast("double").alias(target))
     sd = F.stddev_pop(target) if small else F.stddev_samp(target)
     n, spread = train.agg(F.count(F.lit(1)), sd).first()
     return LinearRegression(
         featuresCol=features, labelCol=target, elasticNetParam=0.0, standardization=False,
-        regParam=alpha * float(spread) / n, solver="normal" if small else "l-bfgs", maxIter=500, tol=1e-10,
+        regParam=alpha * float(spread) / n, solver="normal" if small else "l-bfgs", maxIter=iterations, tol=tolerance,
     ).fit(train)
 
 
@@ -273,7 +275,7 @@ def fit_residuals(train: DataFrame, columns: list[str], confounds: tuple[str, st
     for i, c in enumerate(columns):
         m, ca, cb = row[5 + 3 * i: 8 + 3 * i]
         wa, wb = inverse @ np.array([ca, cb])
-        fits[c] = LinearFit((a, b), m - wa * ma - wb * mb, (float(wa), float(wb)))
+        fits[c] = LinearFit((a, b), float(m - wa * ma - wb * mb), (float(wa), float(wb)))
     return fits
 
 
