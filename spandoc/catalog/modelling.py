@@ -13,6 +13,7 @@ from spandoc.catalog.feature_sql import features_extra, features_select
 from spandoc.catalog.registry import query
 from spandoc.operators import audit, controls, metrics as m, models, qa, splits, stats, structure
 from spandoc.plans import conditions, evaluation
+from spandoc.plans.storage import cut_lineage
 from spandoc.schemas import CHAT_SCHEME, DEFAULT_SCHEME
 from spandoc.sources import adapters as src
 
@@ -213,7 +214,7 @@ def residualized_ridge(spark, sf):
     spans, ents = _docs(spark, sf)
     ranks = structure.max_rank_count(spans, ents.filter("split = 'train'"))
     out = None
-    wide = conditions.build_condition("T3_PLUS_POS", spans, ents, max_ranks=ranks).persist()
+    wide = cut_lineage(conditions.build_condition("T3_PLUS_POS", spans, ents, max_ranks=ranks))
     rows = ents.select("entity_id", "split", "score", "grp")
     for name in ("POS", "TRANS", "T3"):
         cols = conditions.feature_names(name, max_ranks=ranks)

@@ -196,23 +196,75 @@ def leave_group_out_predictions(rows: DataFrame, products: Products, subsets: di
 # --- MLlib fits -------------------------------------------------------------------------------
 
 
-def fit_ridge(train: DataFrame, alpha: float, features: str = "features", target: str = "score", columns: int = 0,
-              tolerance: float = 1e-6, iterations: int = 100):
-    """Ridge by MLlib with the penalty of the plain loss |y - Xw|^2 + alpha |w|^2.
+# MLlib's closed-form solver takes this many columns.
+CLOSED_FORM_COLUMNS = 4096
+
+
+@dataclass(frozen=True)
+class RidgeModel:
+    """Fitted MLlib model; ``constant`` tells whether it expects a trailing column of ones."""
+
+    model: object
+    features: str
+    constant: bool
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        if not self.constant:
+            return self.model.transform(rows)
+        from pyspark.ml.feature import VectorAssembler
 
-    MLlib divides the loss by 2n and scales the target by its deviation, so regParam is
-    alpha * sd(y) / n (population deviation for the normal solver, sample for l-bfgs).
+        ones = VectorAssembler(inputCols=[self.features, "__one"], outputCol="__x")
+        return self.model.transform(ones.transform(rows.withColumn("__one", F.lit(1.0)))).drop("__one", "__x")
+
+
+def fit_ridge(train: DataFrame, alpha: float, features: str = "features", target: str = "score", columns: int = 0,
+              tolerance: float = 1e-6, iterations: int = 200) -> RidgeModel:
+    """Minimize |y - b - Xw|^2 + alpha |w|^2 with MLlib.
+
+    Few columns: the closed form.  MLlib divides the loss by 2n and scales the target by its
+    population deviation, so regParam is alpha * sd(y) / n.
+
+    Many columns: MLlib iterates on deviation-scaled columns, where the plain penalty of rare
+    terms is enormous and hundreds of passes do not converge.  The same optimum is the least
+    squares fit of the data plus one row sqrt(alpha) * e_j with target 0 per column, which
+    MLlib's scaling conditions well (tens of passes).  The intercept is a column of ones
+    without a penalty row, and half of the rows (by key) enter with all signs flipped, which
+    leaves every squared error as it is but centres the columns.
     """
     from pyspark.ml.regression import LinearRegression
 
-    small = 0 < columns <= 4096
-    train = train.select(features, F.col(target).cast("double").alias(target))
-    sd = F.stddev_pop(target) if small else F.stddev_samp(target)
-    n, spread = train.agg(F.count(F.lit(1)), sd).first()
-    return LinearRegression(
-        featuresCol=features, labelCol=target, elasticNetParam=0.0, standardization=False,
-        regParam=alpha * float(spread) / n, solver="normal" if small else "l-bfgs", maxIter=iterations, tol=tolerance,
-    ).fit(train)
+    if 0 < columns <= CLOSED_FORM_COLUMNS:
+        rows = train.select(features, F.col(target).cast("double").alias(target))
+        n, spread = rows.agg(F.count(F.lit(1)), F.stddev_pop(target)).first()
+        fitted = LinearRegression(
+            featuresCol=features, labelCol=target, elasticNetParam=0.0, standardization=False,
+            regParam=alpha * float(spread) / n, solver="normal").fit(rows)
+        return RidgeModel(fitted, features, False)
+
+    from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, VectorAssembler
+    from pyspark.ml.linalg import Vectors
+
+    from spandoc.plans.storage import cut_lineage
+
+    spark = train.sparkSession
+    even = F.xxhash64("entity_id") % 2 == 0
+    ones = VectorAssembler(inputCols=[features, "__one"], outputCol="x")
+    rows = ones.transform(train.withColumn("__one", F.lit(1.0))).select(
+        "x", F.col(target).cast("double").alias("y"), even.alias("even"))
+    flip = ElementwiseProduct(scalingVec=Vectors.dense([-1.0] * (columns + 1)), inputCol="x", outputCol="fx")
+    flipped = flip.transform(rows.filter(~F.col("even"))).select(F.col("fx").alias("x"), (-F.col("y")).alias("y"))
+    unit = spark.range(columns).select(F.col("id").cast("double").alias("j"), F.lit(0.0).alias("zero"))
+    unit = OneHotEncoder(inputCols=["j"], outputCols=["e"], dropLast=False).fit(unit).transform(unit)
+    root = ElementwiseProduct(scalingVec=Vectors.dense([alpha ** 0.5] * columns), inputCol="e", outputCol="re")
+    penalty = VectorAssembler(inputCols=["re", "zero"], outputCol="x").transform(root.transform(unit)).select(
+        "x", F.lit(0.0).alias("y"))
+    data = rows.filter("even").select("x", "y").unionByName(flipped).unionByName(penalty)
+    # Every pass ships the lineage of its input to every task; a written copy keeps that small.
+    written = cut_lineage(data)
+    fitted = LinearRegression(
+        featuresCol="x", labelCol="y", fitIntercept=False, regParam=0.0, solver="l-bfgs", maxIter=iterations,
+        tol=tolerance).fit(written.select("x", "y"))
+    return RidgeModel(fitted.setFeaturesCol("__x"), features, True)
 
 
 def numeric_vectors(wide: DataFrame, scaling: Scaling, keep: tuple[str, ...] = ("entity_id",)) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from spandoc.operators import models, splits, structure
 from spandoc.operators.tfidf import MAX_FEATURES, MIN_DF
 from spandoc.plans import conditions
+from spandoc.plans.storage import cut_lineage
 from spandoc.schemas import DEFAULT_SCHEME, RIDGE_ALPHAS, LabelScheme
 
 PREDICTION_COLUMNS = ("condition", "base", "seed", "phase", "entity_id", "grp", "subgrp", "y_true", "y_pred")
@@ -79,7 +80,7 @@ def run_condition(name: str, setup: Setup) -> DataFrame:
     """Fit on train rows, predict every row: one long prediction table with a phase column."""
     cond = conditions.resolve(name)
     vectors, size = condition_vectors(name, setup)
-    vectors = vectors.persist()
+    vectors = cut_lineage(vectors)
     train = vectors.filter("split = 'train'")
     if cond.model == "trees":
         model = models.fit_trees(train, iterations=setup.tree_iterations)
@@ -128,7 +129,7 @@ def choose_alpha(setup: Setup, condition: str = "T2", folds: int = 5, alphas=RID
 def leave_one_group_out(setup: Setup, names: list[str], group: str = "grp", widest: str = "T3_PLUS_POS") -> DataFrame:
     """Held-out-group predictions of numeric conditions that are column subsets of ``widest``."""
     wide = conditions.build_condition(widest, setup.spans, setup.entities, setup.scheme, setup.ranks())
-    rows = wide.join(setup.entities.select("entity_id", "score", group), "entity_id").persist()
+    rows = cut_lineage(wide.join(setup.entities.select("entity_id", "score", group), "entity_id"))
     cols = models.feature_columns(wide)
     subsets = {n: conditions.feature_names(n, setup.scheme, setup.ranks()) for n in names}
     missing = {n: sorted(set(s) - set(cols)) for n, s in subsets.items() if set(s) - set(cols)}
