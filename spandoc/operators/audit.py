@@ -231,6 +231,7 @@ def group_inventory(entities: DataFrame, subgroups: list[str]) -> DataFrame:
             F.to_json(F.map_from_entries(F.array_sort(F.collect_list(
                 F.struct(F.col("score").cast("bigint").cast("string").alias("k"), F.col("n").alias("v"))))))
             .alias("score_distribution_json"))
+        .withColumnRenamed("grp", "__g")
     )
     grades = F.array_sort(F.collect_set("grade"))
     head = cells.groupBy("grp").agg(
@@ -241,7 +242,7 @@ def group_inventory(entities: DataFrame, subgroups: list[str]) -> DataFrame:
         F.min("score").alias("score_min"), F.max("score").alias("score_max"),
         joined_set(F.col("score").cast("bigint")).alias("unique_scores"),
     )
-    return head.join(by_score, head.grp.eqNullSafe(by_score.grp), "left").drop(by_score.grp)
+    return head.join(by_score, F.col("grp").eqNullSafe(F.col("__g")), "left").drop("__g")
 
 
 def structure_statistics(entities: DataFrame, spans: DataFrame, validation: DataFrame | None = None,
