@@ -12,7 +12,8 @@ from spandoc.operators.ordered import Ordered, cut_hot, neighbours
 from spandoc.schemas import DEFAULT_SCHEME, SPAN_ORDER, LabelScheme
 
 
-def with_next_spans(spans: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME, whole: bool = True) -> DataFrame:
+def with_next_spans(spans: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME, whole: bool = True,
+                    bounded: bool = False) -> DataFrame:
     """Spans with their neighbours.
 
     ``rank`` counts within the annotated (or within the gap) spans of the entity;
@@ -22,7 +23,7 @@ def with_next_spans(spans: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME, whol
     base = spans.select("entity_id", "k", "start_at", "end_at", "label").withColumn(
         "is_gap", F.col("label").eqNullSafe(scheme.gap)
     )
-    cut = cut_hot(base, "entity_id", F.col("start_at"))
+    cut = cut_hot(base, "entity_id", F.col("start_at"), bounded)
     return next_spans(cut, whole).finish()
 
 

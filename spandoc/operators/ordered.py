@@ -37,13 +37,18 @@ def hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_CONF, HOT_ROWS_DEFAULT))
 
 
-def cut_hot(df: DataFrame, entity: str, position: Column) -> Ordered:
+def cut_hot(df: DataFrame, entity: str, position: Column, bounded: bool = False) -> Ordered:
     """Find hot entities and number their chunks along ``position`` (any numeric column).
 
     One narrow pass with map-side aggregation decides; without a hot entity the plan of
     the caller stays a single window.  Chunks come from exact counts over equal-width
     cells of the position, so they are the same on every evaluation.
+
+    ``bounded`` skips the pass: the caller knows that no entity is long, because its spans lie
+    inside one text cell.
     """
+    if bounded:
+        return Ordered(df, entity, False)
     limit = hot_rows(df)
     pos = position.cast("double")
     stats = (

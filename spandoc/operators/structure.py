@@ -147,11 +147,13 @@ def structure_features(
     families: tuple[str, ...],
     scheme: LabelScheme = DEFAULT_SCHEME,
     max_ranks: int = 0,
+    bounded: bool = False,
 ) -> DataFrame:
     """Wide feature table, one row per entity, feature columns sorted by name.
 
     ``spans`` is a span table, or the output of ``with_next_spans``.  Entities without
-    spans get zeros.  ``surface`` needs a ``text`` column in ``entities``.
+    spans get zeros.  ``surface`` needs a ``text`` column in ``entities``.  ``bounded``: the
+    spans of an entity lie inside one text cell, so no entity needs the chunked order.
     """
     unknown = set(families) - set(FAMILIES)
     if unknown:
@@ -184,7 +186,7 @@ def structure_features(
     need = ["entity_id", "char_count", *(["text"] if "surface" in families else [])]
     base = entities.select(*need)
     if raw:
-        nxt = spans if "next_label" in spans.columns else with_next_spans(spans, scheme)
+        nxt = spans if "next_label" in spans.columns else with_next_spans(spans, scheme, bounded=bounded)
         agg = nxt.groupBy("entity_id").agg(*[F.expr(f"{c} AS {n}") for n, c in raw.items()])
         base = base.join(agg, "entity_id", "left")
     cols = {**{n: F.expr(f"{c} AS `{n}`") for n, c in final.items()},

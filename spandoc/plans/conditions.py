@@ -92,10 +92,12 @@ def build_condition(
         max_ranks = structure.max_rank_count(spans, entities.filter("split = 'train'"), scheme)
     altered = tuple(f for f in cond.families if f in ORDER) if cond.control else ()
     true = tuple(f for f in cond.families if f in structure.FAMILIES and f not in altered)
-    parts = [structure.structure_features(spans, entities, true, scheme, max_ranks or 0)]
+    # Entities that carry their text in a cell cannot have more spans than that cell has room for.
+    bounded = "text" in entities.columns
+    parts = [structure.structure_features(spans, entities, true, scheme, max_ranks or 0, bounded)]
     if altered:
-        fake = controls.altered_spans(cond.control, spans, entities, seed, scheme)
-        parts.append(structure.structure_features(fake, entities, altered, scheme))
+        fake = controls.altered_spans(cond.control, spans, entities, seed, scheme, bounded)
+        parts.append(structure.structure_features(fake, entities, altered, scheme, bounded=bounded))
     if "transition_from_lists" in wanted:
         parts.append(structure.transition_columns_from_lists(spans, entities, scheme))
     if "random" in wanted:

@@ -142,9 +142,9 @@ def doc_lines(spark: SparkSession, sf_dir: str, with_text: bool = False) -> Data
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("entity_id"), "text")
     lines = F.split("text", "\n")
     parts = docs.select("entity_id", F.length("text").cast("bigint").alias("doc_len"), lines.alias("lines"))
-    sized = parts.withColumn(
-        "offsets", running_offsets(F.transform("lines", lambda x: F.length(x) + 1))
-    )
+    # Lengths get a column of their own: the offsets read them once per block.
+    sized = parts.withColumn("lens", F.transform("lines", lambda x: F.length(x) + 1)).withColumn(
+        "offsets", running_offsets(F.col("lens")))
     pos = F.arrays_zip("lines", "offsets")
     rows = sized.select("entity_id", "doc_len", F.posexplode(pos).alias("k", "p")).filter(
         F.length("p.lines") > 0
