@@ -15,6 +15,8 @@ from spandoc.schemas import RIDGE_ALPHAS
 
 # groups x columns^2 doubles reach the driver; beyond this the per-fold MLlib fits are the way.
 MAX_PRODUCT_CELLS = 50_000_000
+# Coefficient tables up to this many doubles are broadcast; larger ones are joined by shuffle.
+BROADCAST_COEFFICIENTS = 4_000_000
 
 
 def feature_columns(wide: DataFrame) -> list[str]:
@@ -189,7 +191,9 @@ def leave_group_out_predictions(rows: DataFrame, products: Products, subsets: di
     x = F.expr("array(" + ", ".join(f"coalesce(cast(`{c}` AS DOUBLE), 0D)" for c in products.columns) + ") AS x")
     slim = rows.select("entity_id", F.col(group).cast("string").alias("g"), F.col(target).alias("y_true"), x)
     dot = F.expr("b0 + aggregate(zip_with(x, w, (a, b) -> a * b), 0D, (s, v) -> s + v)")
-    return slim.join(F.broadcast(coef), "g").select(
+    if len(table) * len(products.columns) <= BROADCAST_COEFFICIENTS:
+        coef = F.broadcast(coef)
+    return slim.join(coef, "g").select(
         "condition", F.col("g").alias("grp"), "entity_id", "y_true", dot.alias("y_pred"))
 
 

@@ -6,7 +6,7 @@ families costs one aggregation by entity, whatever the entity's length.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spandoc.functions.text import surface_columns
 from spandoc.operators.geometry import with_next_spans
@@ -207,9 +207,10 @@ def transitions(spans: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME) -> DataF
     """Share of each label bigram among the steps of an entity, long form (window variant)."""
     nxt = with_next_spans(spans.filter(F.col("label") != scheme.gap), scheme, whole=False)
     pairs = nxt.groupBy("entity_id", "label", "next_label").agg(F.count(F.lit(1)).alias("n"))
-    steps = nxt.groupBy("entity_id").agg((F.count(F.lit(1)) - 1).alias("steps"))
+    # An entity has at most labels^2 rows by now; the last span counts with a NULL next label.
+    steps = F.sum("n").over(Window.partitionBy("entity_id")) - 1
     known = F.col("label").isin(*scheme.labels) & F.col("next_label").isin(*scheme.labels)
-    return pairs.filter(known).join(steps, "entity_id").select(
+    return pairs.withColumn("steps", steps).filter(known).select(
         "entity_id", F.col("label").alias("from_label"), F.col("next_label").alias("to_label"),
         "n", (F.col("n") / F.col("steps")).alias("share"))
 
