@@ -13,3 +13,93 @@ repeated AS (
 SELECT d.doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE r.key IS NOT NULL AND r.keeper <> d.doc_id)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(d.line, chr(10) ORDER BY d.k) FILTER (WHERE r.key IS NULL OR r.keeper = d.doc_id), '')) AS kept_sha256
 FROM keyed d LEFT JOIN repeated r ON d.key = r.key GROUP BY d.doc_id"""
+
+_WORDS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+# Every window is compared as a word list; document windows exist for the lengths that items have.
+CONTAMINATION_SQL = rf"""
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, n, w[k:k + n - 1] AS piece FROM (
+    SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM items WHERE len(w) > 0)),
+docs AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM docs JOIN sizes ON len(w) >= n),
+hits AS (
+  SELECT p.doc_id, p.k, p.n, v.item_id FROM (SELECT doc_id, n, k, w[k:k + n - 1] AS piece FROM places) p
+  JOIN windows v ON p.n = v.n AND p.piece = v.piece),
+hit_words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM hits) GROUP BY doc_id),
+hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM docs d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)"""
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum([a * q.v[i] FOR a, i IN c.v])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+SHARDS_SQL = """
+WITH rows AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+steps AS (SELECT *, unnest(range(0, 61)) AS depth FROM rows),
+sums AS (
+  SELECT *, h >> (60 - depth) AS prefix, sum(n_bytes) OVER w AS total, count(*) OVER w AS n
+  FROM steps WINDOW w AS (PARTITION BY depth, h >> (60 - depth))),
+fit AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS r FROM sums
+  WHERE total <= 1048576 OR n = 1 OR depth = 60)
+SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth::INTEGER, '0') END AS shard, n_bytes,
+       total::BIGINT AS shard_bytes, n::BIGINT AS shard_rows, total <= 1048576 AS fits
+FROM fit WHERE r = 1"""
+
+
+def _secrets_sql() -> str:
+    from spandoc.llm import secret_scan as s
+
+    def quoted(p: str) -> str:
+        return "'" + p.replace("'", "''") + "'"
+
+    def found(pattern: str) -> str:
+        parts = rf"string_split(regexp_replace(t, {quoted(pattern)}, chr(1) || '\0' || chr(1), 'g'), chr(1))"
+        return f"SELECT doc_id, parts, unnest(range(2, len(parts), 2)) AS i FROM (SELECT doc_id, {parts} AS parts FROM texts)"
+
+    def spans(pattern: str, kind: int) -> str:
+        return (f"SELECT doc_id, {kind} AS kind, coalesce(list_sum([length(x) FOR x IN parts[1:i - 1]]), 0)::BIGINT AS a, "
+                f"length(parts[i]) AS n, parts[i] AS piece FROM ({found(pattern)})")
+
+    allowed = " OR ".join(f"regexp_matches(piece, {quoted(p)})" for p in s.ALLOWED)
+    w = s.WINDOW
+    return rf"""
+WITH texts AS (SELECT doc_id, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+base AS (
+  SELECT doc_id, kind, a, a + n AS z FROM ({spans(s.ASSIGN, 0)}) WHERE length(regexp_extract(piece, {quoted(s.ASSIGN)}, 2)) >= 6
+  UNION ALL SELECT doc_id, kind, a, a + n FROM ({spans(s.ACCESS, 1)})
+  UNION ALL SELECT doc_id, kind, a, a + n FROM ({spans(s.HEX, 2)})),
+runs AS (SELECT *, unnest(range(0, n - {w - 1})) AS off FROM ({spans(s.CANDIDATE, 3)}) WHERE NOT ({allowed})),
+high AS (
+  SELECT doc_id, a, min(a + off) AS lo, max(a + off + {w}) AS hi FROM runs
+  WHERE list_entropy(string_split(substr(piece, off + 1, {w}), ''))
+        >= CASE WHEN regexp_matches(piece, {quoted(s.HEX_CLASS)}) THEN {s.HEX_BITS} ELSE {s.OTHER_BITS} END
+  GROUP BY doc_id, a),
+findings AS (
+  SELECT * FROM base
+  UNION ALL SELECT doc_id, 3, lo, hi FROM high h
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = h.doc_id AND b.a <= h.lo AND b.z >= h.hi)),
+listed AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || a || ':' || z AS name FROM findings)
+SELECT t.doc_id, count(*) FILTER (WHERE kind = 0)::BIGINT AS n_assign, count(*) FILTER (WHERE kind = 1)::BIGINT AS n_access,
+       count(*) FILTER (WHERE kind = 2)::BIGINT AS n_hex,
+       sha256(coalesce(string_agg(name, ',' ORDER BY a, kind) FILTER (WHERE kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(name, ',' ORDER BY a, kind), '') AS spans
+FROM texts t LEFT JOIN listed USING (doc_id) GROUP BY t.doc_id"""
+
+
+SECRETS_SQL = _secrets_sql()
