@@ -159,12 +159,12 @@ def _item_groups(items: DataFrame, max_words: int) -> list[list[tuple[str, list[
 
 def contamination(
     entities: DataFrame, items: DataFrame, window: int = 13, one_in: int = 20, max_words: int = 2_000_000,
-    with_text: bool = True,
+    with_text: bool = True, keep: bool = False,
 ) -> DataFrame:
     """Words of every entity that lie in a window of a benchmark item.
 
     ``entities`` has ``entity_id`` and ``text``, ``items`` has ``item_id`` and ``text``; other columns are
-    ignored.  Words are runs of ASCII letters (lower-cased) and digits and of all characters beyond
+    ignored, unless ``keep`` asks for those of ``entities`` (those with a name of a result column are replaced).  Words are runs of ASCII letters (lower-cased) and digits and of all characters beyond
     ASCII.  The items become a suffix automaton that is sent to every task; ``max_words`` bounds
     the words of one automaton, more items are scanned in rounds of one automaton each and the rounds'
     spans are merged.  The entities are read as a stream, one at a time.
@@ -176,18 +176,22 @@ def contamination(
     """
     spark = entities.sparkSession
     rows = entities.select(
-        "entity_id", "text", F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<array<int>>").alias("spans"))
+        F.struct(*entities.columns if keep else ["entity_id"]).alias("row"), "text",
+        F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<array<int>>").alias("spans"))
     groups = _item_groups(items, max_words)
     space = Space(spark) if len(groups) > 1 else None
     for group in groups[:-1]:
         rows = space.write(rows.mapInArrow(_round(spark.sparkContext.broadcast(Automaton(group, window))), rows.schema))
     fields = [
-        rows.schema["entity_id"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
+        rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
         T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()),
         T.StructField("contaminated", T.BooleanType())]
     fields += [T.StructField("clean_text", T.StringType())] * with_text
     last = _verdict(spark.sparkContext.broadcast(Automaton(groups[-1], window)), one_in, with_text)
-    return rows.mapInArrow(last, T.StructType(fields))
+    judged = rows.mapInArrow(last, T.StructType(fields))
+    results = judged.columns[1:]
+    own = [c for c in entities.columns if c not in results] if keep else ["entity_id"]
+    return judged.select(*[F.col("row").getField(c).alias(c) for c in own], *results)
 
 
 def _round(shared):
@@ -203,7 +207,7 @@ def _round(shared):
                 spans.append([*(had.as_py() or ()), *new] or None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(items, pa.list_(pa.string())),
-                 pa.array(spans, pa.list_(pa.list_(pa.int32())))], ["entity_id", "text", "items", "spans"])
+                 pa.array(spans, pa.list_(pa.list_(pa.int32())))], ["row", "text", "items", "spans"])
 
     return run
 
@@ -221,7 +225,7 @@ def _union(spans: list[list[int]]) -> list[list[int]]:
 def _verdict(shared, one_in: int, with_text: bool):
     """Scan with the last automaton and judge."""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
-    names = ["entity_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "clean_text"]
+    names = ["row", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "clean_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value

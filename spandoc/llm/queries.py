@@ -11,6 +11,8 @@ from spandoc.llm.lines import drop_repeated_lines
 from spandoc.llm.secret_scan import secret_spans
 from spandoc.llm.sharding import extendible_shards
 from spandoc.llm.simhash import near_copies
+from spandoc.llm.main_text import extract
+from spandoc.llm.ngram import score_texts
 from spandoc.llm.quality import fit_quality, score_quality
 from spandoc.llm.registry import ORACLES, QUERIES, entities, query
 from spandoc.llm.sql import CONTAMINATION_SQL, LINES_SQL, SECRETS_SQL, SHARDS_SQL, TOP_K_SQL
@@ -56,9 +58,9 @@ def op9(spark, sf_dir):
         F.sha2(ids_text(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def held_out(entity_id, fold: int):
-    """Rows whose crc32 of the id as text leaves ``fold`` modulo 5."""
-    return F.crc32(entity_id.cast("string").cast("binary")) % 5 == fold
+def held_out(entity_id, fold: int, of: int = 5):
+    """Rows whose crc32 of the id as text leaves ``fold`` modulo ``of``."""
+    return F.crc32(entity_id.cast("string").cast("binary")) % of == fold
 
 
 def learn_quality(spark, docs, sf_dir):
@@ -101,3 +103,19 @@ def op5(spark, sf_dir):
         F.col("entity_id").alias("doc_id"), count("assign"), count("access"), count("hex"),
         F.sha2(listed(F.filter("spans", lambda s: s["label"] != "entropy")), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"))
+
+
+@query("op6_main_text")
+def op6(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("entity_id"), "url", "html")
+    return extract(pages).select(
+        F.col("entity_id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op10_lm_scores")
+def op10(spark, sf_dir):
+    docs = entities(spark, sf_dir)
+    out = score_texts(docs, ~held_out(F.col("entity_id"), 1), held_out(F.col("entity_id"), 2, 20))
+    return out.select(
+        F.col("entity_id").alias("doc_id"), F.coalesce(held_out(F.col("entity_id"), 1), F.lit(False)).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score")
