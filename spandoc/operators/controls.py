@@ -14,24 +14,22 @@ from spandoc.operators.ordered import cut_hot, neighbours
 from spandoc.schemas import DEFAULT_SCHEME, SPAN_ORDER, LabelScheme
 
 
-def ranked_spans(spans: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME, bounded: bool = False) -> DataFrame:
+def ranked_spans(spans: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:
     """Annotated spans with their 1-based rank by start."""
     ann = spans.select("entity_id", "k", "start_at", "end_at", "label").filter(F.col("label") != scheme.gap)
-    return neighbours(cut_hot(ann, "entity_id", F.col("start_at"), bounded), SPAN_ORDER, row_number="rank").finish().drop("k")
+    return neighbours(cut_hot(ann, "entity_id", SPAN_ORDER), SPAN_ORDER, row_number="rank").finish().drop("k")
 
 
-def shuffle_labels(spans: DataFrame, seed: int, scheme: LabelScheme = DEFAULT_SCHEME,
-                   bounded: bool = False) -> DataFrame:
+def shuffle_labels(spans: DataFrame, seed: int, scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:
     """Permute labels within each entity; borders stay.
 
     The label at rank r moves to the rank that r's key has among the keys of the entity.
     """
-    ranked = ranked_spans(spans, scheme, bounded)
+    ranked = ranked_spans(spans, scheme)
     keyed = ranked.select(
         "entity_id", "label", keyed_md5(F.lit(seed), F.col("entity_id"), F.col("rank")).alias("h"),
-        keyed_int(F.lit(seed), F.col("entity_id"), F.col("rank")).alias("hp"),
     )
-    moved = neighbours(cut_hot(keyed, "entity_id", F.col("hp"), bounded), ["h"], row_number="rank").finish()
+    moved = neighbours(cut_hot(keyed, "entity_id", ["h"]), ["h"], row_number="rank").finish()
     return ranked.drop("label").join(moved.select("entity_id", "rank", "label"), ["entity_id", "rank"]).select(
         "entity_id", F.col("rank").alias("k"), "start_at", "end_at", "label")
 
@@ -86,14 +84,14 @@ def span_sizes(spans: DataFrame, entities: DataFrame, scheme: LabelScheme = DEFA
 
 
 def altered_spans(control: str, spans: DataFrame, entities: DataFrame, seed: int,
-                  scheme: LabelScheme = DEFAULT_SCHEME, bounded: bool = False) -> DataFrame:
+                  scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:
     """Span table of a control: shuffled labels, random borders, or both."""
     if control == "shuffled_labels":
-        return shuffle_labels(spans, seed, scheme, bounded)
+        return shuffle_labels(spans, seed, scheme)
     if control == "random_boundaries":
-        labels = shuffle_labels(spans, seed, scheme, bounded).select("entity_id", F.col("k").alias("rank"), "label")
+        labels = shuffle_labels(spans, seed, scheme).select("entity_id", F.col("k").alias("rank"), "label")
     elif control == "random_boundaries_true_order":
-        labels = ranked_spans(spans, scheme, bounded).select("entity_id", "rank", "label")
+        labels = ranked_spans(spans, scheme).select("entity_id", "rank", "label")
     else:
         raise ValueError(f"unknown control {control!r}")
     borders = random_boundaries(span_sizes(spans, entities, scheme), seed)

@@ -12,8 +12,7 @@ from spandoc.operators.ordered import Ordered, cut_hot, neighbours
 from spandoc.schemas import DEFAULT_SCHEME, SPAN_ORDER, LabelScheme
 
 
-def with_next_spans(spans: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME, whole: bool = True,
-                    bounded: bool = False) -> DataFrame:
+def with_next_spans(spans: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME, whole: bool = True) -> DataFrame:
     """Spans with their neighbours.
 
     ``rank`` counts within the annotated (or within the gap) spans of the entity;
@@ -23,7 +22,7 @@ def with_next_spans(spans: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME, whol
     base = spans.select("entity_id", "k", "start_at", "end_at", "label").withColumn(
         "is_gap", F.col("label").eqNullSafe(scheme.gap)
     )
-    cut = cut_hot(base, "entity_id", F.col("start_at"), bounded)
+    cut = cut_hot(base, "entity_id", SPAN_ORDER)
     return next_spans(cut, whole).finish()
 
 
@@ -43,7 +42,7 @@ def partition_status(spans: DataFrame, entities: DataFrame, bounds: str = "exten
     ``bounds='last'`` looks at the end of the last span in (start, end) order and knows
     ``no_spans``.  Gap spans take part in both.
     """
-    cut = cut_hot(spans.select("entity_id", "k", "start_at", "end_at", "label"), "entity_id", F.col("start_at"))
+    cut = cut_hot(spans.select("entity_id", "k", "start_at", "end_at", "label"), "entity_id", SPAN_ORDER)
     nxt = neighbours(cut, SPAN_ORDER, lead={"all_start": "start_at"}).finish()
     is_last = F.col("all_start").isNull()
     agg = nxt.groupBy("entity_id").agg(
@@ -94,7 +93,7 @@ def duplicate_spans(spans: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME) -> D
 def overlap_pairs(spans: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:
     """Adjacent annotated spans (in start, end order) whose offsets overlap, per entity."""
     annotated = spans.select("entity_id", "k", "start_at", "end_at", "label").filter(F.col("label") != scheme.gap)
-    cut = cut_hot(annotated, "entity_id", F.col("start_at"))
+    cut = cut_hot(annotated, "entity_id", SPAN_ORDER)
     nxt = neighbours(cut, SPAN_ORDER, lead={"next_start": "start_at"}).finish()
     return nxt.groupBy("entity_id").agg(
         F.count_if(F.col("end_at") >= F.col("next_start")).alias("overlap_pairs"))
@@ -129,9 +128,9 @@ def order_matches_ordinal(spans: DataFrame, ordinal: str = "k", scheme: LabelSch
     """
     ann = spans.select("entity_id", "start_at", "end_at", "label", "k", F.col(ordinal).alias("ord")).filter(
         F.col("label") != scheme.gap)
-    by_start = neighbours(cut_hot(ann, "entity_id", F.col("start_at")), SPAN_ORDER, row_number="rank").finish()
+    by_start = neighbours(cut_hot(ann, "entity_id", SPAN_ORDER), SPAN_ORDER, row_number="rank").finish()
     by_ord = neighbours(
-        cut_hot(ann, "entity_id", F.col("ord")), ["ord", "label"], row_number="rank").finish()
+        cut_hot(ann, "entity_id", ["ord", "label"]), ["ord", "label"], row_number="rank").finish()
     met = by_start.select("entity_id", "rank", F.col("label").alias("a")).join(
         by_ord.select("entity_id", "rank", F.col("label").alias("b")), ["entity_id", "rank"])
     return met.groupBy("entity_id").agg((F.count_if(F.col("a") != F.col("b")) == 0).alias("order_matches"))

@@ -92,12 +92,10 @@ def build_condition(
         max_ranks = structure.max_rank_count(spans, entities.filter("split = 'train'"), scheme)
     altered = tuple(f for f in cond.families if f in ORDER) if cond.control else ()
     true = tuple(f for f in cond.families if f in structure.FAMILIES and f not in altered)
-    # Entities that carry their text in a cell cannot have more spans than that cell has room for.
-    bounded = "text" in entities.columns
-    parts = [structure.structure_features(spans, entities, true, scheme, max_ranks or 0, bounded)]
+    parts = [structure.structure_features(spans, entities, true, scheme, max_ranks or 0)]
     if altered:
-        fake = controls.altered_spans(cond.control, spans, entities, seed, scheme, bounded)
-        parts.append(structure.structure_features(fake, entities, altered, scheme, bounded=bounded))
+        fake = controls.altered_spans(cond.control, spans, entities, seed, scheme)
+        parts.append(structure.structure_features(fake, entities, altered, scheme))
     if "transition_from_lists" in wanted:
         parts.append(structure.transition_columns_from_lists(spans, entities, scheme))
     if "random" in wanted:
@@ -108,16 +106,18 @@ def build_condition(
     return out.select("entity_id", *sorted(c for c in out.columns if c != "entity_id"))
 
 
-def feature_names(name: str, scheme: LabelScheme = DEFAULT_SCHEME, max_ranks: int = 0,
-                  random_dims: int = RANDOM_DIMS) -> list[str]:
-    """Names a condition must have, derived from the scheme without touching data."""
-    cond = resolve(name)
+# Family under which the names of a condition's family are listed, where the two differ.
+LISTED_AS = {"geometry": "position", "boundary_only": "position", "transition_from_lists": "transition"}
+
+
+def names_by_family(scheme: LabelScheme = DEFAULT_SCHEME, max_ranks: int = 0, random_dims: int = RANDOM_DIMS) -> dict[str, list[str]]:
+    """Feature names of every family, derived from the scheme without touching data."""
     keys = [scheme.key(t) for t in scheme.labels]
     boundary = [f"pos_{s}_rank_{i}" for s in ("start", "end") for i in range(max_ranks)]
     boundary += [f"pos_len_{p}" for p in ("mean", "std", "min", "max")]
     boundary += ["pos_gap_count", "pos_gap_len_mean", "pos_gap_len_std", "pos_gap_len_max", "pos_gap_pos_mean"]
     pairs = [f"order_trans_{a}__{b}" for a in keys for b in keys]
-    names = {
+    return {
         "surface": [f"surface_{p}" for p in ("word_count", "char_count", "sentence_count", "paragraph_count", "mean_word_length")],
         "count": ["count_total_components", "count_total_segments", "count_annotation_coverage",
                   "count_unannotated_gaps", "count_unannotated_proportion",
@@ -130,7 +130,18 @@ def feature_names(name: str, scheme: LabelScheme = DEFAULT_SCHEME, max_ranks: in
         "boundary_only": [*boundary, "boundary_coverage"],
         "random": [f"rnd_{i}" for i in range(random_dims)],
     }
-    return sorted(n for f in cond.families for n in names[f])
+
+
+def feature_names(name: str, scheme: LabelScheme = DEFAULT_SCHEME, max_ranks: int = 0,
+                  random_dims: int = RANDOM_DIMS) -> list[str]:
+    """Names a condition must have."""
+    names = names_by_family(scheme, max_ranks, random_dims)
+    return sorted(n for f in resolve(name).families for n in names[f])
+
+
+def feature_families(scheme: LabelScheme = DEFAULT_SCHEME, max_ranks: int = 0, random_dims: int = RANDOM_DIMS) -> dict[str, str]:
+    """Feature name -> family it is listed under."""
+    return {n: LISTED_AS.get(f, f) for f, names in names_by_family(scheme, max_ranks, random_dims).items() for n in names}
 
 
 def manifest_rows(spark, names: list[str], scheme: LabelScheme = DEFAULT_SCHEME, max_ranks: int = 0) -> DataFrame:
@@ -140,7 +151,7 @@ def manifest_rows(spark, names: list[str], scheme: LabelScheme = DEFAULT_SCHEME,
 
 
 def actual_manifest(name: str, wide: DataFrame) -> DataFrame:
-    """(condition, feature_name) of a built feature table, read from its rows."""
+    """(condition, feature_name, n_nonzero) of a built feature table: its columns, and the entities where they are not 0."""
     cols = [c for c in wide.columns if c != "entity_id"]
-    any_row = wide.select(F.lit(name).alias("condition"), F.explode(F.array(*[F.lit(c) for c in cols])).alias("feature_name"))
-    return any_row.distinct()
+    counts = wide.agg(*[F.expr(f"count_if(`{c}` <> 0) AS `{c}`") for c in cols])
+    return counts.unpivot([], cols, "feature_name", "n_nonzero").select(F.lit(name).alias("condition"), "feature_name", "n_nonzero")

@@ -48,7 +48,7 @@ def chat_spans(spark: SparkSession, sf_dir: str, with_text: bool = False) -> Dat
         F.col("role").alias("label"), F.length("text").cast("bigint").alias("n"),
         *([F.col("text").alias("span_text")] if with_text else []),
     ).withColumn("step", F.col("n") + 1)
-    cut = cut_hot(turns, "entity_id", F.col("k"))
+    cut = cut_hot(turns, "entity_id", ["k"])
     placed = neighbours(cut, ["k"], running={"start_at": "step"}).finish()
     return placed.select(
         "entity_id", "k", "start_at", (F.col("start_at") + F.col("n") - 1).alias("end_at"), "label",
@@ -66,7 +66,7 @@ def event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = ev.join(first, "entity_id").withColumn(
         "start_at", F.floor((F.col("us") - F.col("us0")) / F.lit(1000000)).cast("bigint")
     )
-    cut = cut_hot(timed, "entity_id", F.col("us"))
+    cut = cut_hot(timed, "entity_id", ["us", "k"])
     nxt = neighbours(cut, ["us", "k"], lead={"next_start": "start_at"}).finish()
     end = F.greatest(F.col("start_at"), F.coalesce(F.col("next_start") - 1, F.col("start_at")))
     return nxt.select("entity_id", "k", "start_at", end.alias("end_at"), "label")
