@@ -33,28 +33,22 @@ def regroup(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys, "t", "p").agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def _bit(v: str) -> str:
-    return f"shiftleft(1L, cast({v} AS INT))"
-
-
 def kappa_columns(cells: DataFrame, keys: list[str], labels: str = "present") -> DataFrame:
     """Cells with the label positions used as weights.
 
     ``present``: position among the labels that occur (as true or predicted) under the key,
     so an unused score between two used ones does not widen their distance.  ``value``: the
-    score itself.  Labels are small non-negative integers (< 63), kept as a bit set.
+    score itself.  Labels are integers of any size.
     """
     if labels == "value":
-        return cells.withColumns({"i": F.col("t"), "j": F.col("p"), "seen_t": F.expr(_bit("t"))})
+        return cells.withColumns({"i": F.col("t"), "j": F.col("p")})
     if labels != "present":
         raise ValueError(f"unknown labels mode {labels!r}")
     by_key = Window.partitionBy(*keys)
-    seen = F.expr(f"bit_or({_bit('t')} | {_bit('p')})").over(by_key)
-    marked = cells.withColumn("seen", seen)
-    rank = "cast(bit_count(seen & ({b} - 1)) AS BIGINT)"
-    return marked.withColumns(
-        {"i": F.expr(rank.format(b=_bit("t"))), "j": F.expr(rank.format(b=_bit("p"))), "seen_t": F.expr(_bit("t"))}
-    ).drop("seen")
+    used = F.flatten(F.collect_set(F.array("t", "p")).over(by_key))
+    place = F.array_sort(F.array_distinct(used))
+    return cells.withColumn("used", place).withColumns(
+        {"i": F.array_position("used", F.col("t")) - 1, "j": F.array_position("used", F.col("p")) - 1}).drop("used")
 
 
 def _kappa_from_sums() -> Column:
@@ -70,7 +64,7 @@ def _moment_sums() -> list[Column]:
     return [
         F.sum("n").alias("n_rows"), F.sum(n * i).alias("s_i"), F.sum(n * j).alias("s_j"),
         F.sum(n * i * i).alias("s_ii"), F.sum(n * j * j).alias("s_jj"),
-        F.sum(n * (i - j) * (i - j)).alias("s_dd"), F.expr("bit_count(bit_or(seen_t))").alias("true_labels"),
+        F.sum(n * (i - j) * (i - j)).alias("s_dd"), F.size(F.collect_set("t")).alias("true_labels"),
     ]
 
 
