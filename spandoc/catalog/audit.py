@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spandoc.catalog.ctes import sql
+from spandoc.catalog.ctes import h, sql
 from spandoc.catalog.registry import query
 from spandoc.operators import audit, geometry
-from spandoc.schemas import CHAT_SCHEME, DEFAULT_SCHEME, EVENT_SCHEME, FLAG_SCHEME
+from spandoc.plans.storage import shared_folder
+from spandoc.schemas import ANNOTATION_SCHEMA, CHAT_SCHEME, DEFAULT_SCHEME, EVENT_SCHEME, FLAG_SCHEME
 from spandoc.sources import adapters as src, tables
 
 _NULLS = ["doc_id", "lang", "quality"]
@@ -95,6 +96,37 @@ def valid_train_entities(spark, sf):
     return tables.valid_entities(ents, audit.validate_entities(ents), "train").select("entity_id", "score", "split")
 
 
+@query("reloaded_valid_entities", sql("SELECT entity_id, score, split FROM jv WHERE join_valid AND split = 'train'",
+                                      "annot", extra=_ENTITIES + ",\n" + _VALID))
+def reloaded_valid_entities(spark, sf):
+    """The same from saved tables: entities as Parquet, their validation partitioned by its outcome."""
+    folder = shared_folder(spark)
+    ents = entity_consolidation(spark, sf)
+    tables.save(ents, f"{folder}/entities")
+    saved = tables.load(spark, f"{folder}/entities", schema=ents.schema)
+    checked = audit.validate_entities(saved)
+    tables.save(checked, f"{folder}/validation", partition_by=["join_valid"])
+    checked = tables.load(spark, f"{folder}/validation", schema=checked.schema)
+    return tables.valid_entities(saved, checked, "train").select("entity_id", "score", "split")
+
+
+@query("annotation_csv", sql("""SELECT entity_id, label, count(*) AS n_rows, sum(start_at)::BIGINT AS starts, sum(end_at)::BIGINT AS ends,
+  sum(length(text))::BIGINT AS chars, count(score) AS n_scores FROM annot GROUP BY entity_id, label""", "annot"))
+def annotation_csv(spark, sf):
+    """Annotation rows written as a raw CSV file (texts with line breaks and quotes) and read back through its schema."""
+    rows = src.annotation_rows(spark, sf)
+    raw = {"essay_id": "entity_id", "full_text": "text", "holistic_essay_score": "score", "discourse_start": "start_at",
+           "discourse_end": "end_at", "discourse_type": "label"}
+    path = shared_folder(spark)
+    tables.save(rows.select(*[
+        (F.col(raw[f.name]) if f.name in raw else F.lit(None)).cast(f.dataType).alias(f.name) for f in ANNOTATION_SCHEMA]), path, "csv")
+    back = tables.read_annotations(spark, [path])
+    spans = tables.spans_of(back.withColumn("essay_id", F.struct("essay_id", "full_text", "holistic_essay_score")))
+    return spans.groupBy(F.col("entity_id.essay_id").alias("entity_id"), "label").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("start_at").alias("starts"), F.sum("end_at").alias("ends"),
+        F.sum(F.length("entity_id.full_text")).alias("chars"), F.count("entity_id.holistic_essay_score").alias("n_scores"))
+
+
 @query("restricted_span_scan", sql("""SELECT s.entity_id, start_at, end_at, label, k, 'chat' AS _source_file
   FROM chat_spans s WHERE entity_id IN (SELECT entity_id FROM chat_entities WHERE split = 'train')
   UNION ALL SELECT entity_id, start_at, end_at, label, k, 'docs' FROM doc_spans
@@ -140,7 +172,9 @@ def span_text_status(spark, sf):
     return audit.match_statuses(src.audited_spans(spark, sf, True), src.doc_entities(spark, sf))
 
 
-@query("span_text_match_sampled")
+@query("span_text_match_sampled", sql(f"""SELECT status, CAST(floor(count(*) / 0.5) AS BIGINT) AS n_spans FROM st
+  WHERE status <> 'outside_boundary' AND {h("42", "'sample'", "entity_id", "k")} < 2147483648 GROUP BY status
+  UNION ALL SELECT 'outside_boundary', count(*) FILTER (end_at >= text_length) FROM st""", "audited", "doc_entities", extra=_SLICE))
 def span_text_match_sampled(spark, sf):
     return audit.match_histogram(src.audited_spans(spark, sf, True), src.doc_entities(spark, sf), fraction=0.5)
 
@@ -246,7 +280,7 @@ def group_score_counts(spark, sf):
 
 @query("group_inventory", sql("""SELECT e.*, j.score_distribution_json FROM
   (SELECT grp, count(*) AS entity_count, string_agg(DISTINCT subgrp, '|' ORDER BY subgrp) AS subgroups,
-    count(*) FILTER (subgrp = 'en') AS count_en, count(*) FILTER (subgrp = 'de') AS count_de,
+    count(*) FILTER (subgrp = 'en') AS count_en, count(*) FILTER (subgrp = 'de') AS count_de, count(*) FILTER (subgrp = 'es') AS count_es, count(*) FILTER (subgrp = 'fr') AS count_fr,
     (SELECT coalesce(string_agg(CAST(g AS VARCHAR), '|' ORDER BY g), '') FROM (SELECT DISTINCT i.grade AS g FROM ents i WHERE i.grp = ents.grp AND i.grade IS NOT NULL)) AS grades,
     min(score) AS score_min, max(score) AS score_max,
     coalesce(string_agg(DISTINCT CAST(CAST(score AS BIGINT) AS VARCHAR), '|' ORDER BY CAST(CAST(score AS BIGINT) AS VARCHAR)), '') AS unique_scores
@@ -255,7 +289,7 @@ def group_score_counts(spark, sf):
    FROM (SELECT grp, score, count(*) AS n FROM ents WHERE score IS NOT NULL GROUP BY grp, score) GROUP BY grp) j
   ON e.grp IS NOT DISTINCT FROM j.grp""", "annot", extra=_ENTITIES))
 def group_inventory(spark, sf):
-    return audit.group_inventory(entity_consolidation(spark, sf), ["en", "de"])
+    return audit.group_inventory(entity_consolidation(spark, sf), ["en", "de", "es", "fr"])
 
 
 _PART = """agg AS (

@@ -22,7 +22,7 @@ _NAMES = conditions.feature_names("T3")
 _LONG = (features_extra("doc_spans", "doc_entities", DEFAULT_SCHEME.labels, DEFAULT_SCHEME.gap)
          + ",\nlong AS (" + features_select(_T3, DEFAULT_SCHEME.labels, DEFAULT_SCHEME.gap) + ")"
          + ",\nnames(feature) AS (VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ")"
-         + ",\ndense AS (SELECT e.entity_id, e.split, n.feature, coalesce(l.value, 0) AS value FROM doc_entities e CROSS JOIN names n "
+         + ",\ndense AS MATERIALIZED (SELECT e.entity_id, e.split, n.feature, coalesce(l.value, 0) AS value FROM doc_entities e CROSS JOIN names n "
            "LEFT JOIN long l ON l.entity_id = e.entity_id AND l.feature = n.feature)")
 
 
@@ -43,7 +43,7 @@ def _train(wide, ents):
   FROM dense WHERE split = 'train' GROUP BY feature""", "doc_spans", "doc_entities", extra=_LONG))
 def feature_audit(spark, sf):
     spans, ents = _docs(spark, sf)
-    out = stats.feature_audit(_train(conditions.build_condition("T3", spans, ents), ents), "T3")
+    out = stats.feature_audit(_train(conditions.build_condition("T3", spans, ents), ents), "T3", conditions.feature_families())
     return out.withColumns({"mean_nonzero_fraction": F.round("mean_nonzero_fraction", 6), "train_std": F.round("train_std", 5)})
 
 
@@ -70,7 +70,7 @@ def correlation_pvalues(spark, sf):
     wide = _train(conditions.build_condition("T3", spans, ents), ents).join(
         ents.select("entity_id", F.col("score").cast("double").alias("score")), "entity_id")
     structural = [n for n in _NAMES if n.startswith("order_")]
-    return stats.correlations(wide, structural, {**_CONFOUNDS, "score": "score"})
+    return stats.correlations(wide, structural, {**_CONFOUNDS, "score": "score"}, conditions.feature_families())
 
 
 @query("scaled_features", sql("""SELECT entity_id, feature, round((value - mu) / CASE WHEN lo = hi THEN 1 ELSE sd END, 5) AS value
@@ -167,7 +167,7 @@ def run_log(spark, sf):
 
 @query("gbt_numeric")
 def gbt_numeric(spark, sf):
-    """Boosted trees on the text-free conditions (few iterations; the default is 300)."""
+    """Boosted trees on the text-free conditions ."""
     setup = _setup(spark, sf, tree_iterations=10)
     preds = reduce(lambda a, b: a.unionByName(b), [evaluation.run_condition(c, setup) for c in ("N0", "N1")])
     return m.metrics(preds, ["condition", "phase"])
@@ -234,20 +234,32 @@ def residualized_ridge(spark, sf):
 # --- manifests and protocol -------------------------------------------------------------------
 
 _MANIFEST = ["T1", "T2", "T3", "FIRSTLAST", "TRANS", "LABELPOS", "NO_TRANS", "NO_POS", "COUNTS_TRANS"]
-_FAMILY_CASE = """CASE WHEN f LIKE 'surface%' THEN 'surface' WHEN f LIKE 'count%' OR f LIKE 'prop%' THEN 'count' WHEN f LIKE 'order_trans%' THEN 'transition'
-  WHEN f LIKE 'order_first_is%' OR f LIKE 'order_final_is%' THEN 'firstlast' ELSE 'label_position' END"""
-
-
-def _manifest_values() -> str:
-    return ", ".join(f"('{c}', '{f}')" for c in _MANIFEST for f in conditions.feature_names(c))
-
-
-@query("feature_manifest", sql(f"""SELECT c AS condition, f AS feature_name, {_FAMILY_CASE} AS feature_family, false AS contains_forbidden_token
-  FROM (VALUES {_manifest_values()}) v(c, f) WHERE EXISTS (SELECT 1 FROM documents)"""))
+# Families of every condition, and their names from the labels, independent of the code that builds them.
+_MANIFEST_FAMILIES = {
+    "T1": "surface", "T2": "surface count", "T3": "surface count firstlast transition label_position", "FIRSTLAST": "surface count firstlast",
+    "TRANS": "surface count transition", "LABELPOS": "surface count label_position", "NO_TRANS": "surface count firstlast label_position",
+    "NO_POS": "surface count firstlast transition", "COUNTS_TRANS": "surface count transition"}
+_MANIFEST_SQL = f"""keys(k) AS (SELECT replace(x, ' ', '_') FROM (SELECT unnest({list(DEFAULT_SCHEME.labels)}) AS x)),
+listed(family, feature) AS (
+  SELECT 'surface', 'surface_' || unnest(['word_count', 'char_count', 'sentence_count', 'paragraph_count', 'mean_word_length'])
+  UNION ALL SELECT 'count', 'count_' || unnest(['total_components', 'total_segments', 'annotation_coverage', 'unannotated_gaps', 'unannotated_proportion'])
+  UNION ALL SELECT 'count', unnest(['count_', 'prop_']) || k FROM keys
+  UNION ALL SELECT 'firstlast', 'order_' || unnest(['first', 'final']) || '_is_' || k FROM keys
+  UNION ALL SELECT 'transition', 'order_trans_' || a.k || '__' || b.k FROM keys a CROSS JOIN keys b
+  UNION ALL SELECT 'label_position', 'order_' || unnest(['mean', 'first', 'final', 'std']) || '_pos_' || k FROM keys),
+conds(condition, family) AS (VALUES {", ".join(f"('{c}', '{f}')" for c, fs in _MANIFEST_FAMILIES.items() for f in fs.split())})"""
+
+
+@query("feature_manifest", sql("""SELECT c.condition, l.feature AS feature_name, coalesce(n.n_nonzero, 0)::BIGINT AS n_nonzero, l.family AS feature_family,
+    false AS contains_forbidden_token
+  FROM conds c JOIN listed l USING (family)
+  LEFT JOIN (SELECT feature, count(*) FILTER (value <> 0) AS n_nonzero FROM dense GROUP BY feature) n USING (feature)""",
+  "doc_spans", "doc_entities", extra=_LONG + ",\n" + _MANIFEST_SQL))
 def feature_manifest(spark, sf):
+    """Names of every built table, with the entities where the feature is not zero."""
     spans, ents = _docs(spark, sf)
     built = [conditions.actual_manifest(c, conditions.build_condition(c, spans, ents)) for c in _MANIFEST]
-    return qa.manifest(reduce(lambda a, b: a.unionByName(b), built))
+    return qa.manifest(reduce(lambda a, b: a.unionByName(b), built), conditions.feature_families())
 
 
 @query("manifest_match", sql("""SELECT condition, expected_feature_count, actual_feature_count, missing_features, extra_features, manifest_match FROM (VALUES
@@ -291,15 +303,16 @@ def ablation_consistency(spark, sf):
         F.lit(not named("order_", "POS")).alias("pos_has_no_order_columns"), "counts_trans_matches_trans")
 
 
-@query("leakage_check", sql("""SELECT column_name AS feature_name, regexp_matches(lower(column_name),
-    '^(prompt|assignment|competition|gender|grade|ell_|race_|economically|student_disability|effectiveness|holistic|target)') AS contains_forbidden_token
-  FROM (SELECT unnest(['doc_id','text','lang','source','n_chars','grade_doc_id','Prompt_source','target','order_first_is_Lead']) AS column_name)
-  WHERE EXISTS (SELECT 1 FROM documents)"""))
+_ANNOTATION_COLUMNS = ("entity_id", "row_no", "text", "score", "grp", "subgrp", "split", "grade", "word_count_field", "start_at", "end_at",
+                       "label", "effectiveness", "source_file")
+
+
+@query("leakage_check", sql("SELECT feature_name, n_values, regexp_matches(lower(feature_name), "
+    "'^(prompt|assignment|competition|gender|grade|ell_|race_|economically|student_disability|effectiveness|holistic|target)') AS contains_forbidden_token "
+    "FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature_name, count({c}) AS n_values FROM annot" for c in _ANNOTATION_COLUMNS) + ")", "annot"))
 def leakage_check(spark, sf):
-    docs = src.table(spark, sf, "documents")
-    names = [*docs.columns, f"grade_{docs.columns[0]}", "Prompt_source", "target", "order_first_is_Lead"]
-    rows = docs.select(F.explode(F.array(*[F.lit(c) for c in names])).alias("feature_name")).distinct()
-    return rows.select("feature_name", qa.has_forbidden_prefix(F.col("feature_name")).alias("contains_forbidden_token"))
+    """Columns of the annotation rows that must never be features, with the rows that fill them."""
+    return qa.column_counts(src.annotation_rows(spark, sf))
 
 
 @query("protocol_checks", sql("""SELECT 'no_train_test_overlap' AS "check", count(*) FILTER (n > 1) = 0 AS passed,

@@ -9,7 +9,6 @@ from spandoc.catalog.feature_sql import features_body, features_extra
 from spandoc.catalog.registry import query
 from spandoc.operators import exemplars, structure
 from spandoc.plans import conditions
-from spandoc.operators.audit import structure_statistics  # noqa: F401  (re-exported for notebooks)
 from spandoc.schemas import CHAT_SCHEME, DEFAULT_SCHEME, EVENT_SCHEME, FLAG_SCHEME
 from spandoc.sources import adapters as src
 
@@ -152,7 +151,7 @@ cand AS (
   UNION ALL SELECT entity_id, 5, 'simple', 2 FROM base WHERE n_ann <= 4
   UNION ALL SELECT entity_id, 6, 'bad_partition', 3 FROM base WHERE partition_status <> 'complete_partition'
   UNION ALL SELECT entity_id, 7, 'overlapping', 2 FROM base WHERE ov > 0
-  UNION ALL SELECT entity_id, 8, 'fill', 20 FROM base),
+  UNION ALL SELECT entity_id, 8, 'fill', 20 FROM base WHERE n_ann > 0),
 picked AS (
   SELECT entity_id, min(pri) AS pri, arg_min(stratum, lpad(CAST(pri AS VARCHAR), 2, '0') || stratum) AS stratum
   FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY entity_id) AS rn FROM cand) WHERE rn <= take GROUP BY entity_id),
@@ -164,16 +163,21 @@ sel AS (SELECT * FROM strat UNION ALL (SELECT * FROM picked WHERE pri = 8 ORDER
 @query("exemplars", sql("SELECT entity_id, pri AS priority, stratum FROM sel", "doc_entities", "audited", extra=_EXEMPLAR_SQL))
 def exemplar_ids(spark, sf):
     ents, spans = src.doc_entities(spark, sf), src.audited_spans(spark, sf)
-    return exemplars.select_exemplars(ents, exemplars.issue_columns(spans, ents))
+    issues = exemplars.issue_columns(spans, ents)
+    return exemplars.select_exemplars(ents, issues, valid=issues.filter("annotated_segments > 0"))
 
 
 @query("exemplar_details", sql("""SELECT entity_id, pri AS priority, stratum, rk AS position, label, start_at, end_at,
     CASE WHEN char_count = 0 THEN '0.00–0.00' ELSE printf('%.2f', start_at / CAST(char_count AS DOUBLE)) || '–' || printf('%.2f', (end_at + 1) / CAST(char_count AS DOUBLE)) END AS relative_range,
     replace(substr(coalesce(span_text, ''), 1, 120), chr(10), ' ') || CASE WHEN length(coalesce(span_text, '')) > 120 THEN '...' ELSE '' END AS preview,
-    string_agg(label, ' → ') OVER (PARTITION BY entity_id ORDER BY start_at, end_at, label, k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS label_path
-  FROM (SELECT a.*, sel.pri, sel.stratum, e.char_count, row_number() OVER (PARTITION BY a.entity_id ORDER BY start_at, end_at, label, k) AS rk
-        FROM audited a JOIN sel USING (entity_id) JOIN doc_entities e USING (entity_id) WHERE label <> 'Unannotated')""",
-  "doc_entities", "audited", extra=_EXEMPLAR_SQL))
+    string_agg(label, ' → ') OVER (PARTITION BY entity_id ORDER BY start_at, end_at, label, k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS label_path,
+    score, partition_status, overlap_pairs, effectiveness
+  FROM (SELECT a.*, sel.pri, sel.stratum, e.char_count, e.score, e.partition_status, e.ov AS overlap_pairs, x.effectiveness, row_number() OVER (PARTITION BY a.entity_id ORDER BY start_at, end_at, label, k) AS rk
+        FROM audited a JOIN sel USING (entity_id) JOIN base e USING (entity_id) LEFT JOIN (SELECT entity_id AS xe, row_no, effectiveness FROM annot) x ON xe = a.entity_id AND row_no = a.k
+        WHERE a.label <> 'Unannotated')""", "doc_entities", "audited", "annot", extra=_EXEMPLAR_SQL))
 def exemplar_details(spark, sf):
     ents, spans = src.doc_entities(spark, sf), src.audited_spans(spark, sf, True)
-    return exemplars.render(exemplar_ids(spark, sf), spans, ents)
+    rated = src.annotation_rows(spark, sf).select("entity_id", F.col("row_no").alias("k"), "effectiveness")
+    selected = exemplar_ids(spark, sf)
+    spans = spans.join(F.broadcast(selected.select("entity_id")), "entity_id").join(rated, ["entity_id", "k"], "left")
+    return exemplars.render(selected, spans, ents, issues=exemplars.issue_columns(src.audited_spans(spark, sf), ents))

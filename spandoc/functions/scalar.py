@@ -30,8 +30,3 @@ def relative_position(start: Column, end: Column, length: Column) -> Column:
 def joined_set(col: Column) -> Column:
     """Sorted distinct values joined by ``|`` (for columns with a bounded domain)."""
     return F.array_join(F.array_sort(F.collect_set(col.cast("string"))), "|")
-
-
-def share(part: Column, whole: Column) -> Column:
-    """part / max(whole, 1) as double."""
-    return part.cast("double") / F.greatest(whole, F.lit(1)).cast("double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from spandoc.functions.keyed import keyed_int
 from spandoc.functions.scalar import joined_set
 from spandoc.functions.text import char_count, strip_space, word_count
 from spandoc.schemas import DEFAULT_SCHEME, LabelScheme
@@ -169,7 +170,7 @@ def match_statuses(spans: DataFrame, texts: DataFrame, scheme: LabelScheme = DEF
 def match_histogram(spans: DataFrame, texts: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME,
                     fraction: float | None = None, seed: int = 42) -> DataFrame:
     """Spans per match status; with ``fraction`` a sample is scaled up, except for
-    ``outside_boundary``, which stays exact."""
+    ``outside_boundary``, which stays exact.  The sample is a keyed draw per span, the same on any partitioning."""
     if fraction is None:
         return match_statuses(spans, texts, scheme).groupBy("status").agg(F.count(F.lit(1)).alias("n_spans"))
     lengths = texts.select("entity_id", F.length("text").alias("n"))
@@ -178,7 +179,8 @@ def match_histogram(spans: DataFrame, texts: DataFrame, scheme: LabelScheme = DE
         F.lit("outside_boundary").alias("status"),
         F.count_if(F.col("end_at") >= F.coalesce(F.col("n"), F.lit(0))).alias("n_spans"),
     )
-    sampled = match_statuses(annotated.sample(fraction=fraction, seed=seed), texts, scheme)
+    drawn = keyed_int(seed, "sample", F.col("entity_id"), F.col("k")) < int(fraction * 2**32)
+    sampled = match_statuses(annotated.filter(drawn), texts, scheme)
     scaled = sampled.filter(F.col("status") != "outside_boundary").groupBy("status").agg(
         F.floor(F.count(F.lit(1)) / F.lit(float(fraction))).cast("bigint").alias("n_spans"))
     return outside.unionByName(scaled)

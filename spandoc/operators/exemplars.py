@@ -28,9 +28,11 @@ def issue_columns(spans: DataFrame, entities: DataFrame, scheme: LabelScheme = D
     )
 
 
-def select_exemplars(entities: DataFrame, issues: DataFrame) -> DataFrame:
+def select_exemplars(entities: DataFrame, issues: DataFrame, valid: DataFrame | None = None) -> DataFrame:
     """First entities (by id) of every stratum, deduplicated, filled up to 20.
 
+    ``valid`` (entity_id) restricts the entities that fill up; by default all do.
+
     Each stratum keeps its k smallest ids.  A bounded ``min`` per stratum would do for
     k = 1; for more, ids are first cut to the k smallest per stratum and id bucket, so no
     stratum, however large, is sorted in one task.
@@ -38,6 +40,8 @@ def select_exemplars(entities: DataFrame, issues: DataFrame) -> DataFrame:
     groups = F.broadcast(entities.select("grp").distinct().orderBy("grp").limit(GROUPS_WANTED)
                          .withColumn("wanted_grp", F.lit(True)))
     e = entities.select("entity_id", "score", "grp", "subgrp").join(groups, "grp", "left").join(issues, "entity_id", "left")
+    fills = entities if valid is None else valid
+    e = e.join(fills.select("entity_id").distinct().withColumn("fills", F.lit(True)), "entity_id", "left")
 
     def stratum(priority, name, take, cond):
         return F.when(cond, F.struct(F.lit(priority).alias("priority"), name.alias("stratum"), F.lit(take).alias("take")))
@@ -50,7 +54,7 @@ def select_exemplars(entities: DataFrame, issues: DataFrame) -> DataFrame:
         stratum(5, F.lit("simple"), SIMPLE_TAKE, F.col("annotated_segments") <= SIMPLE_SPANS),
         stratum(6, F.lit("bad_partition"), BAD_PARTITION_TAKE, F.col("partition_status") != "complete_partition"),
         stratum(7, F.lit("overlapping"), OVERLAP_TAKE, F.col("overlap_pairs") > 0),
-        stratum(8, F.lit("fill"), WANTED, F.lit(True)),
+        stratum(8, F.lit("fill"), WANTED, F.col("fills")),
     ))
     rows = e.select("entity_id", F.explode(strata).alias("s")).select("entity_id", "s.*").withColumn(
         "bucket", F.pmod(F.xxhash64("entity_id"), F.lit(4096)))
@@ -66,14 +70,21 @@ def select_exemplars(entities: DataFrame, issues: DataFrame) -> DataFrame:
     return ranked.filter((F.col("priority") < 8) | (F.col("rn") <= WANTED)).drop("rn")
 
 
-def render(selected: DataFrame, spans: DataFrame, entities: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:
-    """One row per annotated span of the selected documents: place, preview and label path.
+def render(selected: DataFrame, spans: DataFrame, entities: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME,
+           issues: DataFrame | None = None) -> DataFrame:
+    """One row per annotated span of the selected documents: place, preview and label path, the document's score,
+    and with ``issues`` its partition status and overlapping pairs; with an ``effectiveness`` column in ``spans`` that too.
 
     The selected handful are documents, whose span list is bounded by one text cell.
     """
     few = F.broadcast(selected.select("entity_id", "priority", "stratum"))
     ann = spans.filter(F.col("label") != scheme.gap).join(few, "entity_id").join(
-        entities.select("entity_id", "char_count"), "entity_id")
+        entities.select("entity_id", "char_count", "score"), "entity_id")
+    more = ["score"]
+    if issues is not None:
+        ann = ann.join(issues.select("entity_id", "partition_status", "overlap_pairs"), "entity_id", "left")
+        more += ["partition_status", "overlap_pairs"]
+    more += ["effectiveness"] if "effectiveness" in spans.columns else []
     by_start = Window.partitionBy("entity_id").orderBy("start_at", "end_at", "label", "k")
     whole = by_start.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     quoted = F.coalesce("span_text", F.lit(""))
@@ -86,5 +97,5 @@ def render(selected: DataFrame, spans: DataFrame, entities: DataFrame, scheme: L
         "label", "start_at", "end_at",
         relative_position(F.col("start_at"), F.col("end_at"), F.col("char_count")).alias("relative_range"),
         preview.alias("preview"),
-        F.array_join(F.collect_list("label").over(whole), " → ").alias("label_path"),
+        F.array_join(F.collect_list("label").over(whole), " → ").alias("label_path"), *more,
     )

@@ -55,13 +55,6 @@ def fit_scaling(train: DataFrame, columns: list[str] | None = None) -> Scaling:
     return Scaling(tuple(cols), mean, scale)
 
 
-def aligned(wide: DataFrame, columns: list[str]) -> DataFrame:
-    """Zero-fill and align a feature table to the training columns."""
-    have = set(wide.columns)
-    return wide.select("entity_id", *[
-        F.expr(f"coalesce(cast(`{c}` AS DOUBLE), 0D) AS `{c}`") if c in have else F.lit(0.0).alias(c) for c in columns])
-
-
 # --- cross products ---------------------------------------------------------------------------
 
 
@@ -248,7 +241,7 @@ def fit_ridge(train: DataFrame, alpha: float, features: str = "features", target
     from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, VectorAssembler
     from pyspark.ml.linalg import Vectors
 
-    from spandoc.plans.storage import cut_lineage
+    from spandoc.plans.storage import cut_lineage, forget
 
     spark = train.sparkSession
     even = F.xxhash64("entity_id") % 2 == 0
@@ -268,6 +261,7 @@ def fit_ridge(train: DataFrame, alpha: float, features: str = "features", target
     fitted = LinearRegression(
         featuresCol="x", labelCol="y", fitIntercept=False, regParam=0.0, solver="l-bfgs", maxIter=iterations,
         tol=tolerance).fit(written.select("x", "y"))
+    forget(written)
     return RidgeModel(fitted.setFeaturesCol("__x"), features, True)
 
 

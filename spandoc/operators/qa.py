@@ -6,44 +6,34 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from spandoc.schemas import FORBIDDEN_PREFIXES
 
-# Name prefixes of the feature families, tested from top to bottom.
-FAMILY_PREFIXES = (
-    ("surface_", "surface"),
-    ("count_", "count"),
-    ("prop_", "count"),
-    ("order_trans_", "transition"),
-    ("order_first_is_", "firstlast"),
-    ("order_final_is_", "firstlast"),
-)
-
-
-def feature_family(name: Column) -> Column:
-    """Family of a feature by its name."""
-    case = F.when(name == "tfidf", "text")
-    for prefix, family in FAMILY_PREFIXES:
-        case = case.when(name.startswith(prefix), family)
-    return (
-        case.when(name.startswith("order_") & name.contains("_pos_"), "label_position")
-        .when(name.startswith("order_"), "order")
-        .when(name.startswith("pos_"), "position")
-        .when(name.startswith("rnd_"), "random")
-        .when(name.startswith("trans2_"), "transition_independent")
-        .otherwise("other")
-    )
+
+def family_of(name: Column, families: dict[str, str]) -> Column:
+    """Family of a feature, looked up by its name (``plans.conditions.feature_families`` has them)."""
+    if not families:
+        return F.lit("other")
+    known = F.create_map(*[F.lit(x) for pair in families.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, name), F.lit("other"))
 
 
 def has_forbidden_prefix(name: Column, prefixes=FORBIDDEN_PREFIXES) -> Column:
     return F.exists(F.array(*[F.lit(p) for p in prefixes]), lambda p: F.startswith(F.lower(name), p))
 
 
-def manifest(features: DataFrame) -> DataFrame:
+def manifest(features: DataFrame, families: dict[str, str]) -> DataFrame:
     """(condition, feature_name) -> with family and leakage flag."""
     name = F.col("feature_name")
     return features.withColumns(
-        {"feature_family": feature_family(name), "contains_forbidden_token": has_forbidden_prefix(name)}
+        {"feature_family": family_of(name, families), "contains_forbidden_token": has_forbidden_prefix(name)}
     )
 
 
+def column_counts(df: DataFrame) -> DataFrame:
+    """(feature_name, n_values, contains_forbidden_token) per column: its values that are not null."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    rows = counts.unpivot([], df.columns, "feature_name", "n_values")
+    return rows.withColumn("contains_forbidden_token", has_forbidden_prefix(F.col("feature_name")))
+
+
 def manifest_match(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Per condition: expected and actual feature counts, missing and extra names."""
     key = ["condition", "feature_name"]

@@ -6,13 +6,13 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from spandoc.operators.qa import feature_family, has_forbidden_prefix
+from spandoc.operators.qa import family_of, has_forbidden_prefix
 from spandoc.operators.models import feature_columns
 
 NEAR_CONSTANT = 1e-6
 
 
-def feature_audit(wide: DataFrame, condition: str) -> DataFrame:
+def feature_audit(wide: DataFrame, condition: str, families: dict[str, str]) -> DataFrame:
     """Per feature: population deviation, non-zero share, constancy, family, leakage flag."""
     cols = feature_columns(wide)
     agg = []
@@ -25,7 +25,7 @@ def feature_audit(wide: DataFrame, condition: str) -> DataFrame:
     rows = one.select(F.explode(F.array(*[F.col(f"`{c}`") for c in cols])).alias("f")).select("f.*")
     name = F.col("feature_name")
     return rows.select(
-        F.lit(condition).alias("condition"), name, feature_family(name).alias("feature_family"),
+        F.lit(condition).alias("condition"), name, family_of(name, families).alias("feature_family"),
         F.lit(len(cols)).cast("bigint").alias("n_dimensions_condition"), F.col("nz").alias("mean_nonzero_fraction"),
         F.col("same").alias("is_constant_train"),
         (~F.col("same") & (F.col("sd") < NEAR_CONSTANT)).alias("is_near_constant_train"),
@@ -74,7 +74,7 @@ def pearson_p(r: float, n: int) -> float:
     return _t_tail(r * math.sqrt((n - 2) / (1.0 - r * r)), n - 2)
 
 
-def correlations(wide: DataFrame, structural: list[str], confounds: dict[str, str]) -> DataFrame:
+def correlations(wide: DataFrame, structural: list[str], confounds: dict[str, str], families: dict[str, str]) -> DataFrame:
     """(feature_name, feature_family, confound, r, p) for every structural feature that varies.
 
     MLlib forms the whole correlation matrix in one distributed pass; only that matrix
@@ -95,7 +95,7 @@ def correlations(wide: DataFrame, structural: list[str], confounds: dict[str, st
             r = float(matrix[i, len(varying) + j])
             rows.append((c, name, None if math.isnan(r) else r, None if math.isnan(r) else pearson_p(r, n)))
     out = wide.sparkSession.createDataFrame(rows, "feature_name string, confound string, r double, p double")
-    return out.withColumn("feature_family", feature_family(F.col("feature_name")))
+    return out.withColumn("feature_family", family_of(F.col("feature_name"), families))
 
 
 def max_difference(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:

@@ -82,6 +82,8 @@ def save(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str]
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')
+        # By default the writer strips texts.
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spandoc.functions import text as tx
 from spandoc.functions.scalar import clip_and_round, relative_position
+from spandoc.plans import conditions
 from spandoc.operators import audit, bootstrap, controls, geometry, metrics as m, qa, sequences, splits, stats, structure, tfidf
 from spandoc.schemas import DEFAULT_SCHEME, LabelScheme
 
@@ -247,13 +248,15 @@ def test_pearson_p_values():
 
 
 def test_families(spark):
-    names = ["tfidf", "surface_x", "prop_Lead", "order_trans_A__B", "order_final_is_A", "order_std_pos_A", "order_x",
-             "pos_len_mean", "rnd_3", "trans2_A__B", "boundary_coverage", "Gender_x"]
-    df = spark.createDataFrame([(n,) for n in names], "n string")
-    got = df.select(qa.feature_family(F.col("n")), qa.has_forbidden_prefix(F.col("n"))).collect()
-    assert [r[0] for r in got] == ["text", "surface", "count", "transition", "firstlast", "label_position", "order",
-                                   "position", "random", "transition_independent", "other", "other"]
-    assert [r[1] for r in got] == [False] * 11 + [True]
+    families = conditions.feature_families(max_ranks=1)
+    names = ["surface_word_count", "prop_Lead", "order_trans_Lead__Claim", "order_final_is_Lead", "order_std_pos_Lead",
+             "pos_len_mean", "pos_end_rank_0", "rnd_3", "boundary_coverage", "order_x", "Gender_x"]
+    df = spark.createDataFrame([(n,) for n in names], "feature_name string")
+    got = {r.feature_name: r for r in qa.manifest(df, families).collect()}
+    assert [got[n].feature_family for n in names] == ["surface", "count", "transition", "firstlast", "label_position", "position",
+                                                      "position", "random", "position", "other", "other"]
+    assert [n for n in names if got[n].contains_forbidden_token] == ["Gender_x"]
+    assert not {n for c in ("T3_PLUS_POS", "BOUNDARY_ONLY", "RND", "COUNTS_TRANS") for n in conditions.feature_names(c, max_ranks=1)} - set(families)
 
 
 def test_label_check_and_default_scheme(spans_of):
