@@ -80,7 +80,11 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int
             df.filter(F.col("entity_id").isNotNull() & (F.size(x) > 0) & fine)
             .select(F.col("entity_id").cast("bigint").alias("entity_id"), whole.alias("v"), F.size(x).alias("dim")))
 
-    rows, asked = usable(vectors), usable(queries)
+    rows = usable(vectors)
+    # Equal queries are answered once; the digest tells different vectors of one id apart.
+    asked = space.write(
+        usable(queries).groupBy("entity_id", "v", "dim").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+        .withColumn("digest", F.xxhash64("v")))
     n, m = rows.count(), asked.count()
     blocks, asks = max(1, -(-n // block)), max(1, -(-m // query_block))
 
@@ -104,15 +108,16 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int
             if not exact:
                 v, q = (np.stack([np.array(r, np.int64) for r in t["v"].to_pylist()]) for t in (these, those))
             lists = SortedLists(np.asarray(these["entity_id"], np.int64), v)
-            for no, (own, query) in enumerate(zip(those["entity_id"].to_pylist(), q)):
+            for own, digest, copies, query in zip(*(those[c].to_pylist() for c in ("entity_id", "digest", "copies")), q):
                 ids, scores = lists.search(own, query, k, exact)
-                out += [(own, no, i, s) for i, s in zip(ids.tolist(), scores.tolist())]
-        cols = list(zip(*out)) if out else [()] * 4
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "no": pa.array(cols[1], pa.int32()),
-                         "entity_id": pa.array(cols[2], pa.int64()), "score": pa.array(cols[3], pa.int64())})
+                out += [(own, digest, copies, i, s) for i, s in zip(ids.tolist(), scores.tolist())]
+        cols = list(zip(*out)) if out else [()] * 5
+        return pa.table({n: pa.array(c, pa.int32() if n == "copies" else pa.int64()) for n, c in zip(
+            ("query_id", "digest", "copies", "entity_id", "score"), cols)})
 
     keys = ["dim", "b", "q"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        search, "query_id bigint, no int, entity_id bigint, score bigint")
-    w = Window.partitionBy("query_id", "no").orderBy(F.desc("score"), "entity_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "entity_id", "score")
+        search, "query_id bigint, digest bigint, copies int, entity_id bigint, score bigint")
+    w = Window.partitionBy("query_id", "digest").orderBy(F.desc("score"), "entity_id")
+    best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.select("query_id", "rank", "entity_id", "score", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).drop("copy")

@@ -134,6 +134,28 @@ def test_top_k(spark, block):
     assert set(got) <= set(whole)
 
 
+def test_top_k_repeated_queries_in_many_blocks(spark):
+    """Blocks see the queries in different orders; each query still gets one list per row."""
+    rng = np.random.default_rng(8)
+    vectors = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 0.3, (400, 6)))]
+    df = spark.createDataFrame(vectors, "entity_id bigint, embedding array<double>").repartition(7)
+    asked = df.filter("entity_id % 10 = 0")
+    asked = asked.unionByName(asked.filter("entity_id = 20")).unionByName(spark.createDataFrame([(30, vectors[31][1])], df.schema))
+    got = {}
+    for r in topk.exact_top_k(df, asked.orderBy(F.rand(3)), k=3, block=20, query_block=1000).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.entity_id, r.score))
+
+    def best(q, own):
+        q = [math.floor(1024 * x) for x in q]
+        scored = sorted((-sum(a * math.floor(1024 * b) for a, b in zip(q, v)), i) for i, v in vectors if i != own)
+        return [(n + 1, i, -s) for n, (s, i) in enumerate(scored[:3])]
+
+    want = {i: best(v, i) for i, v in vectors if i % 10 == 0}
+    want[20] = want[20] * 2
+    want[30] = want[30] + best(vectors[31][1], 30)
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items()}
+
+
 def test_top_k_large_components_and_few_rows(spark):
     df = spark.createDataFrame([(0, [1e6, -1e6]), (1, [1e6 + 1, 3.0]), (2, [-1.0, 2.0])], "entity_id bigint, embedding array<double>")
     got = [(r.rank, r.entity_id, r.score) for r in topk.exact_top_k(df, df.filter("entity_id = 0")).orderBy("rank").collect()]
