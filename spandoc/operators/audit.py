@@ -20,6 +20,16 @@ EXCLUSION_FLAGS = (
     "no_discourse_annotations",
     "essay_in_multiple_splits",
 )
+MATCH_STATUSES = (
+    "invalid_span",
+    "outside_boundary",
+    "exact_inclusive",
+    "exact_exclusive",
+    "strip_match_inclusive",
+    "strip_match_exclusive",
+    "discourse_text_trimmed",
+    "mismatch",
+)
 PROCEED_SHARE = 0.95
 EXCLUSIONS_SHARE = 0.85
 
@@ -138,33 +148,42 @@ def validate_entities(entities: DataFrame) -> DataFrame:
     )
 
 
-def span_match_status(text: Column, start: Column, end: Column, quoted: Column) -> Column:
-    """How a quoted span text relates to the slice of the text it points at (first match wins)."""
+def span_match_status(text_length: Column, sliced: Column, start: Column, end: Column, quoted: Column) -> Column:
+    """How a quoted span text relates to the slice of the text it points at (first match wins).
+
+    ``sliced`` is the slice with its last character included.
+    """
     quoted = F.coalesce(quoted, F.lit(""))
-    width = end - start + 1
-    incl = F.substring(text, (start + 1).cast("int"), width.cast("int"))
-    excl = F.substring(text, (start + 1).cast("int"), (width - 1).cast("int"))
+    shorter = F.substring(sliced, F.lit(1), F.length(sliced) - 1)
+    names = iter(MATCH_STATUSES)
     return (
-        F.when((start < 0) | (end < start), "invalid_span")
-        .when(end >= F.length(text), "outside_boundary")
-        .when(incl == quoted, "exact_inclusive")
-        .when(excl == quoted, "exact_exclusive")
-        .when(strip_space(incl) == strip_space(quoted), "strip_match_inclusive")
-        .when(strip_space(excl) == strip_space(quoted), "strip_match_exclusive")
-        .when((quoted != "") & incl.contains(quoted), "discourse_text_trimmed")
-        .otherwise("mismatch")
+        F.when((start < 0) | (end < start), next(names))
+        .when(end >= text_length, next(names))
+        .when(sliced == quoted, next(names))
+        .when(shorter == quoted, next(names))
+        .when(strip_space(sliced) == strip_space(quoted), next(names))
+        .when(strip_space(shorter) == strip_space(quoted), next(names))
+        .when((quoted != "") & sliced.contains(quoted), next(names))
+        .otherwise(next(names))
     )
 
 
 def match_statuses(spans: DataFrame, texts: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:
-    """Annotated spans with their text length and match status."""
-    annotated = spans.filter(F.col("label") != scheme.gap)
-    joined = annotated.join(texts.select("entity_id", "text"), "entity_id", "left")
+    """Annotated spans with their text length and match status.
+
+    Texts never travel with the spans: the borders of an entity's spans meet its one text row,
+    and only the slices go on.
+    """
+    annotated = spans.filter(F.col("label") != scheme.gap).select("entity_id", "k", "start_at", "end_at", "span_text")
+    borders = annotated.groupBy("entity_id").agg(F.collect_list(F.struct("k", "start_at", "end_at", "span_text")).alias("spans"))
+    met = borders.join(texts.select("entity_id", F.coalesce("text", F.lit("")).alias("text")), "entity_id", "left")
     text = F.coalesce(F.col("text"), F.lit(""))
-    return joined.select(
-        "entity_id", "k", "start_at", "end_at", F.length(text).cast("bigint").alias("text_length"),
-        span_match_status(text, F.col("start_at"), F.col("end_at"), F.col("span_text")).alias("status"),
-    )
+    rows = met.select("entity_id", text.alias("text"), F.length(text).cast("bigint").alias("text_length"), "spans")
+    cut = F.transform("spans", lambda s: F.struct(s.alias("s"), F.substring(
+        F.col("text"), (s["start_at"] + 1).cast("int"), (s["end_at"] - s["start_at"] + 1).cast("int")).alias("sliced")))
+    return rows.select("entity_id", "text_length", F.inline(cut)).select(
+        "entity_id", "s.k", "s.start_at", "s.end_at", "text_length",
+        span_match_status(F.col("text_length"), F.col("sliced"), F.col("s.start_at"), F.col("s.end_at"), F.col("s.span_text")).alias("status"))
 
 
 def match_histogram(spans: DataFrame, texts: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME,

@@ -51,6 +51,11 @@ def partition_status(spans: DataFrame, entities: DataFrame, bounds: str = "exten
         F.count_if(F.col("end_at") + 1 != F.col("all_start")).alias("breaks"),
     )
     joined = entities.select("entity_id", "char_count").join(agg, "entity_id", "left")
+    return joined.select("entity_id", "start_min", "end_max", "char_count", _tiling(bounds).alias("partition_status"))
+
+
+def _tiling(bounds: str = "extent") -> Column:
+    """Partition status from char_count, start_min, end_max or last_end, and breaks."""
     n = F.coalesce(F.col("char_count"), F.lit(0))
     if bounds == "extent":
         status = F.when(n == 0, "missing_text").when(F.col("start_min").isNull(), "no_spans")
@@ -60,13 +65,12 @@ def partition_status(spans: DataFrame, entities: DataFrame, bounds: str = "exten
         end = F.col("last_end")
     else:
         raise ValueError(f"unknown bounds mode {bounds!r}")
-    status = (
+    return (
         status.when(F.col("start_min") != 0, "does_not_start_at_zero")
         .when(end != n - 1, "does_not_end_at_last_char")
         .when(F.col("breaks") > 0, "gap_or_overlap")
         .otherwise("complete_partition")
     )
-    return joined.select("entity_id", "start_min", "end_max", "char_count", status.alias("partition_status"))
 
 
 def segment_stats(spans: DataFrame, entities: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:
@@ -140,30 +144,40 @@ def missing_labels(spans: DataFrame, entities: DataFrame, scheme: LabelScheme =
     """Scheme labels that an entity lacks, sorted and ``|``-joined."""
     has = {x: F.bool_or(F.col("label") == x).alias(f"has_{i}") for i, x in enumerate(scheme.labels)}
     agg = spans.groupBy("entity_id").agg(*has.values())
-    lacks = [
+    return entities.select("entity_id").join(agg, "entity_id", "left").select("entity_id", _lacking(scheme).alias("missing_labels"))
+
+
+def _lacking(scheme: LabelScheme) -> Column:
+    """Labels without a true ``has_<i>`` column, sorted and joined."""
+    return F.concat_ws("|", *[
         F.when(~F.coalesce(F.col(f"has_{i}"), F.lit(False)), F.lit(x))
-        for x, i in sorted((x, i) for i, x in enumerate(scheme.labels))
-    ]
-    return entities.select("entity_id").join(agg, "entity_id", "left").select(
-        "entity_id", F.concat_ws("|", *lacks).alias("missing_labels"))
+        for x, i in sorted((x, i) for i, x in enumerate(scheme.labels))])
 
 
 def annotation_issues(spans: DataFrame, entities: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME,
                       ordinal: str = "k") -> DataFrame:
-    """All geometry findings of an entity in one row."""
-    seg = segment_stats(spans, entities, scheme)
-    part = partition_status(spans, entities).select("entity_id", "partition_status")
-    out = seg.join(part, "entity_id", "left")
-    for extra in (order_heuristic(spans, scheme), order_matches_ordinal(spans, ordinal, scheme),
-                  duplicate_spans(spans, scheme), overlap_pairs(spans, scheme),
-                  missing_labels(spans, entities, scheme)):
+    """All geometry findings of an entity in one row.
+
+    All but the duplicates and the comparison with the ordinal are aggregates of one ordered table.
+    """
+    base = spans.select("entity_id", "k", "start_at", "end_at", "label").withColumn(
+        "is_gap", F.coalesce(F.col("label") == scheme.gap, F.lit(True)))
+    nxt = next_spans(cut_hot(base, "entity_id", SPAN_ORDER)).finish()
+    agg = nxt.groupBy("entity_id").agg(
+        F.count(F.lit(1)).alias("total_segments"), F.count_if(F.col("label") == scheme.gap).alias("unannotated_segments"),
+        F.min("start_at").alias("start_min"), F.max("end_at").alias("end_max"),
+        F.count_if(F.col("end_at") + 1 != F.col("all_start")).alias("breaks"),
+        F.count_if(~F.col("is_gap") & (F.col("end_at") >= F.col("next_start"))).alias("overlap_pairs"),
+        _order_is_expected(scheme).alias("order_valid"),
+        *[F.bool_or(F.col("label") == x).alias(f"has_{i}") for i, x in enumerate(scheme.labels)])
+    known = entities.select("entity_id", "char_count", F.lit(True).alias("known"))
+    out = agg.join(known, "entity_id", "left")
+    for extra in (order_matches_ordinal(spans, ordinal, scheme), duplicate_spans(spans, scheme)):
         out = out.join(extra, "entity_id", "left")
-    return out.withColumns(
-        {
-            "order_valid": F.coalesce("order_valid", F.lit(True)),
-            "order_matches": F.coalesce("order_matches", F.lit(False)),
-            "duplicate_annotations": F.coalesce("duplicate_annotations", F.lit(0)),
-            "overlap_pairs": F.coalesce("overlap_pairs", F.lit(0)),
-            "has_no_annotations": F.col("annotated_segments") == 0,
-        }
-    )
+    annotated = F.col("total_segments") - F.col("unannotated_segments")
+    return out.select(
+        "entity_id", "total_segments", "unannotated_segments", "start_min", "end_max", F.col("char_count").alias("text_length"),
+        annotated.alias("annotated_segments"), F.when(F.col("known"), _tiling()).alias("partition_status"), "order_valid",
+        F.coalesce("order_matches", F.lit(False)).alias("order_matches"),
+        F.coalesce("duplicate_annotations", F.lit(0)).alias("duplicate_annotations"), "overlap_pairs",
+        F.when(F.col("known"), _lacking(scheme)).alias("missing_labels"), (annotated == 0).alias("has_no_annotations"))
