@@ -10,14 +10,16 @@ over cells, so the cost is replicates x cells and never touches the data again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from spandoc.functions.keyed import keyed_int
 from spandoc.functions.scalar import clip_and_round
 from spandoc.operators.metrics import kappa
+from spandoc.operators.ordered import cut_hot, neighbours
 
-# Cell tables up to this many rows are sent to the tasks that draw from them.
-MAX_CELLS = 5_000_000
+# How the drawing is dealt: cells that meet in one task, and replicates drawn there at once.
+CELLS_PER_TASK = 50_000
+REPLICATES_PER_TASK = 100
 
 
 def joint_cells(preds: DataFrame, conditions: list[str]) -> DataFrame:
@@ -37,11 +39,9 @@ def joint_cells(preds: DataFrame, conditions: list[str]) -> DataFrame:
 def numbered_cells(cells: DataFrame) -> DataFrame:
     """Cells in value order with the half-open range [lo, hi) of row positions they stand for."""
     names = [c for c in cells.columns if c != "n"]
-    order = Window.orderBy(*names)  # bounded by the number of score combinations
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return cells.withColumns(
-        {"cell": F.row_number().over(order), "hi": F.sum("n").over(upto)}
-    ).withColumn("lo", F.col("hi") - F.col("n"))
+    one = cells.withColumn("one", F.lit(0))
+    placed = neighbours(cut_hot(one, "one", names), names, row_number="cell", running={"lo": "n"}).finish().drop("one")
+    return placed.withColumn("hi", F.col("lo") + F.col("n"))
 
 
 def _keyed_draws(numbered: DataFrame, n_rows: int, n_cells: int, replicates: int, seeds: list[int]) -> DataFrame:
@@ -61,30 +61,47 @@ def _keyed_draws(numbered: DataFrame, n_rows: int, n_cells: int, replicates: int
     return hit.groupBy("seed", "rep", "cell").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _multinomial_draws(numbered: DataFrame, n_rows: int, replicates: int, seeds: list[int]) -> DataFrame:
+def _multinomial_counts(cells: DataFrame, n_rows: int, n_cells: int, replicates: int, seeds: list[int]) -> DataFrame:
+    """(seed, rep, side, t, p, n) of multinomial replicates.
+
+    The rows of a replicate are first drawn over the parts of the cell table, from (seed, replicate), then over
+    the cells of each part, from (seed, replicate, part): together one draw over all cells.  The driver
+    only sees the sizes of the parts, one number per CELLS_PER_TASK cells.
+    """
     import numpy as np
     import pandas as pd
 
-    spark = numbered.sparkSession
-    table = numbered.select("cell", "n").toPandas()  # one row per score combination
-    cell = table["cell"].to_numpy()
-    share = table["n"].to_numpy(dtype="float64") / n_rows
-
-    def draw(batches):
-        for batch in batches:
-            parts = []
-            for s, r in zip(batch["seed"], batch["rep"]):
-                counts = np.random.default_rng([int(s), int(r)]).multinomial(n_rows, share)
-                hit = np.flatnonzero(counts)
-                parts.append(pd.DataFrame({"seed": s, "rep": r, "cell": cell[hit], "n": counts[hit]}))
-            if parts:
-                yield pd.concat(parts)
-
-    seeds_col = F.array(*[F.lit(s) for s in seeds])
-    reps = spark.range(replicates * len(seeds)).select(
-        F.get(seeds_col, F.floor(F.col("id") / replicates).cast("int")).cast("bigint").alias("seed"),
-        (F.col("id") % replicates).alias("rep"))
-    return reps.mapInPandas(draw, "seed bigint, rep bigint, cell int, n bigint")
+    names = [c for c in cells.columns if c not in ("t", "n")]
+    parts = max(1, -(-n_cells // CELLS_PER_TASK))
+    dealt = cells.withColumn("part", F.pmod(F.xxhash64("t", *names), F.lit(parts)).cast("int"))
+    share = np.zeros(parts)
+    for r in dealt.groupBy("part").agg(F.sum("n").alias("n")).collect():
+        share[r.part] = r.n / n_rows
+    blocks = -(-replicates // REPLICATES_PER_TASK)
+    tasks = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
+        "seed", F.explode(F.array(*[F.lit(s).cast("bigint") for s in seeds])))
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        seed, part, block = (int(x) for x in key)
+        pdf = pdf.sort_values(["t", *names])
+        within = pdf["n"].to_numpy(float)
+        within /= within.sum()
+        reps = range(block * REPLICATES_PER_TASK, min(replicates, (block + 1) * REPLICATES_PER_TASK))
+        counts = np.stack([
+            np.random.default_rng([seed, r, part]).multinomial(np.random.default_rng([seed, r]).multinomial(n_rows, share)[part], within)
+            for r in reps])
+        out = []
+        for side, name in enumerate(names):
+            pair, at = np.unique(pdf[["t", name]].to_numpy(np.int64), axis=0, return_inverse=True)
+            sums = np.zeros((len(reps), len(pair)), np.int64)
+            for j, c in enumerate(at.ravel()):
+                sums[:, c] += counts[:, j]
+            r, c = np.nonzero(sums)
+            out.append(pd.DataFrame({"seed": seed, "rep": r + reps.start, "side": side, "t": pair[c, 0], "p": pair[c, 1], "n": sums[r, c]}))
+        return pd.concat(out)
+
+    drawn = tasks.groupBy("seed", "part", "block").applyInPandas(draw, "seed bigint, rep bigint, side int, t bigint, p bigint, n bigint")
+    return drawn.groupBy("seed", "rep", "side", "t", "p").agg(F.sum("n").alias("n"))
 
 
 def bootstrap_differences(preds: DataFrame, a: str, others: list[str], replicates: int,
@@ -93,20 +110,16 @@ def bootstrap_differences(preds: DataFrame, a: str, others: list[str], replicate
     cells = joint_cells(preds, [a, *others])
     size = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n_rows, n_cells = int(size[0]), int(size[1])
-    if n_cells > MAX_CELLS:
-        raise ValueError(f"{n_cells} joint cells; compare fewer conditions at once")
-    numbered = numbered_cells(cells)
     if method == "keyed":
+        numbered = numbered_cells(cells)
         drawn = _keyed_draws(numbered, n_rows, n_cells, replicates, seeds)
+        sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"p{i}").alias("p")) for i in range(len(others) + 1)])
+        scored = drawn.join(numbered.drop("n", "lo", "hi"), "cell").select("seed", "rep", "t", "n", F.explode(sides).alias("s"))
+        flat = scored.groupBy("seed", "rep", F.col("s.side").alias("side"), "t", F.col("s.p").alias("p")).agg(F.sum("n").alias("n"))
     elif method == "multinomial":
-        drawn = _multinomial_draws(numbered, n_rows, replicates, seeds)
+        flat = _multinomial_counts(cells, n_rows, n_cells, replicates, seeds)
     else:
         raise ValueError(f"unknown method {method!r}")
-    values = numbered.drop("n", "lo", "hi")
-    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"p{i}").alias("p")) for i in range(len(others) + 1)])
-    scored = drawn.join(values, "cell").select("seed", "rep", "t", "n", F.explode(sides).alias("s"))
-    flat = scored.groupBy("seed", "rep", F.col("s.side").alias("side"), "t", F.col("s.p").alias("p")).agg(
-        F.sum("n").alias("n"))
     q = kappa(flat, ["seed", "rep", "side"])
     return q.groupBy("seed", "rep").agg(
         (F.max(F.when(F.col("side") == 0, F.col("qwk"))) - F.avg(F.when(F.col("side") > 0, F.col("qwk")))).alias("diff"))

@@ -13,11 +13,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from spandoc.schemas import RIDGE_ALPHAS
 
-# groups x columns^2 doubles reach the driver; beyond this the per-fold MLlib fits are the way.
-MAX_PRODUCT_CELLS = 50_000_000
-# Coefficient tables up to this many doubles are broadcast; larger ones are joined by shuffle.
-BROADCAST_COEFFICIENTS = 4_000_000
-
 
 def feature_columns(wide: DataFrame) -> list[str]:
     return [c for c in wide.columns if c != "entity_id"]
@@ -60,26 +55,32 @@ def fit_scaling(train: DataFrame, columns: list[str] | None = None) -> Scaling:
 
 @dataclass(frozen=True)
 class Products:
-    """Per group: Z'Z for Z = [1, scaled features, y]; groups add up to any training set."""
+    """Z'Z for Z = [1, scaled features, y], per group and in all; groups add up to any training set.
+
+    ``groups`` (g, i, r) has one row per group and matrix row and stays in Spark; the driver holds
+    the columns and one matrix, whatever the number of groups.
+    """
 
     columns: tuple[str, ...]
     scaling: Scaling
-    by_group: dict
+    groups: DataFrame
+    whole: object
 
     def total(self):
-        return sum(self.by_group.values())
+        return self.whole
 
 
 def cross_products(rows: DataFrame, columns: list[str], group: str, target: str = "score") -> Products:
     """Distributed pass: every task multiplies its rows per group, Spark adds the parts."""
     import numpy as np
     import pandas as pd
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    from spandoc.plans.storage import cut_lineage
 
     cols = sorted(columns)
     dim = len(cols) + 2
-    n_groups = rows.select(group).distinct().count()
-    if n_groups * dim * dim > MAX_PRODUCT_CELLS:
-        raise ValueError(f"{n_groups} groups x {dim} columns: use per-fold fits instead")
     scaling = fit_scaling(rows, cols)
     scaled = scaling.apply(rows, keep=(group, target)).select(
         F.col(group).cast("string").alias("g"), F.col(target).cast("double").alias("y"), *[f"`{c}`" for c in cols])
@@ -93,12 +94,31 @@ def cross_products(rows: DataFrame, columns: list[str], group: str, target: str
         for g, m in parts.items():
             yield pd.DataFrame({"g": g, "i": range(dim), "r": list(m)})
 
-    partial = scaled.mapInPandas(multiply, "g string, i int, r array<double>")
-    summed = partial.groupBy("g", "i").agg(*[F.sum(F.get("r", F.lit(j))).alias(f"c{j}") for j in range(dim)])
-    by_group: dict = {}
-    for row in summed.toPandas().sort_values(["g", "i"]).itertuples(index=False):
-        by_group.setdefault(row[0], np.zeros((dim, dim)))[row[1]] = row[2:]
-    return Products(tuple(cols), scaling, by_group)
+    partial = scaled.mapInPandas(multiply, "g string, i int, r array<double>").withColumn("r", array_to_vector("r"))
+
+    def added(parts: DataFrame, *keys: str) -> DataFrame:
+        return parts.groupBy(*keys).agg(Summarizer.sum(F.col("r")).alias("r")).withColumn("r", vector_to_array("r"))
+
+    groups = cut_lineage(added(partial, "g", "i"))
+    whole = np.zeros((dim, dim))
+    for r in added(groups.withColumn("r", array_to_vector("r")), "i").collect():  # one row per column
+        whole[r.i] = r.r
+    return Products(tuple(cols), scaling, groups, whole)
+
+
+def _per_group(products: Products, fit, schema: str) -> DataFrame:
+    """Rows of ``fit(group, training matrix, matrix of the group)`` for every group held out, on the executors."""
+    import numpy as np
+    import pandas as pd
+
+    whole = products.groups.sparkSession.sparkContext.broadcast(products.whole)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros_like(whole.value)
+        own[pdf["i"].to_numpy()] = np.stack(pdf["r"].to_numpy())
+        return fit(key[0], whole.value - own, own)
+
+    return products.groups.groupBy("g").applyInPandas(run, schema)
 
 
 @dataclass(frozen=True)
@@ -154,39 +174,48 @@ def _squared_error(products: Products, z, fit: LinearFit) -> float:
 
 def select_alpha(products: Products, columns: list[str], alphas=RIDGE_ALPHAS) -> tuple[float, list[tuple[float, float]]]:
     """Alpha with the smallest mean over folds of the held-out MSE (groups are the folds)."""
-    total = products.total()
-    scores = []
-    for alpha in alphas:
-        errors = []
-        for z in products.by_group.values():
-            fit = ridge_from_products(products, total - z, columns, alpha)
-            errors.append(_squared_error(products, z, fit) / float(z[0, 0]))
-        scores.append((float(alpha), sum(errors) / len(errors)))
+    import pandas as pd
+
+    slim = _slim(products)
+
+    def errors(g, z, own):
+        found = [_squared_error(slim, own, ridge_from_products(slim, z, columns, a)) / float(own[0, 0]) for a in alphas]
+        return pd.DataFrame({"alpha": [float(a) for a in alphas], "mse": found})
+
+    rows = _per_group(products, errors, "alpha double, mse double").groupBy("alpha").agg(F.avg("mse").alias("mse")).collect()
+    scores = [(float(a), next(r.mse for r in rows if r.alpha == float(a))) for a in alphas]
     return min(scores, key=lambda s: s[1])[0], scores
 
 
+def _slim(products: Products) -> Products:
+    """Without the tables, to be sent to tasks."""
+    return Products(products.columns, products.scaling, None, None)
+
+
 def leave_group_out_predictions(rows: DataFrame, products: Products, subsets: dict[str, list[str]], group: str,
                                 alpha: float = 10.0, target: str = "score") -> DataFrame:
     """(condition, group, entity_id, y_true, y_pred): each row predicted by the fit without its group.
 
-    One pass of products serves all conditions and folds; the coefficients (groups x
-    conditions x columns) travel to the rows as one small joined table.
+    One pass of products serves all conditions and folds; every fold is solved on an executor, and its
+    coefficients join the rows of its group.
     """
-    spark = rows.sparkSession
-    total = products.total()
-    table = []
-    for name, cols in subsets.items():
-        for g, z in products.by_group.items():
-            fit = ridge_from_products(products, total - z, cols, alpha)
+    import pandas as pd
+
+    slim = _slim(products)
+
+    def fits(g, z, own):
+        table = []
+        for name, cols in subsets.items():
+            fit = ridge_from_products(slim, z, cols, alpha)
             weight = dict(zip(fit.columns, fit.coef))
-            table.append((name, g, fit.intercept, [weight.get(c, 0.0) for c in products.columns]))
-    coef = spark.createDataFrame(table, "condition string, g string, b0 double, w array<double>")
+            table.append((name, g, fit.intercept, [weight.get(c, 0.0) for c in slim.columns]))
+        return pd.DataFrame(table, columns=["condition", "g", "b0", "w"])
+
+    coef = _per_group(products, fits, "condition string, g string, b0 double, w array<double>")
     x = F.expr("array(" + ", ".join(f"coalesce(cast(`{c}` AS DOUBLE), 0D)" for c in products.columns) + ") AS x")
-    slim = rows.select("entity_id", F.col(group).cast("string").alias("g"), F.col(target).alias("y_true"), x)
+    slim_rows = rows.select("entity_id", F.col(group).cast("string").alias("g"), F.col(target).alias("y_true"), x)
     dot = F.expr("b0 + aggregate(zip_with(x, w, (a, b) -> a * b), 0D, (s, v) -> s + v)")
-    if len(table) * len(products.columns) <= BROADCAST_COEFFICIENTS:
-        coef = F.broadcast(coef)
-    return slim.join(coef, "g").select(
+    return slim_rows.join(coef, "g").select(
         "condition", F.col("g").alias("grp"), "entity_id", "y_true", dot.alias("y_pred"))
 
 
@@ -262,6 +291,10 @@ def fit_ridge(train: DataFrame, alpha: float, features: str = "features", target
         featuresCol="x", labelCol="y", fitIntercept=False, regParam=0.0, solver="l-bfgs", maxIter=iterations,
         tol=tolerance).fit(written.select("x", "y"))
     forget(written)
+    if fitted.summary.totalIterations >= iterations:
+        import warnings
+
+        warnings.warn(f"ridge stopped after {iterations} iterations without reaching tolerance {tolerance}")
     return RidgeModel(fitted.setFeaturesCol("__x"), features, True)
 
 

@@ -23,8 +23,12 @@ def arrays_pairs(arr: Column) -> Column:
 
 
 def term_counts(entities: DataFrame, text: str = "text") -> DataFrame:
-    """(entity_id, term, tf).  Terms of a text come from one row, so the map side combines them."""
-    words = entities.select("entity_id", terms(F.col(text)).alias("w"))
+    """(entity_id, term, tf).
+
+    The words of a text are dealt by entity once; counting its terms, and norming its weights
+    later, then need no further exchange.
+    """
+    words = entities.select("entity_id", terms(F.col(text)).alias("w")).repartition("entity_id")
     both = words.select("entity_id", F.explode(F.concat("w", bigrams(F.col("w")))).alias("term"))
     return both.groupBy("entity_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
