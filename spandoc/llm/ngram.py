@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from spandoc.llm.common import Space, ascii_lower
 
-TOP = 2046
+TOP = 1022
 END, RARE, CLASSES = TOP, TOP + 1, TOP + 2  # predicted classes
-START, HISTORIES = TOP, 4096  # classes of histories; the end of a text is the start of the next
+START, HISTORIES = TOP, 1 << 11  # classes of histories; the end of a text is the start of the next
 CONTEXTS = (1, HISTORIES, HISTORIES)  # no history, one token, two tokens (hashed)
 LEVELS = len(CONTEXTS)
 BUCKETS = 48  # of context frequencies, by powers of two
@@ -74,7 +74,7 @@ class Vocabulary:
         one = np.concatenate([[START], own[:-1]])
         two = np.concatenate([[START, START], own[:-2]])[:len(own)]
         two[one == START] = START
-        pair = ((two * HISTORIES + one).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 12)
+        pair = ((two * HISTORIES + one).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 11)
         return at, kind, [np.zeros(len(at), np.int64), one, pair.astype(np.int64)]
 
 
@@ -90,7 +90,7 @@ class Tables:
         for level, size in enumerate(CONTEXTS):
             table = np.zeros(size * CLASSES, np.float32)
             cell, n = cells[level]
-            table[cell] = n
+            np.add.at(table, cell, n)
             table = table.reshape(size, CLASSES)
             total = table.sum(axis=1, dtype=np.float64)
             table /= np.maximum(total, 1).astype(np.float32)[:, None]
@@ -178,11 +178,14 @@ def _counts(docs: DataFrame, listed) -> DataFrame:
     return docs.mapInArrow(run, schema).groupBy("part", "level", "cell").agg(F.sum("n").alias("n"))
 
 
-def _cells(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """The tables on the driver: a fixed number of cells at most, whatever the size of the corpus."""
-    t = rows.filter(F.col("level") < LEVELS).groupBy("level", "cell").agg(F.sum("n").alias("n")).toArrow()
-    level, cell, n = (np.asarray(t[c]) for c in ("level", "cell", "n"))
-    return {k: (cell[level == k], n[level == k]) for k in range(LEVELS)}
+def _cells(counts: DataFrame, part: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The tables of one part on the driver: a fixed number of cells at most, whatever the size of the corpus."""
+    out = {}
+    for level in range(LEVELS):
+        rows = counts.filter((F.col("part") == part) & (F.col("level") == level))
+        t = rows.select(F.col("cell").cast("int"), F.col("n").cast("float")).toArrow()
+        out[level] = tuple(np.concatenate([np.asarray(x) for x in t[c].chunks] or [np.empty(0, k)]) for c, k in (("cell", np.int32), ("n", np.float32)))
+    return out
 
 
 def learn_weights(grams: DataFrame, cells, rounds: int = 8) -> np.ndarray:
@@ -275,11 +278,13 @@ def score_texts(
     listed = sc.broadcast(vocabulary)
 
     counts = space.write(_counts(docs.filter("part >= 0").select("part", "text"), listed))
-    weights = learn_weights(counts.filter("part = 1 AND level = 5"), _cells(counts.filter("part = 0")))
-    cells = _cells(counts)
+    cells = _cells(counts, 0)
+    weights = learn_weights(counts.filter("part = 1 AND level = 5"), cells)
+    back_cells = _cells(counts, 1)
+    cells = {k: tuple(map(np.concatenate, zip(cells[k], back_cells[k]))) for k in cells}
     by_part = np.zeros((2, vocabulary.end + 1), np.int64)
-    for r in counts.filter("level = 6").collect():  # a row per listed word and part
-        by_part[r.part, r.cell] = r.n
+    listed_counts = counts.filter("level = 6").toArrow()  # a row per listed word and part
+    by_part[np.asarray(listed_counts["part"]), np.asarray(listed_counts["cell"])] = np.asarray(listed_counts["n"])
     seen = by_part.sum(axis=0)
 
     rare = space.write(docs.mapInArrow(_rare_words(listed), _fields(docs, "part int, word string, tf bigint")))
