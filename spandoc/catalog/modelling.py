@@ -146,7 +146,7 @@ def _setup(spark, sf, **kw):
 
 @query("ridge_cv")
 def ridge_cv(spark, sf):
-    """Mean held-out MSE per alpha over five contiguous folds, and the alpha chosen."""
+    """Mean held-out MSE per alpha over five contiguous folds, and the alpha chosen, from the numeric features of T2."""
     best, scores = evaluation.choose_alpha(_setup(spark, sf), "T2")
     return spark.createDataFrame([(a, e, a == best) for a, e in scores], "alpha double, cv_mse double, selected boolean")
 
@@ -160,16 +160,16 @@ def ridge_text(spark, sf):
 @query("run_log")
 def run_log(spark, sf):
     """Several conditions through the runner; unknown ones become failed rows."""
-    preds, log = evaluation.run_conditions(["T0", "T1", "RND_s13", "NOT_A_CONDITION"], _setup(spark, sf, max_features=5000))
+    preds, log = evaluation.run_conditions(["T0", "T1", "RND_s13", "NOT_A_CONDITION"], _setup(spark, sf))
     scored = m.metrics(preds.filter("phase = 'test'"), ["condition"])
     return log.join(scored, "condition", "left")
 
 
 @query("gbt_numeric")
 def gbt_numeric(spark, sf):
-    """Boosted trees on the text-free conditions ."""
+    """Boosted trees on the text-free conditions: 10 rounds each, where the default is 300."""
     setup = _setup(spark, sf, tree_iterations=10)
-    preds = reduce(lambda a, b: a.unionByName(b), [evaluation.run_condition(c, setup) for c in ("N0", "N1")])
+    preds = reduce(lambda a, b: a.unionByName(b), [evaluation.run_condition(c, setup) for c in ("N0", "N1", "N2", "NS_s13")])
     return m.metrics(preds, ["condition", "phase"])
 
 
@@ -178,15 +178,16 @@ LOGO = ["T2", "T3", "POS", "POS_TRANS", "T3_PLUS_POS"]
 
 @query("leave_one_group_out")
 def leave_one_group_out(spark, sf):
-    """Every source held out once, five numeric conditions, from one pass of cross products."""
-    return evaluation.fold_table(evaluation.leave_one_group_out(_setup(spark, sf), LOGO), LOGO)
+    """Every source held out once, the numeric features of five conditions, from one pass of cross products."""
+    names = [n + evaluation.NUMERIC for n in LOGO]
+    return evaluation.fold_table(evaluation.leave_one_group_out(_setup(spark, sf), LOGO), names, names[0])
 
 
 @query("leave_one_group_out_text")
 def leave_one_group_out_text(spark, sf):
     """Every language held out once with the vocabulary refitted per fold."""
     spans, ents = _docs(spark, sf)
-    setup = evaluation.Setup(spans, ents.withColumn("grp", F.col("subgrp")), max_features=5000)
+    setup = evaluation.Setup(spans, ents.withColumn("grp", F.col("subgrp")))
     return evaluation.fold_table(evaluation.leave_one_group_out_refit(setup, ["T2"]), ["T2"])
 
 
@@ -200,17 +201,18 @@ def embedding_head(spark, sf):
 
 @query("embedding_structure_head")
 def embedding_structure_head(spark, sf):
-    """Vectors joined with the structure of the documents of the same id (D2, D_SHUFFLED)."""
+    """Vectors joined with the structure of the documents of the same id (D2, D_SHUFFLED); documents without one are counted."""
     docs = src.doc_entities(spark, sf)
     vec = src.vector_entities(spark, sf).select("entity_id", "embedding")
+    alone = docs.join(vec, "entity_id", "left_anti").count()
     setup = evaluation.Setup(src.doc_spans(spark, sf), docs.join(vec, "entity_id"))
     preds = reduce(lambda a, b: a.unionByName(b), [evaluation.run_condition(c, setup) for c in ("D2", "D_SHUFFLED_s42")])
-    return m.metrics(preds, ["condition", "phase"])
+    return m.metrics(preds, ["condition", "phase"]).withColumn("documents_without_vector", F.lit(alone).cast("bigint"))
 
 
 @query("residualized_ridge")
 def residualized_ridge(spark, sf):
-    """Structure features residualized on length and component count, then refitted."""
+    """Structure features residualized on length and component count, then refitted without the text."""
     spans, ents = _docs(spark, sf)
     ranks = structure.max_rank_count(spans, ents.filter("split = 'train'"))
     out = None
@@ -225,7 +227,7 @@ def residualized_ridge(spark, sf):
         products = models.cross_products(both.filter("split = 'train'"), cols, "split")
         fit = models.ridge_from_products(products, products.total(), cols, 10.0)
         one = both.filter("split = 'test'").select(
-            F.lit(f"{name}_residualized").alias("condition"), "entity_id", F.col("score").alias("y_true"),
+            F.lit(f"{name}_residualized" + evaluation.NUMERIC).alias("condition"), "entity_id", F.col("score").alias("y_true"),
             F.expr(fit.prediction()).alias("y_pred"))
         out = one if out is None else out.unionByName(one)
     return m.metrics(out)
@@ -283,7 +285,7 @@ def manifest_match(spark, sf):
 def ablation_consistency(spark, sf):
     """Names by set algebra on built tables, values by the largest difference over all entities."""
     spans, ents = _docs(spark, sf)
-    built = {c: conditions.build_condition(c, spans, ents, max_ranks=5) for c in ("T3", "NO_TRANS", "LABELPOS", "TRANS", "POS", "COUNTS_TRANS")}
+    built = {c: conditions.build_condition(c, spans, ents) for c in ("T3", "NO_TRANS", "LABELPOS", "TRANS", "POS", "COUNTS_TRANS")}
     cols = {c: set(models.feature_columns(d)) for c, d in built.items()}
 
     def named(prefix, c, infix=""):

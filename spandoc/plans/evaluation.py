@@ -12,7 +12,10 @@ from spandoc.plans import conditions
 from spandoc.plans.storage import cut_lineage
 from spandoc.schemas import DEFAULT_SCHEME, RIDGE_ALPHAS, LabelScheme
 
-PREDICTION_COLUMNS = ("condition", "base", "seed", "phase", "entity_id", "grp", "subgrp", "y_true", "y_pred")
+PREDICTION_SCHEMA = ("condition string, base string, seed bigint, phase string, entity_id string, grp string, subgrp string, "
+                     "y_true double, y_pred double")
+# Results of the numeric part of a text condition carry this ending.
+NUMERIC = "_numeric"
 
 
 @dataclass
@@ -96,17 +99,21 @@ def run_condition(name: str, setup: Setup) -> DataFrame:
         F.col("score").cast("double").alias("y_true"), F.col("prediction").alias("y_pred"))
 
 
-def run_conditions(names: list[str], setup: Setup) -> tuple[DataFrame | None, DataFrame]:
-    """Predictions of many conditions and a run log; a failing condition becomes a log row."""
+def run_conditions(names: list[str], setup: Setup) -> tuple[DataFrame, DataFrame]:
+    """Predictions of many conditions and a run log; a failing condition becomes a log row.
+
+    The predictions of a condition are stored before it counts as done, so failures while they
+    are computed are recorded too.
+    """
     import time
 
     spark = setup.entities.sparkSession
-    preds, log = None, []
+    preds = spark.createDataFrame([], PREDICTION_SCHEMA)
+    log = []
     for name in names:
         started = time.time()
         try:
-            one = run_condition(name, setup)
-            preds = one if preds is None else preds.unionByName(one)
+            preds = preds.unionByName(cut_lineage(run_condition(name, setup)))
             log.append((name, conditions.resolve(name).seed, "ok", None, time.time() - started))
         except Exception as e:  # recorded, the other conditions still run
             seed = None
@@ -116,7 +123,7 @@ def run_conditions(names: list[str], setup: Setup) -> tuple[DataFrame | None, Da
 
 
 def choose_alpha(setup: Setup, condition: str = "T2", folds: int = 5, alphas=RIDGE_ALPHAS):
-    """k-fold choice of alpha on the training rows of a numeric condition: (alpha, [(alpha, mse)])."""
+    """k-fold choice of alpha on the training rows, from the numeric features of a condition only: (alpha, [(alpha, mse)])."""
     train = setup.entities.filter("split = 'train'")
     cond = conditions.resolve(condition)
     wide = conditions.build_condition(condition, setup.spans, train, setup.scheme, setup.ranks() if _needs_ranks(cond) else 0)
@@ -127,11 +134,15 @@ def choose_alpha(setup: Setup, condition: str = "T2", folds: int = 5, alphas=RID
 
 
 def leave_one_group_out(setup: Setup, names: list[str], group: str = "grp", widest: str = "T3_PLUS_POS") -> DataFrame:
-    """Held-out-group predictions of numeric conditions that are column subsets of ``widest``."""
+    """Held-out-group predictions from the numeric features of conditions that are column subsets of ``widest``.
+
+    Texts take no part, so the results are named ``<condition>_numeric``; ``leave_one_group_out_refit``
+    fits texts as well.
+    """
     wide = conditions.build_condition(widest, setup.spans, setup.entities, setup.scheme, setup.ranks())
     rows = cut_lineage(wide.join(setup.entities.select("entity_id", "score", group), "entity_id"))
     cols = models.feature_columns(wide)
-    subsets = {n: conditions.feature_names(n, setup.scheme, setup.ranks()) for n in names}
+    subsets = {n + NUMERIC: conditions.feature_names(n, setup.scheme, setup.ranks()) for n in names}
     missing = {n: sorted(set(s) - set(cols)) for n, s in subsets.items() if set(s) - set(cols)}
     if missing:
         raise ValueError(f"conditions are not part of {widest}: {missing}")
