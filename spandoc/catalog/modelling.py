@@ -54,23 +54,37 @@ _CONFOUNDS = {
 }
 
 
-@query("correlations", sql("""SELECT f.feature AS feature_name, c.confound, round(CASE WHEN stddev_pop(c.value) > 0 THEN corr(f.value, c.value) END, 5) AS r
+_CORR = """pairs AS (
+  SELECT f.feature AS feature_name, c.confound, count(*) AS n, CASE WHEN stddev_pop(c.value) > 0 THEN corr(f.value, c.value) END AS r
   FROM (SELECT entity_id, feature, value FROM dense WHERE split = 'train' AND feature LIKE 'order%') f
-  JOIN (SELECT entity_id, n.confound, value FROM dense JOIN (VALUES """ + ", ".join(f"('{k}', '{v}')" for k, v in _CONFOUNDS.items())
-  + """) n(confound, feature) USING (feature)
+  JOIN (SELECT entity_id, n.confound, value FROM dense JOIN (VALUES """ + ", ".join(f"('{k}', '{v}')" for k, v in _CONFOUNDS.items()) + """) n(confound, feature) USING (feature)
         UNION ALL SELECT entity_id, 'score', score FROM doc_entities) c USING (entity_id)
-  GROUP BY f.feature, c.confound HAVING stddev_pop(f.value) >= 1e-12""", "doc_spans", "doc_entities", extra=_LONG))
+  GROUP BY f.feature, c.confound HAVING stddev_pop(f.value) >= 1e-12)"""
+
+# The tail of Student's t: its density integrated by Simpson's rule from 0 to |t| (at 60 it is 0 to any digit shown).
+_TAIL = """sized AS (SELECT *, n - 2 AS df, least(60, abs(r) * sqrt((n - 2) / (1 - r * r))) AS t FROM pairs WHERE abs(r) < 1 AND n > 2),
+tails AS (SELECT feature_name, confound, 1 - 2 * any_value(exp(lgamma((df + 1) / 2.0e0) - lgamma(df / 2.0e0)) / sqrt(df * pi()) * t / 6000)
+    * sum((CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + (t * i / 2000) * (t * i / 2000) / df, -(df + 1) / 2.0e0)) AS p
+  FROM sized, range(2001) x(i) GROUP BY ALL)"""
+
+
+@query("correlations", sql("SELECT feature_name, confound, round(r, 5) AS r FROM pairs", "doc_spans", "doc_entities", extra=_LONG + ",\n" + _CORR))
 def correlations(spark, sf):
-    return correlation_pvalues(spark, sf).select("feature_name", "confound", F.round("r", 5).alias("r"))
+    return correlation_pvalues(spark, sf).select("feature_name", "confound", "r")
 
 
-@query("correlation_pvalues")
+@query("correlation_pvalues", sql("""SELECT a.feature_name, CASE WHEN a.feature_name LIKE 'order_trans%' THEN 'transition'
+    WHEN a.feature_name LIKE 'order_first_is%' OR a.feature_name LIKE 'order_final_is%' THEN 'firstlast' ELSE 'label_position' END AS feature_family,
+  a.confound, round(r, 5) AS r, round(CASE WHEN abs(r) >= 1 THEN 0 WHEN r IS NOT NULL THEN greatest(p, 0) END, 5) + 0.0e0 AS p
+  FROM pairs a LEFT JOIN tails b ON a.feature_name = b.feature_name AND a.confound = b.confound""",
+  "doc_spans", "doc_entities", extra=_LONG + ",\n" + _CORR + ",\n" + _TAIL))
 def correlation_pvalues(spark, sf):
     spans, ents = _docs(spark, sf)
     wide = _train(conditions.build_condition("T3", spans, ents), ents).join(
         ents.select("entity_id", F.col("score").cast("double").alias("score")), "entity_id")
     structural = [n for n in _NAMES if n.startswith("order_")]
-    return stats.correlations(wide, structural, {**_CONFOUNDS, "score": "score"}, conditions.feature_families())
+    found = stats.correlations(wide, structural, {**_CONFOUNDS, "score": "score"}, conditions.feature_families())
+    return found.withColumns({"r": F.round("r", 5), "p": F.round("p", 5)})
 
 
 @query("scaled_features", sql("""SELECT entity_id, feature, round((value - mu) / CASE WHEN lo = hi THEN 1 ELSE sd END, 5) AS value
