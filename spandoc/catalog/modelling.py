@@ -10,7 +10,7 @@ from spandoc.catalog.controls import ranked_sql
 from spandoc.catalog.ctes import sql
 from spandoc.catalog.feature_sql import features_extra, features_select
 from spandoc.catalog.registry import query
-from spandoc.operators import audit, controls, metrics as m, models, qa, stats, structure
+from spandoc.operators import controls, metrics as m, models, qa, stats, structure
 from spandoc.plans import conditions, evaluation
 from spandoc.plans.storage import cut_lineage
 from spandoc.schemas import CHAT_SCHEME, DEFAULT_SCHEME
