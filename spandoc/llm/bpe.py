@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Pieces a worker remembers, and characters of text whose new pieces are encoded together.
-REMEMBERED, CHUNK = 400_000, 4_000_000
+REMEMBERED, CHUNK = 150_000, 2_000_000
+DECODED_ROWS = 2000
+MANY = 64  # places of a rank that are merged together
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -26,7 +27,7 @@ class Replay:
 
     All pieces lie in one linked list of tokens.  ``where`` is the inverted index: for each rank the
     places whose token and right neighbour merge into that rank.  The lowest rank present is taken
-    next and merged from left to right; each merge only re-indexes its two neighbours.
+    next and merged at all its places; each merge only re-indexes its two neighbours.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -35,78 +36,222 @@ class Replay:
         self.tokens = [b""] * self.size
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.double = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64)
         self.pairs: dict[int, int] = {}
 
-    def _rank(self, left: int, right: int) -> int:
-        key = left * self.size + right
-        rank = self.pairs.get(key)
-        if rank is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            rank = self.pairs[key] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-        return rank
-
-    def encode(self, pieces: Iterable[bytes]) -> list[list[int]]:
-        pieces = list(pieces)
-        token: list[int] = []
-        starts = []
-        for p in pieces:
-            starts.append(len(token))
-            whole = self.ranks.get(p)
-            token.extend([whole] if whole is not None else map(self.single.__getitem__, p))
-            token.append(-1)
-        n = len(token)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        where: dict[int, list[int]] = {}
+    def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of what each pair merges into, -1 if it does not (or one side is no token)."""
+        keys = np.where((left >= 0) & (right >= 0), left * self.size + right, -1)
+        back = None
+        if len(keys) > 24:
+            keys, back = np.unique(keys, return_inverse=True)
+        known, tokens, out = self.pairs, self.tokens, []
+        for key in keys.tolist():
+            rank = known.get(key)
+            if rank is None:
+                rank = -1 if key < 0 else self.ranks.get(tokens[key // self.size] + tokens[key % self.size], -1)
+                known[key] = rank
+            out.append(rank)
+        found = np.array(out, np.int64)
+        return found if back is None else found[back]
+
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after another, and how many each has."""
+        whole = np.array([self.ranks.get(p, -1) for p in pieces], np.int64)
+        open_ = [p for p, rank in zip(pieces, whole.tolist()) if rank < 0]
+        flat, sizes = self._merge(open_)
+        lengths = np.ones(len(pieces), np.int64)
+        lengths[whole < 0] = sizes
+        out = np.empty(lengths.sum(), np.int32)
+        single = np.repeat(whole >= 0, lengths)
+        out[single] = whole[whole >= 0]
+        out[~single] = flat
+        return out, lengths
+
+    def _merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if not pieces:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        # One more byte per piece for the mark that ends it; place -1 is the last mark.
+        raw = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8)
+        ends = np.cumsum([len(p) + 1 for p in pieces]) - 1
+        inside = np.ones(len(raw), bool)
+        inside[ends] = False
+        piece = np.cumsum(~inside)
+        token = np.where(inside, self.single[raw], -1)
+        after, before = np.arange(1, len(raw) + 1), np.arange(-1, len(raw) - 1)
+        # Few places of a rank are merged one by one, many at once.
+        few: dict[int, list[int]] = {}
+        many: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
 
-        def index(i: int) -> int:
-            """File the pair that starts at ``i``; its rank, or one that is never taken."""
-            left, right = token[i], token[after[i]]
-            if left < 0 or right < 0:
-                return self.size
-            rank = self._rank(left, right)
-            if rank < 0:
-                return self.size
-            places = where.get(rank)
-            if places is None:
-                where[rank] = [i]
-                heappush(heap, rank)
-            else:
-                places.append(i)
+        def index(places: np.ndarray, ranks: np.ndarray) -> None:
+            fine = ranks >= 0
+            places, ranks = places[fine], ranks[fine]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            if not len(places):
+                return
+            starts = np.concatenate([[0], np.flatnonzero(ranks[1:] != ranks[:-1]) + 1])
+            for rank, first, end in zip(ranks[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(places)]):
+                if rank not in few and rank not in many:
+                    heappush(heap, rank)
+                if end - first < MANY:
+                    few.setdefault(rank, []).extend(places[first:end].tolist())
+                else:
+                    many.setdefault(rank, []).append(places[first:end])
+
+        # The same arrays, fast to read and write one element at a time.
+        token_at, after_at, before_at = memoryview(token), memoryview(after), memoryview(before)
+        size, known, ranks, tokens = self.size, self.pairs, self.ranks, self.tokens
+
+        def rank_of(left: int, right: int) -> int:
+            key = left * size + right
+            rank = known.get(key)
+            if rank is None:
+                rank = known[key] = ranks.get(tokens[left] + tokens[right], -1)
             return rank
 
-        for i in range(n - 1):
-            index(i)
-        while heap:
-            rank = heappop(heap)
-            places = sorted(where.pop(rank))
-            for at, i in enumerate(places):
-                j = after[i]
-                if token[i] < 0 or j >= n or token[j] < 0 or self._rank(token[i], token[j]) != rank:
+        def merge_many(rank: int, i: np.ndarray) -> None:
+            i = i[token[i] >= 0]
+            j = after[i]
+            same = self._pair_ranks(token[i], token[j]) == rank  # else a neighbour was merged away meanwhile
+            i, j = i[same], j[same]
+            valid = i
+            if len(i) > 1:
+                linked = np.concatenate([[False], j[:-1] == i[1:]])
+                if linked.any():  # pairs that share a token: from left to right, every other one
+                    at = np.arange(len(i))
+                    even = (at - np.maximum.accumulate(np.where(linked, 0, at))) % 2 == 0
+                    i, j = i[even], j[even]
+            if not len(i):
+                return
+            k = after[j]
+            merged = np.full(len(i), rank)
+            right, left = self._pair_ranks(merged, token[k]), self._pair_ranks(token[before[i]], merged)
+            soon = (right >= 0) & (right < rank) | (left >= 0) & (left < rank)
+            twice = rank_of(rank, rank)
+            if 0 <= twice < rank:
+                soon[:] = True
+            if soon.any():  # a new pair may go before the other places of its piece: merge the first one only
+                of = piece[i]
+                now = ~(np.isin(of, of[soon]) & np.concatenate([[False], of[1:] == of[:-1]]))
+                later = np.setdiff1d(valid[np.isin(piece[valid], of[soon])], i[now])
+                i, j, k, merged = i[now], j[now], k[now], merged[now]
+                index(later, np.full(len(later), rank))
+                right, left = right[now], left[now]
+            token[i], token[j] = rank, -2
+            after[i] = k
+            before[k] = i
+            h = before[i]
+            # Two merges side by side see each other.
+            right[token[k] == rank] = twice
+            left[token[h] == rank] = twice
+            index(np.concatenate([i, h]), np.concatenate([right, left]))
+
+        def merge_few(rank: int, places: list[int]) -> None:
+            places.sort()
+            for done, i in enumerate(places, 1):
+                j = after_at[i]
+                left, right = token_at[i], token_at[j]
+                if left < 0 or right < 0 or rank_of(left, right) != rank:
                     continue  # a neighbour was merged away meanwhile
-                token[i], token[j] = rank, -2
-                after[i] = after[j]
-                before[after[j]] = i
-                lowest = index(i)
-                if before[i] >= 0:
-                    lowest = min(lowest, index(before[i]))
-                if lowest < rank and at + 1 < len(places):  # the new pair goes first
-                    if rank in where:
-                        where[rank].extend(places[at + 1:])
-                    else:
-                        where[rank] = places[at + 1:]
+                token_at[i], token_at[j] = rank, -2
+                k = after_at[i] = after_at[j]
+                before_at[k] = i
+                h = before_at[i]
+                lowest = size
+                for place, left, right in ((i, rank, token_at[k]), (h, token_at[h], rank)):
+                    if left >= 0 and right >= 0:
+                        new = rank_of(left, right)
+                        if new >= 0:
+                            if new in few:
+                                few[new].append(place)
+                            else:
+                                few[new] = [place]
+                                if new not in many:
+                                    heappush(heap, new)
+                            if new < lowest:
+                                lowest = new
+                if lowest < rank and done < len(places):  # the new pair goes first
+                    if rank not in few and rank not in many:
                         heappush(heap, rank)
-                    break
-        out = []
-        for i in starts:
-            ids = []
-            while token[i] != -1:
-                ids.append(token[i])
-                i = after[i]
-            out.append(ids)
-        return out
+                    few.setdefault(rank, []).extend(places[done:])
+                    return
+
+        index(np.arange(len(raw) - 1), np.where(inside[:-1] & inside[1:], self.double[raw[:-1], raw[1:]], -1))
+        while heap:
+            rank = heappop(heap)
+            places, blocks = few.pop(rank, []), many.pop(rank, [])
+            if not blocks and len(places) < MANY:
+                merge_few(rank, places)
+            else:
+                merge_many(rank, np.unique(np.concatenate([*blocks, np.array(places, np.int64)])))
+        left = token[token != -2]
+        cuts = np.flatnonzero(left == -1)
+        return left[left >= 0], np.diff(np.concatenate([[-1], cuts])) - 1
+
+
+class Pieces(dict):
+    """Piece -> number, in order of first use; ``fresh`` lists those without ids yet."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.fresh.append(piece)
+        return number
+
+
+class Memory:
+    """The pieces that a worker has encoded, kept from task to task; when they are too many, the rarer ones are forgotten."""
+
+    held: "Memory | None" = None
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.replay = ranks, Replay(ranks)
+        self.pieces = Pieces()
+        self.ids = np.empty(0, np.int32)
+        self.starts, self.lengths, self.uses = (np.empty(0, np.int64) for _ in range(3))
+
+    def forget(self) -> None:
+        """Keep the third of REMEMBERED pieces that were used most."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[:REMEMBERED // 3])
+        names = list(self.pieces)
+        self.pieces = Pieces()
+        self.pieces.update((names[i], n) for n, i in enumerate(kept.tolist()))
+        size = self.lengths[kept]
+        done = np.cumsum(size)
+        self.ids = self.ids[np.arange(size.sum()) + np.repeat(self.starts[kept] - (done - size), size)]
+        self.starts, self.lengths, self.uses = done - size, size, self.uses[kept]
+
+    @classmethod
+    def of(cls, ranks: dict[bytes, int]) -> "Memory":
+        if cls.held is None or cls.held.ranks is not ranks:
+            cls.held = cls(ranks)
+        return cls.held
+
+    def encode(self, texts: list[str], find) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has."""
+        if len(self.pieces) > REMEMBERED:
+            self.forget()
+        number = self.pieces.__getitem__
+        used = [np.fromiter(map(number, find(t)), np.int32) for t in texts]
+        ids, lengths = self.replay.encode([p.encode() for p in self.pieces.fresh])
+        self.pieces.fresh.clear()
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, ids])
+        flat = np.concatenate(used)
+        self.uses = np.bincount(flat, minlength=len(self.pieces)) + np.concatenate([self.uses, np.zeros(len(lengths), np.int64)])
+        size = self.lengths[flat]
+        done = np.cumsum(size)
+        out = self.ids[np.arange(done[-1] if len(done) else 0) + np.repeat(self.starts[flat] - (done - size), size)]
+        ends = np.concatenate([[0], done])[np.cumsum([len(u) for u in used])]
+        return out, np.diff(np.concatenate([[0], ends]))
 
 
 def encode(entities: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -125,32 +270,19 @@ def encode(entities: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFr
         import regex
 
         find = regex.compile(pattern).findall
-        replay = Replay(shared.value)
-        known: dict[str, list[int]] = {}
+        memory = Memory.of(shared.value)
         for b in batches:
             texts = b.column(1)
-            sizes = [len(t.as_py() or "") for t in texts]
-            flat, counts = [], []
-            at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + sizes[end] <= CHUNK):
-                    chars += sizes[end]
-                    end += 1
-                pieces = [find(t.as_py() or "") for t in texts[at:end]]
-                new = list(set(chain.from_iterable(pieces)).difference(known))
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = list(set(chain.from_iterable(pieces)))
-                known.update(zip(new, replay.encode(p.encode() for p in new)))
-                for found in pieces:
-                    ids = np.fromiter(chain.from_iterable(map(known.__getitem__, found)), np.int32)
-                    flat.append(ids)
-                    counts.append(len(ids))
-                at = end
-            offsets = pa.array([0, *accumulate(counts)], pa.int32())
-            ids = pa.ListArray.from_arrays(offsets, np.concatenate(flat) if flat else np.empty(0, np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["entity_id", "ids"])
+            part, size = [], 0
+            for i, t in enumerate(texts, 1):
+                part.append(t.as_py() or "")
+                size += len(part[-1])
+                if size >= CHUNK or i == len(texts):
+                    ids, counts = memory.encode(part, find)
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).slice(i - len(part), len(part)), pa.ListArray.from_arrays(offsets, ids)], ["entity_id", "ids"])
+                    part, size = [], 0
 
     return rows.mapInArrow(run, schema)
 
@@ -159,13 +291,30 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Adds ``decoded`` (binary): the bytes of the tokens in ``ids``; null ids give null.  Unknown ids are an error."""
     rows = encoded.select("entity_id", "ids")
     schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())])
-    shared = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    shared = encoded.sparkSession.sparkContext.broadcast(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
+        raw = np.frombuffer(b"".join(shared.value), np.uint8)
+        lengths = np.array([len(t) for t in shared.value], np.int64)
+        starts = np.cumsum(lengths) - lengths
         for b in batches:
-            decoded = [None if ids.values is None else b"".join(map(token, ids.values.to_pylist())) for ids in b.column(1)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decoded, pa.binary())], [*b.schema.names, "decoded"])
+            for lo in range(0, len(b), DECODED_ROWS):
+                part = b.slice(lo, DECODED_ROWS)
+                column = part.column(1)
+                ids = column.flatten().to_numpy(zero_copy_only=False)
+                rows = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                if len(ids) and not (0 <= ids.min() and ids.max() < len(lengths) and lengths[ids].all()):
+                    raise ValueError("ids beyond the vocabulary")
+                size = lengths[ids]
+                done = np.cumsum(size)
+                text = raw[np.arange(done[-1] if len(done) else 0) + np.repeat(starts[ids] - (done - size), size)]
+                ends = np.concatenate([[0], done])[np.concatenate([[0], np.cumsum(rows)])].astype(np.int32)
+                valid = pa.py_buffer(np.packbits(column.is_valid().to_numpy(zero_copy_only=False), bitorder="little").tobytes())
+                decoded = pa.BinaryArray.from_buffers(pa.binary(), len(part), [valid, pa.py_buffer(ends), pa.py_buffer(text)])
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], [*b.schema.names, "decoded"])
 
     return rows.mapInArrow(run, schema)
 

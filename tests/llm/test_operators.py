@@ -459,9 +459,25 @@ def test_bpe_round_trip(spark, frame, texts, tokenizer):
         assert bytes(r.decoded) == (text[r.entity_id] or "").encode()
 
 
-def test_replay_follows_the_lowest_rank():
+def test_memory_forgets_the_rarer_pieces(tokenizer, monkeypatch):
+    import regex
+
+    ranks, pattern = tokenizer
+    find = regex.compile(pattern).findall
+    monkeypatch.setattr(bpe, "REMEMBERED", 30)
+    small, rng = bpe.Memory(ranks), random.Random(1)
+    for _ in range(20):
+        texts = [" ".join(f"w{rng.randrange(99)} the" for _ in range(9)), ""]
+        ids, counts = small.encode(texts, find)
+        whole = bpe.Memory(ranks).encode(texts, find)
+        assert ids.tolist() == whole[0].tolist() and counts.tolist() == whole[1].tolist() and counts[1] == 0
+    assert " the" in small.pieces and len(small.pieces) < 60
+
+
+@pytest.mark.parametrize("many", [1, 3, 64])
+def test_replay_follows_the_lowest_rank(monkeypatch, many):
     """A merge may create a pair of lower rank than its own: it goes first."""
-    ranks = {bytes([b]): 10 + b for b in range(256)} | {b"ab": 3, b"abc": 1, b"cd": 4, b"aba": 2}
+    ranks = {bytes([b]): 10 + b for b in range(256)} | {b"ab": 3, b"abc": 1, b"cd": 4, b"aba": 2, b"aa": 6, b"aaa": 5, b"abab": 0, b"dab": 7}
 
     def greedy(p):
         parts = [bytes([b]) for b in p]
@@ -472,10 +488,14 @@ def test_replay_follows_the_lowest_rank():
             i = best[1]
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
 
+    monkeypatch.setattr(bpe, "MANY", many)
     rng = random.Random(0)
     pieces = [bytes(rng.choices(b"abcd", k=rng.randrange(1, 12))) for _ in range(300)]
     pieces = [p for p in dict.fromkeys(pieces) if p not in ranks]
-    assert bpe.Replay(ranks).encode(pieces) == [greedy(p) for p in pieces]
+    pieces.append(b"a" * 101)
+    ids, lengths = bpe.Replay(ranks).encode(pieces)
+    for p, x in zip(pieces, np.split(ids, np.cumsum(lengths)[:-1])):
+        assert (p, x.tolist()) == (p, greedy(p))
 
 
 # language model
