@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from spandoc.plans.storage import forget, shared_folder
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # A key whose rows exceed this share of all rows is joined through a broadcast; at most HEAVY keys can.
 HEAVY = 10_000
@@ -23,23 +22,14 @@ def hex_digits(value: Column) -> Column:
 
 
 class Space:
-    """Intermediate tables in the folder that ``spark.checkpoint.dir`` names.
+    """Intermediate tables below the folder that ``spark.checkpoint.dir`` names.
 
-    The folder is shared by the driver and all executors, so a lost executor takes nothing
-    with it.  A plain local session without the setting (tests) gets a temporary folder.
+    The folder is shared by the driver and all executors, so a lost executor takes nothing with it.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not re.match(r"local(\[|$)", spark.sparkContext.master):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            import tempfile
-
-            base = "file://" + tempfile.mkdtemp(prefix="spandoc-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.folder = f"{base.rstrip('/')}/spandoc-{uuid.uuid4().hex}"
+        self.folder = shared_folder(spark)
         self.tables = 0
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -53,8 +43,7 @@ class Space:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later step reads."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        forget(df)
 
 
 def heavy_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
