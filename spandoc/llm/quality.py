@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 PASSAGE_WORDS = 64
-CHUNK = 8_000_000  # bytes of text encoded at once
+CHUNK = 1_000_000  # bytes of text encoded at once
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 # Classes of bytes: blanks, small letters, capitals, digits, beyond ASCII, control, each punctuation mark.
