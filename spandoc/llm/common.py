@@ -46,7 +46,7 @@ class Space:
         forget(df)
 
 
-def heavy_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+def heavy_join(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, how: str = "inner") -> DataFrame:
     """Equi-join (``inner`` or ``left``) of ``left`` with the unique keys of ``right``, safe for skewed keys.
 
     ``weight`` is a column of ``right`` with the number of left rows of the key.  Keys that hold more

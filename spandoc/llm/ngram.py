@@ -1,35 +1,28 @@
-"""Language-model scores: word n-grams mixed by deleted interpolation, beside a smoothed unigram model.
-
-Tokens are words (between ASCII blanks, A-Z lower-cased) and one end per text.  The n-gram model predicts a token
-from the one or two before it.  Its tables have a fixed size whatever the corpus: the ``TOP`` most
-common words of a sample and the end are predicted one by one, all other words through one rare
-class, P(rare | history) * P(word | rare); histories are those words and, for the others, classes by
-their last three bytes.  Within the rare class a word has its share of the class's tokens,
-and what kept-back texts show to be new words is left to the one unknown word.
+"""Language-model scores: word trigrams mixed by deleted interpolation, beside a smoothed unigram model.
+
+Tokens are words (between ASCII blanks, A-Z lower-cased) and one end per text; each is predicted from the two before
+it.  All words, bigrams and trigrams of the corpus are counted, in tables that grow with it and stay on the executors.
+A word is known by 64 bits of its xxhash, a history by the words in it.  P(word) keeps back, for the one unknown
+word, what kept-back texts show to be new words.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import chain
 from math import log10
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from spandoc.llm.common import Space, ascii_lower
+from spandoc.llm.common import HEAVY, Space, heavy_join
 
-TOP = 1022
-END, RARE, CLASSES = TOP, TOP + 1, TOP + 2  # predicted classes
-START, HISTORIES = TOP, 1 << 11  # classes of histories; the end of a text is the start of the next
-CONTEXTS = (1, HISTORIES, HISTORIES)  # no history, one token, two tokens (hashed)
-LEVELS = len(CONTEXTS)
+END = 0  # the end of a text is the start of the next
+LEVELS = 3  # histories of no, one and two tokens
 BUCKETS = 48  # of context frequencies, by powers of two
-CHUNK, FLUSH = 2_000_000, 64_000_000  # bytes of text handled at once; until a task hands on its counts
+CHUNK = 2_000_000  # bytes of text handled at once
+KNOWN = 1_000_000  # words whose numbers a task remembers
+GRAM = ["u", "v", "w"]
 
 
 def _pieces(texts: pa.Array) -> Iterator[list[list[bytes]]]:
@@ -46,178 +39,115 @@ def _pieces(texts: pa.Array) -> Iterator[list[list[bytes]]]:
         yield part
 
 
-class Vocabulary:
-    """Listed words by place, most common first; the end has the place after the last word."""
-
-    def __init__(self, words: list[bytes]):
-        self.place: dict[bytes | None, int] = {w: i for i, w in enumerate(words)}
-        self.end = self.place[None] = len(words)
-        self.history = np.array([i if i < TOP else self.by_ending(w) for i, w in enumerate(words)] + [START], np.int64)
-
-    @staticmethod
-    def by_ending(word: bytes) -> int:
-        return CLASSES + crc32(word[-3:]) % (HISTORIES - CLASSES)
-
-    def tokens(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Place of every token (-1: not listed), its predicted class, and its context per level."""
-        flat: list[bytes | None] = []
-        for words in texts:
-            flat.extend(words)
-            flat.append(None)
-        get = self.place.get
-        at = np.fromiter((get(w, -1) for w in flat), np.int64, len(flat))
-        own = self.history[at]
-        unlisted = np.flatnonzero(at < 0)
-        own[unlisted] = [self.by_ending(flat[i]) for i in unlisted.tolist()]
-        end = at == self.end
-        kind = np.where(end, END, np.where((at >= 0) & (at < TOP), at, RARE))
-        one = np.concatenate([[START], own[:-1]])
-        two = np.concatenate([[START, START], own[:-2]])[:len(own)]
-        two[one == START] = START
-        pair = ((two * HISTORIES + one).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 11)
-        return at, kind, [np.zeros(len(at), np.int64), one, pair.astype(np.int64)]
-
-
-def _bucket(n: np.ndarray) -> np.ndarray:
-    return np.minimum(BUCKETS - 1, np.ceil(np.log2(n + 1.0)).astype(np.int64))
-
-
-class Tables:
-    """Relative frequencies [context, class] and frequency buckets [context] of every level, from counted cells."""
-
-    def __init__(self, cells: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.frequency, self.bucket = [], []
-        for level, size in enumerate(CONTEXTS):
-            table = np.zeros(size * CLASSES, np.float32)
-            cell, n = cells[level]
-            np.add.at(table, cell, n)
-            table = table.reshape(size, CLASSES)
-            total = table.sum(axis=1, dtype=np.float64)
-            table /= np.maximum(total, 1).astype(np.float32)[:, None]
-            self.frequency.append(table)
-            self.bucket.append(_bucket(total))
-
-    def look_up(self, contexts: list[np.ndarray], kind: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        return ([f[c, kind].astype(np.float64) for f, c in zip(self.frequency, contexts)],
-                [b[c] for b, c in zip(self.bucket, contexts)])
+class _Numbers(dict):
+    """Numbers of the words met so far."""
 
+    def __missing__(self, word: bytes | None) -> int:
+        from xxhash import xxh64_intdigest
 
-def mixed(frequency: list[np.ndarray], weight: list[np.ndarray]) -> list[np.ndarray]:
-    """Probabilities of the levels: each mixes its frequency with the level below, the lowest one with the uniform."""
-    p, out = 1 / CLASSES, []
-    for f, w in zip(frequency, weight):
-        p = w * f + (1 - w) * p
-        out.append(p)
-    return out
+        n = END if word is None else xxh64_intdigest(word) or 1
+        self[word] = n = n - (1 << 64) if n >> 63 else n
+        return n
 
 
-@dataclass
-class Model:
-    """Everything a task needs to score, of fixed size: cells, weights, the listed words' counts, the rare class."""
+def _grams(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per token of ``docs``: ``keys`` of its row, the two tokens before it (u, v) and the token (w)."""
+    rows = docs.select(*keys, "text")
+    schema = T.StructType([*(rows.schema[k] for k in keys), *(T.StructField(x, T.LongType()) for x in GRAM)])
 
-    cells: dict[int, tuple[np.ndarray, np.ndarray]]
-    weights: np.ndarray
-    seen: np.ndarray  # per listed word, then of the end
-    rare_tokens: int
-    unknown: float
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers()
+        for b in batches:
+            first = 0
+            for texts in _pieces(b.column(len(keys))):
+                flat: list[bytes | None] = []
+                for words in texts:
+                    flat.extend(words)
+                    flat.append(None)
+                w = np.fromiter(map(numbers.__getitem__, flat), np.int64, len(flat))
+                v = np.concatenate([[END], w[:-1]])
+                u = np.concatenate([[END, END], w[:-2]])[:len(w)]
+                u[v == END] = END
+                row = pa.array(np.repeat(np.arange(first, first + len(texts)), [len(t) + 1 for t in texts]))
+                first += len(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(i).take(row) for i in range(len(keys))), *map(pa.array, (u, v, w))], [*keys, *GRAM])
+                if len(numbers) > KNOWN:
+                    numbers.clear()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _count(docs: DataFrame, space: Space) -> tuple[DataFrame, DataFrame]:
+    """Counts of all trigrams and of all words of ``docs`` (part, text), each stored.
+
+    Per trigram, in part 0 and in part 1: its own (n0, n1), of its history (h0, h1), of its last two words (c0, c1),
+    of the history of these (m0, m1), of its last word (s0, s1); n is its count over all parts.
+    """
+    part = F.col("part")
+    grams = space.write(_grams(docs, ["part"]).groupBy(*GRAM).agg(
+        F.count_if(part == 0).alias("n0"), F.count_if(part == 1).alias("n1"), F.count(F.lit(1)).alias("n")))
 
-    def rare_log10(self, c: np.ndarray) -> np.ndarray:
-        """log10 P(word | rare) for words seen ``c`` times."""
-        return np.where(c > 0, np.log10(np.maximum(c, 1) / max(1, self.rare_tokens)) + log10(1 - self.unknown), log10(self.unknown))
+    def total(df: DataFrame, by: list[str], of: str, name: str) -> DataFrame:
+        sums = [F.sum(f"{of}{i}").alias(f"{name}{i}") for i in (0, 1)]
+        return space.write(df.groupBy(*by).agg(*sums, F.count(F.lit(1)).alias("k")))
 
+    pairs = total(grams, ["v", "w"], "n", "c")
+    words = total(pairs, ["w"], "c", "s")
+    last = space.write(heavy_join(pairs, total(pairs, ["v"], "c", "m"), "v", "k"))
+    space.drop(pairs)
+    lower = space.write(heavy_join(last, words, "w", "k"))
+    space.drop(last)
+    upper = space.write(heavy_join(grams, total(grams, ["u", "v"], "n", "h"), ["u", "v"], "k"))
+    space.drop(grams)
+    out = space.write(heavy_join(upper, lower, ["v", "w"], "k"))
+    space.drop(upper)
+    space.drop(lower)
+    return out, words
 
-def _counts(docs: DataFrame, listed) -> DataFrame:
-    """(part, level, cell, n) summed over all rows of ``docs`` (part, text).
 
-    Levels below LEVELS are table cells, level 5 whole grams of the part that is kept back, level 6 the
-    listed tokens by their place.
-    """
-    schema = "part int, level int, cell bigint, n bigint"
+def _share(n: Column, total: Column) -> Column:
+    return F.when(total > 0, n / total).otherwise(0.0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = listed.value
-        tables = {(p, k): np.zeros(s * CLASSES, np.int32) for p in (0, 1) for k, s in enumerate(CONTEXTS)}
-        seen = np.zeros((2, words.end + 1), np.int64)
-        grams: list = []
-        size = 0
-
-        def rows(part, level, cell, n):
-            same = lambda v: pa.array(np.full(len(cell), v, np.int32))
-            return pa.RecordBatch.from_arrays(
-                [same(part), same(level), pa.array(cell.astype(np.int64)), pa.array(n.astype(np.int64))], ["part", "level", "cell", "n"])
-
-        def flush():
-            for (part, level), table in tables.items():
-                cell = np.flatnonzero(table)
-                yield rows(part, level, cell, table[cell])
-                table[cell] = 0
-            if grams:
-                gram, at = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
-                yield rows(1, 5, gram, np.bincount(at, np.concatenate([n for _, n in grams])))
-                grams.clear()
 
-        for b in batches:
-            parts = np.asarray(b.column(0))
-            for part in (0, 1):
-                for texts in _pieces(b.column(1).filter(pa.array(parts == part))):
-                    at, kind, contexts = words.tokens(texts)
-                    for k, c in enumerate(contexts):
-                        np.add.at(tables[part, k], c * CLASSES + kind, 1)
-                    seen[part] += np.bincount(at[at >= 0], minlength=words.end + 1)
-                    if part:
-                        grams.append(np.unique((contexts[2] * HISTORIES + contexts[1]) * CLASSES + kind, return_counts=True))
-                    size += sum(map(len, chain.from_iterable(texts)))
-                    if size >= FLUSH:
-                        yield from flush()
-                        size = 0
-        yield from flush()
-        for part in (0, 1):
-            at = np.flatnonzero(seen[part])
-            yield rows(part, 6, at, seen[part][at])
-
-    return docs.mapInArrow(run, schema).groupBy("part", "level", "cell").agg(F.sum("n").alias("n"))
-
-
-def _cells(counts: DataFrame, part: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """The tables of one part on the driver: a fixed number of cells at most, whatever the size of the corpus."""
-    out = {}
-    for level in range(LEVELS):
-        rows = counts.filter((F.col("part") == part) & (F.col("level") == level))
-        t = rows.select(F.col("cell").cast("int"), F.col("n").cast("float")).toArrow()
-        out[level] = tuple(np.concatenate([np.asarray(x) for x in t[c].chunks] or [np.empty(0, k)]) for c, k in (("cell", np.int32), ("n", np.float32)))
+def _bucket(n: Column) -> Column:
+    return F.when(n > 0, F.least(F.length(F.bin(n)), F.lit(BUCKETS - 1))).otherwise(0)
+
+
+def mixed(frequency: list[np.ndarray], weight: list[np.ndarray]) -> list[np.ndarray]:
+    """Probabilities of the levels: each mixes its frequency with the level below; below the lowest is the unknown word."""
+    p, out = (frequency[0] == 0).astype(float), []
+    for f, w in zip(frequency, weight):
+        p = w * f + (1 - w) * p
+        out.append(p)
     return out
 
 
-def learn_weights(grams: DataFrame, cells, rounds: int = 8) -> np.ndarray:
-    """Mixture weights [level, bucket] by expectation-maximisation on the kept-back grams (cell, n).
+def learn_weights(grams: DataFrame, rounds: int = 8) -> np.ndarray:
+    """Mixture weights [level, bucket] by expectation-maximisation on kept-back grams.
 
+    ``grams`` has, per level from the lowest, the frequency (f0, ...) and the bucket of the context (b0, ...), and n.
     Every round adds up, over all grams, how often the walk from the longest history down
     reaches a level and how often it stops there; only these LEVELS * BUCKETS sums come to the driver.
     """
-    shared = grams.sparkSession.sparkContext.broadcast(cells)
     weights = np.full((LEVELS, BUCKETS), 0.5)
     weights[:, 0] = 0.0  # contexts never seen
-    names = [*(f"f{k}" for k in range(LEVELS)), *(f"b{k}" for k in range(LEVELS)), "n"]
-    fields = ", ".join(f"{x} {'int' if x[0] == 'b' else 'double'}" for x in names)
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = None
-        for b in batches:
-            tables = tables or Tables(shared.value)
-            gram = np.asarray(b.column(0))
-            history = gram // CLASSES
-            f, k = tables.look_up([np.zeros(len(gram), np.int64), history % HISTORIES, history // HISTORIES], gram % CLASSES)
-            yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, f), *(pa.array(x.astype(np.int32)) for x in k), pa.array(np.asarray(b.column(1), np.float64))], names)
-
     space = Space(grams.sparkSession)
-    table = space.write(grams.select("cell", "n").mapInArrow(look_up, fields))
+    table = space.write(grams)
+    learned = np.zeros(weights.shape, bool)
     for _ in range(rounds):
         sums = table.mapInArrow(_expectation(weights.copy()), "level int, bucket int, stopped double, reached double")
         sums = sums.groupBy("level", "bucket").agg(F.sum("stopped").alias("stopped"), F.sum("reached").alias("reached"))
         for r in sums.collect():
-            weights[r.level, r.bucket] = min(0.9999, r.stopped / r.reached) if r.reached > 0 else 0.0
+            if r.bucket and r.reached > 0:
+                least, most = (0.001, 0.999) if r.level == 0 else (0.0, 0.9999)
+                weights[r.level, r.bucket] = min(most, max(least, r.stopped / r.reached))
+                learned[r.level, r.bucket] = True
     space.drop(table)
+    for level in range(LEVELS):
+        for b in range(2, BUCKETS):  # more frequent than any context met
+            if not learned[level, b] and learned[level, 1:b].any():
+                weights[level, b] = weights[level, b - 1]
     return weights
 
 
@@ -242,143 +172,62 @@ def _expectation(weights: np.ndarray):
     return run
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-
-def _common_words(docs: DataFrame, sample_rows: int, size: int) -> list[bytes]:
-    every = max(1, docs.count() // sample_rows)
-    sample = docs.filter(F.pmod(F.xxhash64("entity_id", "digest"), F.lit(every)) == 0)
-    rows = sample.select(F.explode(_words(F.col("text"))).alias("word")).groupBy("word").count()
-    return [r.word.encode() for r in rows.orderBy(F.desc("count"), "word").limit(size).collect()]
-
-
 def score_texts(
     entities: DataFrame, trains: Column, kept_back: Column, sample_rows: int = 2000, common: int = 65_536,
 ) -> DataFrame:
-    """Log10 probabilities of every text under a unigram model and an interpolated n-gram model.
+    """Log10 probabilities of every text under a unigram model and an interpolated trigram model.
 
     ``entities`` has ``entity_id`` and ``text``; other columns are ignored.  ``trains`` and ``kept_back`` are conditions on
     entity_id: the rows to learn from, and those of them whose counts teach the mixture weights (they
     join the final tables).  Null conditions are false, null texts are empty.
 
     Returns per input row entity_id, n_tokens (words and one end), n_known (tokens seen in training), train_tokens,
-    base_score (add-half smoothing over the V training types and one unknown type), score (the n-gram model over
+    base_score (add-half smoothing over the V training types and one unknown type), score (the trigram model over
     the same types).  Rows that are equal in id and text get equal results, one for each.  Without
     training rows no token is known.
 
-    The words of about ``sample_rows`` texts, at most ``common``, are counted in one dense array per task, all other
-    words as shuffled rows; together they are the exact counts of the corpus.
+    ``sample_rows`` and ``common`` are accepted for older callers and without effect: nothing is sampled or listed.
     """
     space = Space(entities.sparkSession)
-    sc = entities.sparkSession.sparkContext
     part = F.when(~F.coalesce(trains, F.lit(False)), -1).when(F.coalesce(kept_back, F.lit(False)), 1).otherwise(0)
     docs = entities.select("entity_id", "text", F.xxhash64("text").alias("digest"), part.cast("int").alias("part"))
-    vocabulary = Vocabulary(_common_words(docs, sample_rows, common))
-    listed = sc.broadcast(vocabulary)
-
-    counts = space.write(_counts(docs.filter("part >= 0").select("part", "text"), listed))
-    cells = _cells(counts, 0)
-    weights = learn_weights(counts.filter("part = 1 AND level = 5"), cells)
-    back_cells = _cells(counts, 1)
-    cells = {k: tuple(map(np.concatenate, zip(cells[k], back_cells[k]))) for k in cells}
-    by_part = np.zeros((2, vocabulary.end + 1), np.int64)
-    listed_counts = counts.filter("level = 6").toArrow()  # a row per listed word and part
-    by_part[np.asarray(listed_counts["part"]), np.asarray(listed_counts["cell"])] = np.asarray(listed_counts["n"])
-    seen = by_part.sum(axis=0)
-
-    rare = space.write(docs.mapInArrow(_rare_words(listed), _fields(docs, "part int, word string, tf bigint")))
-    tf = F.col("tf")
-    rare_counts = space.write(rare.groupBy("word").agg(
-        F.sum(F.when(F.col("part") >= 0, tf).otherwise(0)).alias("c"), F.sum(F.when(F.col("part") == 0, tf).otherwise(0)).alias("first")))
-    c, back = F.col("c"), F.col("c") - F.col("first")
-    total = rare_counts.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(c > 0).alias("v"), F.coalesce(F.sum(back), F.lit(0)).alias("back"),
-        F.coalesce(F.sum(F.when(F.col("first") == 0, back)), F.lit(0)).alias("new")).first()
-    n, v = int(seen.sum()) + total.n, int((seen > 0).sum()) + total.v
-    unit = log10(n + 0.5 * (v + 1))
-    # Of the kept-back tokens of the rare class, those that the other training texts do not have.
-    tail = by_part[:, TOP:vocabulary.end]
-    new, kept = total.new + int(tail[1][tail[0] == 0].sum()), total.back + int(tail[1].sum())
-    unknown = min(0.999, max(0.001, new / kept)) if kept else 0.5
-    model = Model(cells, weights, seen, int(tail.sum()) + total.n, unknown)
-
-    known_share = F.log10(c / F.lit(float(max(1, model.rare_tokens)))) + F.lit(log10(1 - unknown))
-    sums = rare.join(rare_counts, "word").groupBy("entity_id", "digest").agg(
-        F.sum(tf * F.log10(c + 0.5)).alias("rare_base"), F.sum(F.when(c > 0, tf).otherwise(0)).alias("rare_known"),
-        F.sum(tf * F.when(c > 0, known_share).otherwise(F.lit(log10(unknown)))).alias("rare_score"))
-    own = docs.mapInArrow(
-        _own_scores(listed, sc.broadcast(model)), _fields(docs, "n_tokens bigint, known bigint, base double, own_score double"))
-    # Equal rows have equal values; those of their rare words were added up over the copies.
-    own = own.groupBy("entity_id", "digest").agg(
-        *[F.max(x).alias(x) for x in ("n_tokens", "known", "base", "own_score")], F.count(F.lit(1)).alias("copies"))
-    s = sums.select(F.col("entity_id").alias("e"), F.col("digest").alias("g"), "rare_base", "rare_known", "rare_score")
-    both = own.join(s, own.entity_id.eqNullSafe(s.e) & own.digest.eqNullSafe(s.g), "left")
-
-    def rare_part(name: str) -> Column:
-        return F.coalesce(F.col(name) / F.col("copies"), F.lit(0.0))
-
-    return both.select(
-        "entity_id", "n_tokens", (F.col("known") + rare_part("rare_known").cast("bigint")).alias("n_known"),
-        F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("base") + rare_part("rare_base") - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
-        (F.col("own_score") + rare_part("rare_score")).alias("score"),
-        F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"),
+    grams, words = _count(docs, space)
+
+    s = F.col("s0") + F.col("s1")
+    totals = words.agg(
+        F.coalesce(F.sum("s0"), F.lit(0)).alias("first"), F.coalesce(F.sum(s), F.lit(0)).alias("n"), F.count_if(s > 0).alias("v")).first()
+    n, unit = totals.n, log10(totals.n + 0.5 * (totals.v + 1))
+
+    def levels(own: Column, history: Column, pair: Column, middle: Column, word: Column, tokens: int) -> list[Column]:
+        return [_share(word, F.lit(tokens)), _share(pair, middle), _share(own, history),
+                F.lit(int(tokens > 0)), _bucket(middle), _bucket(history)]
+
+    names = [*(f"f{i}" for i in range(LEVELS)), *(f"b{i}" for i in range(LEVELS))]
+    first = levels(*(F.col(f"{x}0") for x in "nhcms"), totals.first)
+    weights = learn_weights(grams.filter("n1 > 0").select(
+        *(x.cast("double" if k[0] == "f" else "int").alias(k) for x, k in zip(first, names)), F.col("n1").cast("double").alias("n")))
+
+    *f, _, middle, history = levels(*(F.col(f"{x}0") + F.col(f"{x}1") for x in "nhcms"), n)
+    lowest = float(weights[0, 1]) if n else 0.0
+    p = F.when(s > 0, F.lit(lowest) * f[0]).otherwise(F.lit(1 - lowest))
+    for level, bucket in ((1, middle), (2, history)):
+        weight = F.get(F.array(*map(F.lit, weights[level].tolist())), bucket)
+        p = weight * f[level] + (1 - weight) * p
+    # A gram with more than 1/HEAVY of all tokens is dealt over as many keys as it has such shares.
+    rows = grams.agg(F.sum("n")).first()[0] or 0
+    dealt = F.greatest(F.lit(1), F.ceil(F.col("n") * HEAVY / F.lit(max(1, rows)))).cast("int")
+    hot = grams.filter(F.col("n") * HEAVY > rows).select(*GRAM, dealt.alias("dealt"))
+    known = grams.select(
+        *GRAM, F.explode(F.sequence(F.lit(0), dealt - 1)).alias("salt"), s.alias("c"), F.log10(p).alias("score"))
+    tokens = _grams(docs, ["entity_id", "digest"]).join(F.broadcast(hot), GRAM, "left").select(
+        "entity_id", "digest", *GRAM, F.coalesce(F.pmod("digest", "dealt"), F.lit(0)).cast("int").alias("salt"))
+    sums = tokens.join(known, [*GRAM, "salt"]).groupBy("entity_id", "digest").agg(
+        F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("c") > 0).alias("n_known"),
+        F.sum(F.log10(F.col("c") + 0.5)).alias("base"), F.sum("score").alias("score"),
+        F.count_if(F.col("v") == END).alias("copies"))  # equal rows were added up
+    each = lambda name: F.col(name) / F.col("copies")
+    return sums.select(
+        "entity_id", each("n_tokens").cast("bigint").alias("n_tokens"), each("n_known").cast("bigint").alias("n_known"),
+        F.lit(n).cast("bigint").alias("train_tokens"), (each("base") - each("n_tokens") * F.lit(unit)).alias("base_score"),
+        each("score").alias("score"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"),
     ).drop("copy")
-
-
-def _fields(docs: DataFrame, more: str) -> T.StructType:
-    return T.StructType([docs.schema["entity_id"], docs.schema["digest"], *T.StructType.fromDDL(more).fields])
-
-
-def _rare_words(listed):
-    """A row per text and word that is not listed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = listed.value.place
-        for b in batches:
-            row, word, tf = [], [], []
-            for i, t in enumerate(b.column(1)):
-                for w, n in Counter((t.as_py() or "").encode().lower().split()).items():
-                    if w not in known:
-                        row.append(i)
-                        word.append(w.decode())
-                        tf.append(n)
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(k).take(take) for k in (0, 2, 3)] + [pa.array(word, pa.string()), pa.array(tf, pa.int64())],
-                ["entity_id", "digest", "part", "word", "tf"])
-
-    return run
-
-
-def _own_scores(listed, shared):
-    """Per text its tokens and, leaving P(word | rare) of words that are not listed to the join, what its model scores need."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model, tables = listed.value, shared.value, None
-        c = np.append(model.seen, 0)  # the last place is that of words that are not listed
-        base = np.log10(c + 0.5)
-        base[-1] = 0.0
-        within = model.rare_log10(c)
-        within[:TOP] = 0.0
-        within[-2:] = 0.0
-        for b in batches:
-            tables = tables or Tables(model.cells)
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for texts in _pieces(b.column(1)):
-                at, kind, contexts = words.tokens(texts)
-                f, k = tables.look_up(contexts, kind)
-                p = mixed(f, [model.weights[i][k[i]] for i in range(LEVELS)])[-1]
-                sizes = np.array([len(t) + 1 for t in texts])
-                first = np.cumsum(sizes) - sizes
-                sums = [np.add.reduceat(x, first) for x in ((c[at] > 0).astype(np.int64), base[at], np.log10(p) + within[at])]
-                for o, x in zip(out, (sizes, *sums)):
-                    o.append(x)
-            cols = [np.concatenate(o) if o else np.empty(0) for o in out]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), *(pa.array(x, t) for x, t in zip(cols, kinds))],
-                ["entity_id", "digest", "n_tokens", "known", "base", "own_score"])
-
-    return run

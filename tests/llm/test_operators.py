@@ -532,6 +532,70 @@ def test_scores_are_probabilities(spark):
     assert 0.2 < got[100] + sum(got[i] for i in range(101, 105)) < 1
 
 
+def test_scores_use_every_trigram(spark):
+    """Counts and weights by hand, with more words than any list or table of fixed size would hold apart."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts = [(i, " ".join(f"{rng.choice(vocabulary[a:a + 40])}" for a in (rng.randrange(3960),) for _ in range(30))) for i in range(400)]
+    rows = [(i, t) for i, t in texts] + [(1000 + i, t) for i, t in texts[:20]] + [(2000, "zz w1 w2"), (2001, "")]
+    trains, kept = (lambda i: i < 400), (lambda i: i < 400 and i % 10 == 0)
+    df = spark.createDataFrame(rows, ENTITY)
+    got = {r.entity_id: r.score for r in ngram.score_texts(df, F.col("entity_id") < 400, F.col("entity_id") % 10 == 0).collect()}
+
+    def grams(t):
+        x = [None, None, *words(t), None]
+        return list(zip(x, x[1:], x[2:]))
+
+    def tables(parts):
+        c = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
+        for i, t in rows:
+            if trains(i) and kept(i) in parts:
+                for u, v, w in grams(t):
+                    for k, h in enumerate(((), (v,), (u, v))):
+                        c[0][k][h, w] += 1
+                        c[1][k][h] += 1
+        return c
+
+    def look_up(c, gram):
+        u, v, w = gram
+        hs = (), (v,), (u, v)
+        f = [c[0][k][h, w] / c[1][k][h] if c[1][k][h] else 0.0 for k, h in enumerate(hs)]
+        return f, [1, *(c[1][k][h].bit_length() for k, h in list(enumerate(hs))[1:])]
+
+    weight = [{b: 0.5 if b else 0.0 for b in range(48)} for _ in range(3)]
+
+    def mixture(f, b):
+        p, out = float(f[0] == 0), []
+        for k in range(3):
+            p = weight[k][b[k]] * f[k] + (1 - weight[k][b[k]]) * p
+            out.append(p)
+        return out
+
+    first, learned = tables((False,)), set()
+    back = [look_up(first, g) for i, t in rows if kept(i) for g in grams(t)]
+    for _ in range(8):
+        stopped, reached = Counter(), Counter()
+        for f, b in back:
+            left, p = 1.0, mixture(f, b)
+            for k in (2, 1, 0):
+                stop = left * weight[k][b[k]] * f[k] / p[k]
+                stopped[k, b[k]] += stop
+                reached[k, b[k]] += left
+                left -= stop
+        for (k, b), r in reached.items():
+            if b and r > 0:
+                weight[k][b] = min(0.9999 if k else 0.999, max(0.0 if k else 0.001, stopped[k, b] / r))
+                learned.add((k, b))
+    for k in range(3):
+        for b in range(2, 48):
+            if (k, b) not in learned and any((k, x) in learned for x in range(1, b)):
+                weight[k][b] = weight[k][b - 1]
+    whole = tables((False, True))
+    for i, t in rows:
+        want = sum(math.log10(mixture(*look_up(whole, g))[-1]) for g in grams(t))
+        assert got[i] == pytest.approx(want, rel=1e-9), i
+
+
 def test_scores_without_training(spark, frame, empty):
     got = ngram.score_texts(frame, F.lit(False), F.lit(False)).collect()
     assert {(r.n_known, r.train_tokens) for r in got} == {(0, 0)} and all(math.isfinite(r.score) for r in got)
