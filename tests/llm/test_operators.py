@@ -596,6 +596,22 @@ def test_scores_use_every_trigram(spark):
         assert got[i] == pytest.approx(want, rel=1e-9), i
 
 
+def test_scores_learn_from_training_rows_only(spark):
+    """Neither the size of a sample nor texts outside training change the scores of the others."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 500}" for _ in range(40))) for i in range(200)]
+    held_out = [(1000 + i, " ".join(f"w{rng.randrange(100, 500)} other{i % 7}" for _ in range(200))) for i in range(60)]
+
+    def scores(rows, **sizes):
+        df = spark.createDataFrame(rows, ENTITY)
+        found = ngram.score_texts(df, F.col("entity_id") < 1000, F.col("entity_id") % 10 == 0, **sizes).collect()
+        return {r.entity_id: r.score for r in found if r.entity_id < 1000}
+
+    want = scores(rows)
+    assert len(want) == 200
+    assert scores(rows + held_out, sample_rows=5, common=3) == pytest.approx(want)
+
+
 def test_scores_without_training(spark, frame, empty):
     got = ngram.score_texts(frame, F.lit(False), F.lit(False)).collect()
     assert {(r.n_known, r.train_tokens) for r in got} == {(0, 0)} and all(math.isfinite(r.score) for r in got)
