@@ -39,11 +39,13 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
           "option": ({"option"}, {"select"})}
+HEADING = frozenset(("header",))  # no furniture inside an article
+FURNITURE_WEIGHT = 0.05  # per element on the path that is furniture by name
 _MARKS = re.compile(r"[.,;:!?…。，、！？；：]")
 
 
 class _Element:
-    __slots__ = ("tag", "label", "parent", "dropped", "soft", "depth", "link")
+    __slots__ = ("tag", "label", "parent", "dropped", "aside", "weight", "depth", "link")
 
     def __init__(self, tag: str, rest: str, parent: _Element | None):
         self.tag, self.parent = tag, parent
@@ -51,19 +53,25 @@ class _Element:
         self.link = tag == "a" or parent is not None and parent.link
         attributes = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(rest)} if rest and not rest.isspace() else {}
         if not attributes and parent:  # most elements
-            self.label, self.soft = tag, parent.soft
+            self.label, self.aside = tag, parent.aside
+            self.weight = 1.0 if tag in ("article", "main") else parent.weight
             self.dropped = parent.dropped or tag in DROPPED or tag == "header" and not parent.within("article", "main")
             return
         names = set(_NAME_PARTS.split(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())) - {""}
         self.label = ".".join([tag, *sorted(names)]) if tag in ("div", "section", "table", "article") else tag
-        inside = parent.within("article", "main") if tag == "header" and parent else False
+        inside = parent is not None and (tag == "header" or bool(names & HEADING)) and parent.within("article", "main")
         hard = tag in DROPPED or tag == "header" and not inside
         hard |= attributes.get("role", "").lower() in ROLES or "hidden" in attributes and tag not in ("html", "body")
         hard |= attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        # 2: adverts and comments; 1: other furniture by name, which a careless page may call its content.
-        soft = 2 if names & (COMMENTS | ADVERTS) else 1 if names & FURNITURE and tag not in ("article", "main") else 0
+        named = tag not in ("body", "html")
         self.dropped = bool(hard or parent and parent.dropped)
-        self.soft = max(soft if tag not in ("body", "html") else 0, parent.soft if parent else 0)
+        # Adverts and comments; other furniture by name, which a careless page may call its content, only weighs less.
+        self.aside = bool(named and names & (COMMENTS | ADVERTS) or parent and parent.aside)
+        self.weight = parent.weight if parent else 1.0
+        if tag in ("article", "main"):
+            self.weight = 1.0
+        elif named and names & (FURNITURE - HEADING if inside else FURNITURE):
+            self.weight *= FURNITURE_WEIGHT
 
     def within(self, *tags: str) -> bool:
         e = self
@@ -170,15 +178,17 @@ def path_scores(paths: list[str], chars: np.ndarray, marks: np.ndarray) -> np.nd
 def main_text(page: str | None) -> str:
     """The article of one page; see ``extract``."""
     found = _blocks(page or "")
-    kept = [b for b in found if not b[0].soft] or [b for b in found if b[0].soft < 2]
+    kept = [b for b in found if not b[0].aside]
     if not kept:
         return ""
     chars = np.array([max(0, len(t) - linked) for _, t, linked in kept], float)
     marks = np.array([len(_MARKS.findall(t)) for _, t, _ in kept], float)
+    path_weight = np.array([e.weight for e, _, _ in kept])
+    plain = (path_weight == 1) & (chars > 0)
     paths = [e.path() for e, _, _ in kept]
-    fused = path_scores(paths, chars, marks)
+    fused = path_scores(paths, chars, marks) * path_weight
     content = fused >= fused.std() / 2
-    weight = np.where(content, fused * chars, 0) + chars * 1e-6
+    weight = np.where(content, fused * chars, 0) + chars * path_weight * 1e-6
     held: dict[_Element, float] = {}
     for (e, _, _), w in zip(kept, weight):
         while e:
@@ -187,16 +197,16 @@ def main_text(page: str | None) -> str:
     articles = [e for e in held if e.tag == "article"] or [e for e in held if e.tag == "main"]
     if articles:
         region = max(articles, key=lambda e: (held[e], -e.depth))
-        content[:] = True
+        content |= plain
     else:
         total = held[max(held, key=lambda e: (held[e], -e.depth))]
         deep = [e for e in held if e.tag in ("html", "body", "div", "section", "table", "td") and held[e] >= 0.95 * total]
         region = max(deep, key=lambda e: e.depth)
         if region.tag not in ("html", "body"):
-            content[:] = True
+            content |= plain
         else:  # no element of its own: everything from the first to the last content path, but lists of links
             at = np.flatnonzero(content)
-            content[at[0]:at[-1] + 1] |= chars[at[0]:at[-1] + 1] > 0
+            content[at[0]:at[-1] + 1] |= plain[at[0]:at[-1] + 1]
 
     def inside(e: _Element | None) -> bool:
         while e and e is not region:
@@ -211,11 +221,13 @@ def extract(pages: DataFrame) -> DataFrame:
 
     ``pages`` has ``entity_id``, ``url`` and ``html``; other columns are ignored.  The project has no records of
     web pages, so this works on any table of that form.  Returns per input row entity_id, url, text.  Text
-    runs outside furniture (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, comments)
+    runs outside menus, page headers, footers, adverts, forms, scripts and comments
     are blocks; each root-to-leaf tag path gets its text and punctuation per block, both are smoothed
-    along the page and fused, and paths above half a standard deviation are content.  The article element
-    with most content, or else the smallest element that holds nearly all of it, is the article; all its blocks
-    are returned in page order, one per line, white space collapsed, references decoded.
+    along the page and fused, and paths above half a standard deviation are content.  Class names of furniture
+    (sidebars, notices and the like) lower the weight of what they hold, but not of an article in them.
+    The article element with most content, or else the smallest element that holds nearly all of it, is the article; its
+    blocks are returned in page order, one per line, white space collapsed, references decoded: all that have text
+    besides links and no furniture around them, and of the others those that are content by their ratios.
     A null or empty page, or one without text, gives an empty text.
     """
     rows = pages.select("entity_id", "url", "html")

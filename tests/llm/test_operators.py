@@ -340,6 +340,24 @@ def test_main_text(body, want):
     assert main_text.main_text(PAGE % body) == want
 
 
+PROSE = "This is a sentence of the article, one of many; it goes on. And here is another, rather long as well."
+
+
+@pytest.mark.parametrize("page, inside, outside", [
+    (f"<p>Tag line.</p><div class='layout has-sidebar'><article><h1>Title</h1><p>{PROSE}</p></article><div class=sidebar>Tags</div></div>",
+     ["Title", PROSE], ["Tags"]),
+    (f"<article><header class='entry-header'><h1>Title</h1></header><p>{PROSE}</p></article>", ["Title", PROSE], []),
+    (f"<article><div class='article-header'><h1>Title</h1></div><p>{PROSE}</p></article>", ["Title", PROSE], []),
+    (f"<p>Tag line.</p><div class='layout has-sidebar'><div class=text>{f'<p>{PROSE}</p>' * 8}</div><div class=sidebar>Tags</div></div>",
+     [PROSE] * 8, ["Tags"]),
+    (f"<div class=text>{f'<p>{PROSE}</p>' * 8}</div><div class=promo>Buy now.</div>", [PROSE] * 8, ["Buy now."]),
+    (f"<article>{f'<p>{PROSE}</p>' * 8}<ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul></article>", [PROSE] * 8, ["Two", "Three"]),
+])
+def test_names_of_furniture_only_weigh(page, inside, outside):
+    got = main_text.main_text(f"<html><body>{page}</body></html>").split("\n")
+    assert [x for x in got if x in inside] == inside and not set(got) & set(outside)
+
+
 def test_extract(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "no markup, just text"), (4, "u", "<p>unclosed <b>tags"), (5, "u", "<<>>&amp;<"),
              (None, "u", PAGE % ("<article>" + "<p>Word, and word.</p>" * 3000 + "</article>"))]
