@@ -31,6 +31,14 @@ ALLOWED = (
     "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", "(?i:abcdefghijklmno)", "0123456789", "(?i:example|placeholder|xxxx)",
     "^/?([a-z0-9_-]+/){3,}", "^[A-Za-z]*$", "^[0-9+/_=-]*$",
 )
+# Whole runs on that list are what the oracle leaves out.  Here its words and the signs of paths only end a run, so that
+# what stands beside them is a run of its own: blanked words, and the slashes of three or more lower-case names.
+WORDS = (("(?i:abcdefghijklmno)", 15), ("0123456789", 10), ("(?i:example)", 7), ("(?i:placeholder)", 11))
+PATH = r"(?:(?<![A-Za-z0-9+/_=-])(?=/?(?:[a-z0-9_-]+/){3})(/?)|\G(?!\A))([a-z0-9_-]+)/"
+BLANK = "\x02"
+RUN_ALLOWED = (ALLOWED[0], *ALLOWED[-2:])
+FILLER = "(?i:xxxx)"  # in the dense part
+NAME = "^[a-z]+([_-][a-z]+)*$"  # in a path
 
 
 def _marked(text: Column, pattern: str) -> Column:
@@ -38,10 +46,10 @@ def _marked(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, "\x01$0\x01"), "\x01")
 
 
-def _matches(df: DataFrame, name: str, pattern: str) -> DataFrame:
+def _matches(df: DataFrame, name: str, pattern: str, text: str = "text") -> DataFrame:
     """Adds array ``name`` of (start, stop, piece) per match, in code points, ``stop`` exclusive."""
     parts, sizes, offsets = (f"{name}_{x}" for x in ("parts", "sizes", "offsets"))
-    df = df.withColumn(parts, _marked(F.col("text"), pattern))
+    df = df.withColumn(parts, _marked(F.col(text), pattern))
     df = df.withColumn(sizes, F.transform(parts, F.length))
     df = df.withColumn(offsets, F.when(F.size(parts) > 1, running_offsets(F.col(sizes))))
     odd = F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))
@@ -95,30 +103,40 @@ def secret_spans(entities: DataFrame) -> DataFrame:
     by kind: ``assign`` (a name like password, a sign, a value of 6 characters or more), ``access`` (AKIA keys),
     ``hex`` (24 digits or more) and ``entropy``: the part of a long run of key characters whose windows of
     20 characters have high entropy for their character class, unless it is on the allow list or
-    lies inside one of the other spans.  Null and empty texts have no spans.
+    lies inside one of the other spans.  Known words and the slashes of a path end a run.  Null and empty texts have no spans.
     """
     # A mark that no pattern can match takes the place of the sign that cuts the texts.
     df = entities.select("entity_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\x01"), F.lit("\x02")).alias("text"))
-    for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("runs", CANDIDATE)):
+    split = F.col("text")
+    for word, size in WORDS:
+        split = F.regexp_replace(split, word, BLANK * size)
+    df = df.withColumn("split", F.regexp_replace(split, PATH, f"$1$2{BLANK}"))
+    for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX)):
         df = _matches(df, name, pattern)
+    df = _matches(df, "runs", CANDIDATE, "split")
     value = lambda m: F.length(F.regexp_extract(m["piece"], ASSIGN, 2))
     df = df.withColumn("assign", F.filter("assign", lambda m: value(m) >= 6))
 
     def allowed(m: Column) -> Column:
-        hit = F.lit(False)
-        for p in ALLOWED:
+        before = F.col("split").substr(m["start"].cast("int"), F.lit(1))
+        hit = m["piece"].rlike(NAME) & (m["start"] > 0) & (before == BLANK)
+        for p in RUN_ALLOWED:
             hit = hit | m["piece"].rlike(p)
         return hit
 
+    def filler(m: Column) -> Column:
+        at = m["at"]
+        return m["piece"].substr(at["lo"] + 1, at["hi"] - at["lo"]).rlike(FILLER)
+
     df = df.withColumn("parts", F.transform(F.filter("runs", lambda m: ~allowed(m)), lambda m: F.struct(
-        m["start"].alias("start"), _dense_part(m["piece"]).alias("at"))))
+        m["start"].alias("start"), m["piece"].alias("piece"), _dense_part(m["piece"]).alias("at"))))
 
     def spans(name: str) -> Column:
         return F.transform(name, lambda m: F.struct(
             m["start"].alias("start_at"), F.lit(KINDS.index(name)).alias("kind"), (m["stop"] - 1).alias("end_at")))
 
     df = df.withColumn("base", F.concat(spans("assign"), spans("access"), spans("hex")))
-    dense = F.transform(F.filter("parts", lambda m: m["at"]["lo"] >= 0), lambda m: F.struct(
+    dense = F.transform(F.filter("parts", lambda m: (m["at"]["lo"] >= 0) & ~filler(m)), lambda m: F.struct(
         (m["start"] + m["at"]["lo"]).alias("start_at"), F.lit(3).alias("kind"), (m["start"] + m["at"]["hi"] - 1).alias("end_at")))
     df = df.withColumn("more", F.filter(dense, lambda m: ~F.exists("base", lambda s: (s["start_at"] <= m["start_at"]) & (
         s["end_at"] >= m["end_at"]))))

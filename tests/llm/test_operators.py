@@ -316,6 +316,22 @@ def test_secret_spans(spark):
     assert {s[2] for v in got.values() for s in v} == set(secret_scan.KINDS)
 
 
+def test_secrets_beside_allowed_words_and_paths(spark):
+    key, low = "Qx7Pz2Lk9Vw4Tn8Rb3Ym6Hd5", "q7z2k9w4t8b3y6h5j1n0c8v2"
+    found = {  # text and the keys in it
+        f"https://hooks.chat.com/services/t01/b02/{key}": [key], f"see /com/services/t01/b02/{low} now": [low],
+        f"/srv/a1/b2/{low}/edit": [low], f"example_{key}": ["_" + key], f"{key}/0123456789/{low}": [key + "/", "/" + low],
+        f"é 中 {key}abcdefghijklmno{low}": [key, low], f"{key} PlaceHolder{key}": [key, key],
+    }
+    none = ["/usr/share/doc/some-longer-name-of-a-package-quickly/readme", "services/t01/b02/edit/page/view/part/list",
+            "0123456789abcdefghijklmnoexample", "123e4567-e89b-12d3-a456-426614174000"]
+    texts = [*found, *none]
+    df = spark.createDataFrame(list(enumerate(texts)), ENTITY)
+    for r in secret_scan.secret_spans(df).collect():
+        t = texts[r.entity_id]
+        assert (t, [t[s.start_at:s.end_at + 1] for s in r.spans if s.label == "entropy"]) == (t, found.get(t, []))
+
+
 # main text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body class="x">
