@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spandoc.llm.bpe import decode, encode, ids_text, read_ranks
+from spandoc.llm.codes import compress_vectors
 from spandoc.llm.common import hex_digits
 from spandoc.llm.decontam import contamination
+from spandoc.llm.interactions import TEXT_FILTERS, filter_interactions, text_failures
 from spandoc.llm.lines import drop_repeated_lines
 from spandoc.llm.secret_scan import secret_spans
 from spandoc.llm.sharding import extendible_shards
 from spandoc.llm.simhash import near_copies
 from spandoc.llm.main_text import extract
 from spandoc.llm.ngram import score_texts
+from spandoc.llm.pieces import read_model, round_trip
 from spandoc.llm.quality import fit_quality, score_quality
 from spandoc.llm.registry import ORACLES, QUERIES, entities, query
-from spandoc.llm.sql import CONTAMINATION_SQL, LINES_SQL, SECRETS_SQL, SHARDS_SQL, TOP_K_SQL
+from spandoc.llm.sql import CODES_SQL, CONTAMINATION_SQL, INTERACTIONS_SQL, LINES_SQL, SECRETS_SQL, SHARDS_SQL, TOP_K_SQL
 from spandoc.llm.topk import exact_top_k
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -119,3 +122,34 @@ def op10(spark, sf_dir):
     return out.select(
         F.col("entity_id").alias("doc_id"), F.coalesce(held_out(F.col("entity_id"), 1), F.lit(False)).alias("held_out"),
         "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_sentencepiece")
+def op11(spark, sf_dir):
+    import public_tokenizers
+
+    out = round_trip(entities(spark, sf_dir), read_model(public_tokenizers.path("piece_bpe_32k.model")))
+    return out.select(
+        F.col("entity_id").alias("doc_id"), (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+
+
+@query("op12_vector_codes", CODES_SQL)
+def op12(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").alias("entity_id"), "embedding", F.col("label").alias("grp"))
+    found = compress_vectors(vectors)
+    return found.codes.select(
+        F.col("entity_id").alias("vec_id"), "code", "error", F.col("grp_error").alias("label_error"),
+        F.sha2(F.lit(found.codebooks_text()), 256).alias("codebooks_sha256"))
+
+
+@query("op13_filter_audit", INTERACTIONS_SQL)
+def op13(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.select(F.col("doc_id").alias("entity_id"), "text", F.col("source").alias("grp"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy(F.col("doc_id").alias("entity_id")).agg(
+        F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
+    rows = text_failures(docs).join(labels, "entity_id", "left")
+    out = filter_interactions(rows, {f: F.col(f) for f in TEXT_FILTERS}, {"good": F.col("good"), "toxic": F.col("toxic")})
+    return out.withColumnRenamed("grp", "part")

@@ -62,6 +62,73 @@ SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth::INTEGER
 FROM fit WHERE r = 1"""
 
 
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The rounds one after another, with rows (vector, part) against rows (part, entry)."""
+    ctes = f"""
+v AS MATERIALIZED (
+  SELECT vec_id, label, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS MATERIALIZED (
+  SELECT vec_id, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS w FROM v, range({parts}) r(part)),
+c0 AS MATERIALIZED (
+  SELECT part, w AS c, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e FROM p QUALIFY e < {entries})"""
+    for k in range(rounds + 1):
+        ctes += f""",
+a{k} AS MATERIALIZED (
+  SELECT vec_id, part, arg_min(e, d * 256 + e) AS e, min(d) AS d, any_value(w) AS w FROM (
+    SELECT vec_id, p.part, e, w,
+      (list_inner_product(w, w) - 2 * list_inner_product(w, c) + list_inner_product(c, c))::BIGINT AS d
+    FROM p JOIN c{k} USING (part)) GROUP BY vec_id, part)"""
+        if k < rounds:
+            ctes += f""",
+m{k} AS (
+  SELECT part, e, list(floor(s / n) ORDER BY i) AS c FROM (
+    SELECT part, e, i, sum(x) AS s, count(*) AS n FROM (
+      SELECT part, e, unnest(w) AS x, unnest(range(len(w))) AS i FROM a{k}) GROUP BY ALL) GROUP BY part, e),
+c{k + 1} AS MATERIALIZED (SELECT part, e, coalesce(m.c, o.c) AS c FROM c{k} o LEFT JOIN m{k} m USING (part, e))"""
+    return f"""
+WITH {ctes},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+books AS (
+  SELECT sha256(string_agg(array_to_string([x::BIGINT FOR x IN c], ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN v USING (vec_id), books"""
+
+
+CODES_SQL = _codes_sql()
+
+# Rows are folded to the set of filters that they fail; every step of every order adds up such sets.
+INTERACTIONS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask,
+    coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM w JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM masks GROUP BY part, mask),
+f(name, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT p.name || q.name || r.name || s.name || u.name AS filter_order, [p.b, q.b, r.b, s.b, u.b] AS bits
+  FROM f p, f q, f r, f s, f u WHERE p.b | q.b | r.b | s.b | u.b = 31),
+steps AS (SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS done FROM orders, range(1, 6) t(step)),
+counted AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (mask & (done | own) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & done = 0 AND mask & own > 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & done > 0 AND mask & own > 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(g) FILTER (mask & done = 0 AND mask & own > 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(x) FILTER (mask & done = 0 AND mask & own > 0), 0)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counted"""
+
+
 def _secrets_sql() -> str:
     from spandoc.llm import secret_scan as s
 
