@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
+from sys import byteorder
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 SPACE = "▁"  # fixed value: how the vocabulary writes a space
 # Segments a worker remembers (twice as many at most), and characters of text that go out together.
-REMEMBERED, CHUNK = 200_000, 2_000_000
+REMEMBERED, CHUNK = 400_000, 2_000_000
+# Neighbours of the symbols of a short segment, to be copied.
+SHORT = 64
+AFTER, BEFORE = list(range(1, SHORT + 1)), list(range(-1, SHORT - 1))
 # Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -52,8 +57,11 @@ def read_model(path: str) -> PieceModel:
         train.unk_id, train.unk_surface, norm.add_dummy_prefix, train.byte_fallback, raw)
 
 
-def _packed(ids) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+def _packed(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 def _ranks(scores: dict[str, float]) -> dict[str, int]:
@@ -93,6 +101,7 @@ class Segments(dict):
         self.older: dict[str, bytes] = {}
         self.ids = {p: i for i, (p, kind) in enumerate(zip(model.pieces, model.kinds)) if kind == NORMAL}
         self.rank = _ranks({p: model.scores[i] for p, i in self.ids.items()})
+        self.words = [_packed([i]) for i in range(len(model.pieces))]
         self.bytes = {int(p[1:-1], 16): i for i, (p, kind) in enumerate(zip(model.pieces, model.kinds)) if kind == BYTE}
         self.find = re.compile(_segment_pattern([p for p in self.ids if len(p) > 1])).findall
 
@@ -102,14 +111,17 @@ class Segments(dict):
             self.clear()
         found = self.older.get(segment)
         if found is None:
-            found = _packed([i for piece in self.merge(segment) for i in self.numbers(piece)])
+            found = b"".join(map(self.packed, self.merge(segment)))
         self[segment] = found
         return found
 
-    def numbers(self, piece: str) -> list[int]:
-        if piece in self.ids:
-            return [self.ids[piece]]
-        return [self.bytes[b] for b in piece.encode()] if self.model.byte_fallback else [self.model.unknown]
+    def packed(self, symbol: str) -> bytes:
+        i = self.ids.get(symbol)
+        if i is not None:
+            return self.words[i]
+        if self.model.byte_fallback:
+            return b"".join([self.words[self.bytes[b]] for b in symbol.encode()])
+        return self.words[self.model.unknown]
 
     def merge(self, segment: str) -> list[str]:
         """The agenda holds every adjacent pair that is a piece; the best score is merged first, ties from the left.
@@ -120,7 +132,8 @@ class Segments(dict):
         rank_of, n = self.rank.get, len(segment)
         if n < 2:
             return [segment]
-        symbols, after, before = list(segment), list(range(1, n + 1)), list(range(-1, n - 1))
+        symbols = list(segment)
+        after, before = (AFTER[:n], BEFORE[:n]) if n <= SHORT else (list(range(1, n + 1)), list(range(-1, n - 1)))
         bits = n.bit_length()
         place, agenda = (1 << bits) - 1, []
         for i in range(n - 1):
@@ -162,6 +175,7 @@ class Codec:
         self.model, self.segments = model, Segments(model)
         self.begin, self.end = _packed([model.begin]), _packed([model.end])
         self.surface = [self._surface(p, kind) for p, kind in zip(model.pieces, model.kinds)]
+        self.control = np.array([kind == CONTROL for kind in model.kinds])
         self.library = None
 
     def _surface(self, piece: str, kind: int) -> bytes:
@@ -195,16 +209,18 @@ class Codec:
 
     def decode(self, packed: bytes) -> str:
         """As the library decodes: the space that stands before a text goes, control pieces have no text."""
-        ids = np.frombuffer(packed, "<u4").tolist()
-        if ids and max(ids) >= len(self.surface):
+        ids = np.frombuffer(packed, "<u4")
+        if len(ids) and ids.max() >= len(self.surface):
             raise ValueError("ids beyond the vocabulary")
-        kinds = self.model.kinds
-        body = ids[1:] if ids[:1] == [self.model.begin] else ids
-        body = body[:-1] if body[-1:] == [self.model.end] else body
+        if len(ids) and ids[0] == self.model.begin:
+            ids = ids[1:]
+        if len(ids) and ids[-1] == self.model.end:
+            ids = ids[:-1]
+        kinds, body = self.model.kinds, ids.tolist()
         raw = b"".join(map(self.surface.__getitem__, body))
         if body and self.model.prefix and kinds[body[0]] == NORMAL and self.model.pieces[body[0]].startswith(SPACE):
             raw = raw[1:]
-        if not any(kinds[i] == CONTROL for i in set(body)):
+        if not self.control[ids].any():
             try:
                 return raw.decode()
             except UnicodeDecodeError:
