@@ -105,7 +105,7 @@ NEEDS = {
 }
 
 
-def sql(body: str, *names: str, extra: str = "") -> str:
+def sql(body: str, *names: str, extra: str = "", recursive: bool = False) -> str:
     """``WITH`` the named adapter CTEs (and what they need) followed by ``extra`` CTEs and the body."""
     seen: list[str] = []
     for n in names:
@@ -115,4 +115,4 @@ def sql(body: str, *names: str, extra: str = "") -> str:
     parts = [CTE[n] for n in seen]
     if extra:
         parts.append(extra.strip().rstrip(","))
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
+    return ("WITH " + "RECURSIVE " * recursive + ",\n".join(parts) + "\n" if parts else "") + body.strip()

@@ -11,7 +11,7 @@ from spandoc.catalog.ctes import sql
 from spandoc.catalog.feature_sql import features_extra, features_select
 from spandoc.catalog.registry import query
 from spandoc.operators import controls, metrics as m, models, qa, stats, structure
-from spandoc.plans import conditions, evaluation
+from spandoc.plans import conditions, evaluation, joint
 from spandoc.plans.storage import cut_lineage
 from spandoc.schemas import CHAT_SCHEME, DEFAULT_SCHEME
 from spandoc.sources import adapters as src
@@ -97,17 +97,20 @@ def scaled_features(spark, sf):
     return scaled.unpivot(["entity_id"], cols, "feature", "value").withColumn("value", F.round("value", 5))
 
 
-@query("residualized", sql("""SELECT d.entity_id, d.feature,
-    round(d.value - (my + b1 * (a.value - m1) + b2 * (b.value - m2)), 6) AS value
-  FROM dense d JOIN (SELECT entity_id, value FROM dense WHERE feature = 'surface_word_count') a USING (entity_id)
-  JOIN (SELECT entity_id, value FROM dense WHERE feature = 'count_total_components') b USING (entity_id)
-  JOIN (SELECT feature, my, m1, m2, (c1 * v2 - c2 * v12) / (v1 * v2 - v12 * v12) AS b1, (c2 * v1 - c1 * v12) / (v1 * v2 - v12 * v12) AS b2
-    FROM (SELECT d.feature, avg(d.value) AS my, avg(a.value) AS m1, avg(b.value) AS m2, var_pop(a.value) AS v1, var_pop(b.value) AS v2,
-        covar_pop(a.value, b.value) AS v12, covar_pop(d.value, a.value) AS c1, covar_pop(d.value, b.value) AS c2
-      FROM dense d JOIN (SELECT entity_id, value FROM dense WHERE feature = 'surface_word_count') a USING (entity_id)
-      JOIN (SELECT entity_id, value FROM dense WHERE feature = 'count_total_components') b USING (entity_id)
-      WHERE d.split = 'train' AND d.feature LIKE 'order%' GROUP BY d.feature)) c USING (feature)
-  WHERE d.feature LIKE 'order%'""", "doc_spans", "doc_entities", extra=_LONG))
+_ORDER_NAMES = [n for n in _NAMES if n.startswith("order_")]
+# One row per entity: a feature per column, so every moment comes from one aggregate.
+_PIVOT = ("pivoted AS MATERIALIZED (SELECT entity_id, split, max(value) FILTER (feature = 'surface_word_count') AS c1, "
+          "max(value) FILTER (feature = 'count_total_components') AS c2, "
+          + ", ".join(f"max(value) FILTER (feature = '{n}') AS f{i}" for i, n in enumerate(_ORDER_NAMES))
+          + " FROM dense GROUP BY entity_id, split),\nmoments AS MATERIALIZED (SELECT avg(c1) AS m1, avg(c2) AS m2, var_pop(c1) AS v1, var_pop(c2) AS v2, covar_pop(c1, c2) AS v12, "
+          + ", ".join(f"avg(f{i}) AS a{i}, covar_pop(f{i}, c1) AS p{i}, covar_pop(f{i}, c2) AS q{i}" for i in range(len(_ORDER_NAMES)))
+          + " FROM pivoted WHERE split = 'train')")
+_RESIDUAL = ("f{i} - (a{i} + (p{i} * v2 - q{i} * v12) / (v1 * v2 - v12 * v12) * (c1 - m1) + (q{i} * v1 - p{i} * v12) / (v1 * v2 - v12 * v12) * (c2 - m2))")
+
+
+@query("residualized", sql("SELECT entity_id, unnest([" + ", ".join(f"'{n}'" for n in _ORDER_NAMES) + "]) AS feature, unnest(["
+                           + ", ".join(f"round({_RESIDUAL.format(i=i)}, 6)" for i in range(len(_ORDER_NAMES)))
+                           + "]) AS value FROM pivoted, moments", "doc_spans", "doc_entities", extra=_LONG + ",\n" + _PIVOT))
 def residualized(spark, sf):
     spans, ents = _docs(spark, sf)
     wide = conditions.build_condition("T3", spans, ents)
@@ -191,17 +194,44 @@ LOGO = ["T2", "T3", "POS", "POS_TRANS", "T3_PLUS_POS"]
 
 @query("leave_one_group_out")
 def leave_one_group_out(spark, sf):
-    """Every source held out once, the numeric features of five conditions, from one pass of cross products."""
+    """Every source held out once, the numeric features of five conditions, in one job."""
     names = [n + evaluation.NUMERIC for n in LOGO]
-    return evaluation.fold_table(evaluation.leave_one_group_out(_setup(spark, sf), LOGO), names, names[0])
+    return evaluation.fold_table(joint.held_out_groups(_setup(spark, sf), LOGO, text=False), names, names[0])
 
 
 @query("leave_one_group_out_text")
 def leave_one_group_out_text(spark, sf):
-    """Every language held out once with the vocabulary refitted per fold."""
-    spans, ents = _docs(spark, sf)
-    setup = evaluation.Setup(spans, ents.withColumn("grp", F.col("subgrp")))
-    return evaluation.fold_table(evaluation.leave_one_group_out_refit(setup, ["T2"]), ["T2"])
+    """Every source held out once, texts included: vocabulary, scaling and fits of five conditions per fold, in one job."""
+    return evaluation.fold_table(joint.held_out_groups(_setup(spark, sf), LOGO), LOGO)
+
+
+@query("leave_one_group_out_controls")
+def leave_one_group_out_controls(spark, sf):
+    """The same for the true structure against shuffled labels, random boundaries and random features."""
+    names = ["T2", "T3", "REAL_BOUNDARY_SHUFFLED_LABEL", "RANDOM_BOUNDARY_TRUE_SEQUENCE", "TS_s13", "RND_s13"]
+    return evaluation.fold_table(joint.held_out_groups(_setup(spark, sf), names), names)
+
+
+_CV = ["T0", "T1", "T2", "T3", "POS", "BOUNDARY_ONLY", "POS_TRANS", "T3_PLUS_POS"]
+
+
+def _cross_validated(spark, sf, names, **kw):
+    """Metrics of the test rows at the alpha chosen, with the mean error of every alpha over the folds."""
+    preds, table = joint.cross_validated(_setup(spark, sf), names, **kw)
+    choices = spark.createDataFrame(table, "condition string, ridge_alpha double, cv_mse double, selected boolean")
+    return choices.join(m.metrics(preds, ["condition"]), "condition")
+
+
+@query("ridge_cv_text")
+def ridge_cv_text(spark, sf):
+    """Alpha of every condition by five folds, texts included, in one job."""
+    return _cross_validated(spark, sf, _CV)
+
+
+@query("residualized_ridge_text")
+def residualized_ridge_text(spark, sf):
+    """Structure residualized on length and component count, refitted with the text at an alpha of its own."""
+    return _cross_validated(spark, sf, ["POS", "TRANS", "T3"], residual=True)
 
 
 @query("embedding_head")
@@ -225,25 +255,9 @@ def embedding_structure_head(spark, sf):
 
 @query("residualized_ridge")
 def residualized_ridge(spark, sf):
-    """Structure features residualized on length and component count, then refitted without the text."""
-    spans, ents = _docs(spark, sf)
-    ranks = structure.max_rank_count(spans, ents.filter("split = 'train'"))
-    out = None
-    wide = cut_lineage(conditions.build_condition("T3_PLUS_POS", spans, ents, max_ranks=ranks))
-    rows = ents.select("entity_id", "split", "score", "grp")
-    for name in ("POS", "TRANS", "T3"):
-        cols = conditions.feature_names(name, max_ranks=ranks)
-        part = wide.select("entity_id", *cols)
-        own = [c for c in cols if not c.startswith(("surface_", "count_", "prop_"))]
-        fits = models.fit_residuals(_train(part, ents), own, ("surface_word_count", "count_total_components"))
-        both = models.residualized(part, fits).join(rows, "entity_id")
-        products = models.cross_products(both.filter("split = 'train'"), cols, "split")
-        fit = models.ridge_from_products(products, products.total(), cols, 10.0)
-        one = both.filter("split = 'test'").select(
-            F.lit(f"{name}_residualized" + evaluation.NUMERIC).alias("condition"), "entity_id", F.col("score").alias("y_true"),
-            F.expr(fit.prediction()).alias("y_pred"))
-        out = one if out is None else out.unionByName(one)
-    return m.metrics(out)
+    """Structure features residualized on length and component count, then refitted without the text at alpha 10."""
+    preds, _ = joint.cross_validated(_setup(spark, sf), ["POS", "TRANS", "T3"], alphas=(10.0,), residual=True, text=False)
+    return m.metrics(preds, ["condition"])
 
 
 # --- manifests and protocol -------------------------------------------------------------------
@@ -298,7 +312,8 @@ def manifest_match(spark, sf):
 def ablation_consistency(spark, sf):
     """Names by set algebra on built tables, values by the largest difference over all entities."""
     spans, ents = _docs(spark, sf)
-    built = {c: conditions.build_condition(c, spans, ents) for c in ("T3", "NO_TRANS", "LABELPOS", "TRANS", "POS", "COUNTS_TRANS")}
+    # Rank slots play no part here.
+    built = {c: conditions.build_condition(c, spans, ents, max_ranks=0) for c in ("T3", "NO_TRANS", "LABELPOS", "TRANS", "POS", "COUNTS_TRANS")}
     cols = {c: set(models.feature_columns(d)) for c, d in built.items()}
 
     def named(prefix, c, infix=""):

@@ -8,6 +8,7 @@ from spandoc.catalog.ctes import sql
 from spandoc.catalog.feature_sql import features_body, features_extra
 from spandoc.catalog.registry import query
 from spandoc.operators import exemplars, structure
+from spandoc.operators.audit import structure_statistics
 from spandoc.plans import conditions
 from spandoc.schemas import CHAT_SCHEME, DEFAULT_SCHEME, EVENT_SCHEME, FLAG_SCHEME
 from spandoc.sources import adapters as src
@@ -109,16 +110,24 @@ def structure_by_entity(spark, sf):
 _COND = ("surface", "count", "firstlast", "transition", "label_position", "geometry")
 
 
+def _condition_rows(spark, sf, name):
+    rows = conditions.condition_rows(name, src.doc_spans(spark, sf), src.doc_entities(spark, sf))
+    return rows.withColumn("value", F.round("value", 6)).filter("value <> 0")
+
+
 @query("condition_matrix", family_sql("docs", _COND))
 def condition_matrix(spark, sf):
-    wide = conditions.build_condition("T3_PLUS_POS", src.doc_spans(spark, sf), src.doc_entities(spark, sf))
-    return structure.unpivot_features(wide, 6)
+    return _condition_rows(spark, sf, "T3_PLUS_POS")
 
 
 @query("condition_pos_trans", family_sql("docs", ("surface", "count", "geometry", "transition")))
 def condition_pos_trans(spark, sf):
-    wide = conditions.build_condition("POS_TRANS", src.doc_spans(spark, sf), src.doc_entities(spark, sf))
-    return structure.unpivot_features(wide, 6)
+    return _condition_rows(spark, sf, "POS_TRANS")
+
+
+@query("condition_boundary_only", family_sql("docs", ("surface", "count", "boundary_only")))
+def condition_boundary_only(spark, sf):
+    return _condition_rows(spark, sf, "BOUNDARY_ONLY")
 
 
 @query("condition_counts_trans", family_sql("docs", ("surface", "count", "transition")))
@@ -152,15 +161,23 @@ cand AS (
   UNION ALL SELECT entity_id, 6, 'bad_partition', 3 FROM base WHERE partition_status <> 'complete_partition'
   UNION ALL SELECT entity_id, 7, 'overlapping', 2 FROM base WHERE ov > 0
   UNION ALL SELECT entity_id, 8, 'fill', 20 FROM base WHERE n_ann > 0),
-picked AS (
-  SELECT entity_id, min(pri) AS pri, arg_min(stratum, lpad(CAST(pri AS VARCHAR), 2, '0') || stratum) AS stratum
-  FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY entity_id) AS rn FROM cand) WHERE rn <= take GROUP BY entity_id),
-strat AS (SELECT * FROM picked WHERE pri < 8),
-sel AS (SELECT * FROM strat UNION ALL (SELECT * FROM picked WHERE pri = 8 ORDER BY entity_id
-        LIMIT greatest(0, 20 - (SELECT count(*) FROM strat))))"""
-
-
-@query("exemplars", sql("SELECT entity_id, pri AS priority, stratum FROM sel", "doc_entities", "audited", extra=_EXEMPLAR_SQL))
+strata AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY pri, stratum) AS n, pri, stratum, any_value(take) AS take, list(entity_id ORDER BY entity_id) AS ids
+  FROM cand GROUP BY pri, stratum),
+fold AS (
+  SELECT 0::BIGINT AS n, CAST([] AS STRUCT(entity_id VARCHAR, pri INTEGER, stratum VARCHAR)[]) AS log
+  UNION ALL
+  SELECT n + 1, list_concat(log, list_transform(pick, lambda x: {'entity_id': x, 'pri': pri, 'stratum': stratum}))
+  FROM (SELECT f.n, f.log, s.pri, s.stratum,
+      CASE WHEN s.pri <= 3 THEN list_filter(s.ids, lambda x: NOT list_contains(list_transform(f.log, lambda p: p.entity_id), x))[1:s.take]
+        WHEN s.pri < 8 THEN list_filter(s.ids[1:s.take], lambda x: NOT list_contains(list_transform(f.log, lambda p: p.entity_id), x))
+        ELSE list_filter(s.ids, lambda x: NOT list_contains(list_transform(f.log, lambda p: p.entity_id), x))[1:greatest(0, 20 - len(f.log))]
+      END AS pick
+    FROM fold f JOIN strata s ON s.n = f.n + 1)),
+sel AS (SELECT p.entity_id, p.pri, p.stratum FROM (SELECT unnest(log) AS p FROM (SELECT log FROM fold ORDER BY n DESC LIMIT 1)))"""
+
+
+@query("exemplars", sql("SELECT entity_id, pri AS priority, stratum FROM sel", "doc_entities", "audited", extra=_EXEMPLAR_SQL, recursive=True))
 def exemplar_ids(spark, sf):
     ents, spans = src.doc_entities(spark, sf), src.audited_spans(spark, sf)
     issues = exemplars.issue_columns(spans, ents)
@@ -174,7 +191,7 @@ def exemplar_ids(spark, sf):
     score, partition_status, overlap_pairs, effectiveness
   FROM (SELECT a.*, sel.pri, sel.stratum, e.char_count, e.score, e.partition_status, e.ov AS overlap_pairs, x.effectiveness, row_number() OVER (PARTITION BY a.entity_id ORDER BY start_at, end_at, label, k) AS rk
         FROM audited a JOIN sel USING (entity_id) JOIN base e USING (entity_id) LEFT JOIN (SELECT entity_id AS xe, row_no, effectiveness FROM annot) x ON xe = a.entity_id AND row_no = a.k
-        WHERE a.label <> 'Unannotated')""", "doc_entities", "audited", "annot", extra=_EXEMPLAR_SQL))
+        WHERE a.label <> 'Unannotated')""", "doc_entities", "audited", "annot", extra=_EXEMPLAR_SQL, recursive=True))
 def exemplar_details(spark, sf):
     ents, spans = src.doc_entities(spark, sf), src.audited_spans(spark, sf, True)
     rated = src.annotation_rows(spark, sf).select("entity_id", F.col("row_no").alias("k"), "effectiveness")

@@ -17,6 +17,8 @@ BAD_PARTITION_TAKE = 3
 OVERLAP_TAKE = 2
 WANTED = 20
 PREVIEW_CHARS = 120
+# Strata up to this priority pass over ids that are taken; later ones only look at their first ids.
+GREEDY_PRIORITY = 3
 
 
 def issue_columns(spans: DataFrame, entities: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:
@@ -29,12 +31,15 @@ def issue_columns(spans: DataFrame, entities: DataFrame, scheme: LabelScheme = D
 
 
 def select_exemplars(entities: DataFrame, issues: DataFrame, valid: DataFrame | None = None) -> DataFrame:
-    """First entities (by id) of every stratum, deduplicated, filled up to 20.
+    """Entities picked stratum by stratum in a fixed order, filled up to 20: entity_id, priority, stratum.
 
-    ``valid`` (entity_id) restricts the entities that fill up; by default all do.
+    Scores, groups and subgroups (each in the order of their values) take their first ids that no stratum
+    before them has picked.  The strata of issues (complex, simple, bad partition, overlapping) look at
+    their first ids only and leave out those picked before.  ``valid`` (entity_id) restricts the entities that
+    fill up; by default all do.
 
-    Each stratum keeps its k smallest ids.  A bounded ``min`` per stratum would do for
-    k = 1; for more, ids are first cut to the k smallest per stratum and id bucket, so no
+    A stratum can lose no more ids to the strata before it than these take, so it keeps that many
+    and its own; what is left is resolved in order by one fold.  Ids are first cut per stratum and id bucket, so no
     stratum, however large, is sorted in one task.
     """
     groups = F.broadcast(entities.select("grp").distinct().orderBy("grp").limit(GROUPS_WANTED)
@@ -56,18 +61,26 @@ def select_exemplars(entities: DataFrame, issues: DataFrame, valid: DataFrame |
         stratum(7, F.lit("overlapping"), OVERLAP_TAKE, F.col("overlap_pairs") > 0),
         stratum(8, F.lit("fill"), WANTED, F.col("fills")),
     ))
-    rows = e.select("entity_id", F.explode(strata).alias("s")).select("entity_id", "s.*").withColumn(
+    rows = e.select("entity_id", F.explode(strata).alias("s")).select("entity_id", "s.*")
+    # One row per stratum: how many ids it has to keep.
+    names = rows.select("priority", "stratum", "take").distinct()
+    before = F.coalesce(F.sum("take").over(Window.orderBy("priority", "stratum").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    names = names.withColumn("keep", F.col("take") + F.when(F.col("priority") <= GREEDY_PRIORITY, before).otherwise(0))
+    rows = rows.join(F.broadcast(names.select("stratum", "keep")), "stratum").withColumn(
         "bucket", F.pmod(F.xxhash64("entity_id"), F.lit(4096)))
     per_bucket = Window.partitionBy("stratum", "bucket").orderBy("entity_id")
     per_stratum = Window.partitionBy("stratum").orderBy("entity_id")
-    short = rows.withColumn("rn", F.row_number().over(per_bucket)).filter("rn <= take")
-    kept = short.withColumn("rn", F.row_number().over(per_stratum)).filter("rn <= take")
-    picked = kept.groupBy("entity_id").agg(F.min(F.struct("priority", "stratum")).alias("m")).select(
-        "entity_id", F.col("m.priority").alias("priority"), F.col("m.stratum").alias("stratum"))
-    # A few dozen rows are left; rank the fill candidates behind the strata.
-    order = Window.orderBy(F.when(F.col("priority") < 8, 0).otherwise(1), "entity_id")
-    ranked = picked.withColumn("rn", F.row_number().over(order))
-    return ranked.filter((F.col("priority") < 8) | (F.col("rn") <= WANTED)).drop("rn")
+    short = rows.withColumn("rn", F.row_number().over(per_bucket)).filter("rn <= keep")
+    kept = short.withColumn("rn", F.row_number().over(per_stratum)).filter("rn <= keep")
+    lists = kept.groupBy("priority", "stratum", "take").agg(F.array_sort(F.collect_list("entity_id")).alias("ids"))
+    ordered = lists.agg(F.array_sort(F.collect_list(F.struct("priority", "stratum", "take", "ids"))).alias("strata"))
+    nothing = "cast(array() AS array<struct<entity_id:string,priority:int,stratum:string>>)"
+    unused = "filter({ids}, i -> NOT exists(acc, p -> p.entity_id = i))"
+    new = (f"CASE WHEN s.priority = 8 THEN slice({unused.format(ids='s.ids')}, 1, greatest(0, s.take - size(acc))) "
+           f"ELSE slice({unused.format(ids='s.ids')}, 1, s.take) END")
+    fold = (f"aggregate(strata, {nothing}, (acc, s) -> concat(acc, transform({new}, i -> "
+            "named_struct('entity_id', i, 'priority', s.priority, 'stratum', s.stratum))))")
+    return ordered.select(F.explode(F.expr(fold)).alias("p")).select("p.*")
 
 
 def render(selected: DataFrame, spans: DataFrame, entities: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME,

@@ -106,6 +106,21 @@ def build_condition(
     return out.select("entity_id", *sorted(c for c in out.columns if c != "entity_id"))
 
 
+def condition_rows(name: str, spans: DataFrame, entities: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME, seed: int = 42) -> DataFrame:
+    """Features of a condition as rows (entity_id, feature, value), zeros left out.
+
+    Rank slots are rows from the start, up to the most spans of a training entity, so entities of any length have them.
+    """
+    rows = structure.unpivot_features(build_condition(name, spans, entities, scheme, 0, seed))
+    if not {"geometry", "boundary_only"} & set(resolve(name).families):
+        return rows
+    ranks = structure.max_rank_count(spans, entities.filter("split = 'train'"), scheme)
+    slots = structure.rank_slots(spans, entities, scheme, ranks)
+    both = F.explode(F.array(*[
+        F.struct(F.concat(F.lit(f"pos_{side}_rank_"), "rank").alias("feature"), F.col(f"{side}_share").alias("value")) for side in ("start", "end")]))
+    return rows.unionByName(slots.select("entity_id", both.alias("x")).select("entity_id", "x.*").filter("value <> 0"))
+
+
 # Family under which the names of a condition's family are listed, where the two differ.
 LISTED_AS = {"geometry": "position", "boundary_only": "position", "transition_from_lists": "transition"}
 

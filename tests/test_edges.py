@@ -264,3 +264,40 @@ def test_label_check_and_default_scheme(spans_of):
     df = spans_of([("a", 0, 0, 1, "Lead"), ("a", 1, 2, 3, "Odd"), ("a", 2, 4, 5, "Unannotated")])
     got = one(audit.label_set_check(df, DEFAULT_SCHEME))
     assert got["unexpected"] == "Odd" and "Lead" not in got["missing"].split("|") and "Claim" in got["missing"].split("|")
+
+
+def test_exemplars_against_picking_one_by_one(spark):
+    """Every stratum passes over what was picked before it; strata of issues only look at their first ids."""
+    import random
+
+    from spandoc.operators import exemplars
+
+    rng = random.Random(6)
+    for n in (6, 40, 400):
+        ents = [(f"{i:04d}", rng.randrange(0, 8), f"g{rng.randrange(12)}", f"s{rng.randrange(3)}") for i in range(n)]
+        issues = [(e[0], rng.choice(["complete_partition", "gap_or_overlap"]), rng.randrange(0, 12), rng.randrange(0, 2)) for e in ents]
+        picked, used = [], set()
+
+        def take(ids, priority, name):
+            for i in ids:
+                if i not in used:
+                    used.add(i)
+                    picked.append((i, priority, name))
+
+        def greedy(cond, k, priority, name):
+            take([e[0] for e in ents if cond(e) and e[0] not in used][:k], priority, name)
+
+        for s in range(1, 7):
+            greedy(lambda e: e[1] == s, 1, 1, f"score={s}")
+        for g in sorted({e[2] for e in ents})[:8]:
+            greedy(lambda e: e[2] == g, 1, 2, f"grp={g}")
+        for g in sorted({e[3] for e in ents}):
+            greedy(lambda e: e[3] == g, 2, 3, f"subgrp={g}")
+        for priority, name, k, cond in ((4, "complex", 3, lambda r: r[2] >= 8), (5, "simple", 2, lambda r: r[2] <= 4),
+                                        (6, "bad_partition", 3, lambda r: r[1] != "complete_partition"), (7, "overlapping", 2, lambda r: r[3] > 0)):
+            take([r[0] for r in issues if cond(r)][:k], priority, name)
+        greedy(lambda e: True, max(0, 20 - len(picked)), 8, "fill")
+        got = exemplars.select_exemplars(
+            spark.createDataFrame(ents, "entity_id string, score int, grp string, subgrp string").repartition(3),
+            spark.createDataFrame(issues, "entity_id string, partition_status string, annotated_segments int, overlap_pairs int"))
+        assert [tuple(r) for r in got.collect()] == picked

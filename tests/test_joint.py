@@ -182,6 +182,7 @@ def test_fits_in_several_blocks_are_the_same(setup, monkeypatch):
     monkeypatch.setattr(block_ridge, "BLOCK_BYTES", 1)
     monkeypatch.setattr(block_ridge, "SLICE_BYTES", 1)
     monkeypatch.setattr(block_ridge, "BLOCK_COLUMNS", 3)
+    monkeypatch.setattr(joint, "GROUPS_AT_ONCE", 2)
     parts = {(r.condition, r.entity_id): r.y_pred for r in joint.held_out_groups(setup, ["T2", "T1"]).collect()}
     assert parts.keys() == whole.keys() and all(parts[k] == pytest.approx(whole[k], abs=1e-5) for k in whole)
 
