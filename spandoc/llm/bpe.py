@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Pieces a worker remembers, and characters of text whose new pieces are encoded together.
 REMEMBERED, CHUNK = 150_000, 2_000_000
+# The same where a stage shares its executors with others.
+SMALL_REMEMBERED, SMALL_CHUNK = 60_000, 500_000
 DECODED_ROWS = 2000
 MANY = 64  # places of a rank that are merged together
 
@@ -217,9 +219,9 @@ class Memory:
         self.ids = np.empty(0, np.int32)
         self.starts, self.lengths, self.uses = (np.empty(0, np.int64) for _ in range(3))
 
-    def forget(self) -> None:
-        """Keep the third of REMEMBERED pieces that were used most."""
-        kept = np.sort(np.argsort(-self.uses, kind="stable")[:REMEMBERED // 3])
+    def forget(self, most: int) -> None:
+        """Keep the third of ``most`` pieces that were used most."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[:most // 3])
         names = list(self.pieces)
         self.pieces = Pieces()
         self.pieces.update((names[i], n) for n, i in enumerate(kept.tolist()))
@@ -234,10 +236,10 @@ class Memory:
             cls.held = cls(ranks)
         return cls.held
 
-    def encode(self, texts: list[str], find) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], find, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
-        if len(self.pieces) > REMEMBERED:
-            self.forget()
+        if len(self.pieces) > (most or REMEMBERED):
+            self.forget(most or REMEMBERED)
         number = self.pieces.__getitem__
         used = [np.fromiter(map(number, find(t)), np.int32) for t in texts]
         ids, lengths = self.replay.encode([p.encode() for p in self.pieces.fresh])
@@ -287,34 +289,81 @@ def encode(entities: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFr
     return rows.mapInArrow(run, schema)
 
 
+class Surfaces:
+    """The bytes of all tokens one after another, to join those of many ids at once."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.raw = np.frombuffer(b"".join(tokens), np.uint8)
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def join(self, ids: np.ndarray, counts: np.ndarray, valid: pa.Buffer | None = None) -> pa.BinaryArray:
+        """One binary value per count of ids; unknown ids are an error."""
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.lengths) and self.lengths[ids].all()):
+            raise ValueError("ids beyond the vocabulary")
+        size = self.lengths[ids]
+        done = np.cumsum(size)
+        text = self.raw[np.arange(done[-1] if len(done) else 0) + np.repeat(self.starts[ids] - (done - size), size)]
+        ends = np.concatenate([[0], done])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [valid, pa.py_buffer(ends), pa.py_buffer(text)])
+
+
+def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Adds ``decoded`` (binary): the bytes of the tokens in ``ids``; null ids give null.  Unknown ids are an error."""
     rows = encoded.select("entity_id", "ids")
     schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())])
-    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(tokens)
+    shared = encoded.sparkSession.sparkContext.broadcast(_tokens(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = np.frombuffer(b"".join(shared.value), np.uint8)
-        lengths = np.array([len(t) for t in shared.value], np.int64)
-        starts = np.cumsum(lengths) - lengths
+        surfaces = Surfaces(shared.value)
         for b in batches:
             for lo in range(0, len(b), DECODED_ROWS):
                 part = b.slice(lo, DECODED_ROWS)
                 column = part.column(1)
                 ids = column.flatten().to_numpy(zero_copy_only=False)
                 rows = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                if len(ids) and not (0 <= ids.min() and ids.max() < len(lengths) and lengths[ids].all()):
-                    raise ValueError("ids beyond the vocabulary")
-                size = lengths[ids]
-                done = np.cumsum(size)
-                text = raw[np.arange(done[-1] if len(done) else 0) + np.repeat(starts[ids] - (done - size), size)]
-                ends = np.concatenate([[0], done])[np.concatenate([[0], np.cumsum(rows)])].astype(np.int32)
                 valid = pa.py_buffer(np.packbits(column.is_valid().to_numpy(zero_copy_only=False), bitorder="little").tobytes())
-                decoded = pa.BinaryArray.from_buffers(pa.binary(), len(part), [valid, pa.py_buffer(ends), pa.py_buffer(text)])
-                yield pa.RecordBatch.from_arrays([*part.columns, decoded], [*b.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, surfaces.join(ids, rows, valid)], [*b.schema.names, "decoded"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def round_trip(entities: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the texts: entity_id, ids, decoded.
+
+    One Python worker per task does both, with small parts and fewer remembered pieces, and forgets
+    them with its last row: for jobs that share their executors' memory with other stages.
+    """
+    rows = entities.select("entity_id", "text")
+    schema = T.StructType([
+        rows.schema["entity_id"], T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())])
+    shared = entities.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find = regex.compile(pattern).findall
+        memory, surfaces = Memory(shared.value), Surfaces(_tokens(shared.value))
+        for b in batches:
+            texts = b.column(1)
+            part, size = [], 0
+            for i, t in enumerate(texts, 1):
+                part.append(t.as_py() or "")
+                size += len(part[-1])
+                if size >= SMALL_CHUNK or i == len(texts):
+                    ids, counts = memory.encode(part, find, SMALL_REMEMBERED)
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).slice(i - len(part), len(part)), pa.ListArray.from_arrays(offsets, ids), surfaces.join(ids, counts)],
+                        ["entity_id", "ids", "decoded"])
+                    part, size = [], 0
 
     return rows.mapInArrow(run, schema)
 

@@ -50,6 +50,18 @@ def test_tokens_of_the_documents(spark):
         assert r.decoded_sha256 == sha256(docs[r.doc_id].encode()).hexdigest()
 
 
+def test_round_trip_is_encoding_and_decoding(spark, monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    from spandoc.llm import bpe
+
+    monkeypatch.setattr(bpe, "SMALL_REMEMBERED", 300)
+    monkeypatch.setattr(bpe, "SMALL_CHUNK", 5000)
+    ranks, texts = queries.tokenizer(), queries.entities(spark, SF)
+    texts = texts.unionByName(spark.createDataFrame([(None, None), (-1, "")], "entity_id bigint, text string"))
+    want = {(r.entity_id, tuple(r.ids), bytes(r.decoded)) for r in bpe.decode(bpe.encode(texts, ranks, P.PATTERN), ranks).collect()}
+    assert {(r.entity_id, tuple(r.ids), bytes(r.decoded)) for r in bpe.round_trip(texts, ranks, P.PATTERN).collect()} == want
+
+
 def test_main_text_of_the_pages(spark):
     import html
     import re
