@@ -10,9 +10,9 @@ from spandoc.catalog.controls import ranked_sql
 from spandoc.catalog.ctes import sql
 from spandoc.catalog.feature_sql import features_extra, features_select
 from spandoc.catalog.registry import query
-from spandoc.operators import controls, metrics as m, models, qa, stats, structure
-from spandoc.plans import conditions, evaluation, joint
-from spandoc.plans.storage import cut_lineage
+from spandoc.operators import controls, gates, metrics as m, models, qa, stats, structure
+from spandoc.plans import conditions, evaluation, joint, runs
+from spandoc.plans.storage import shared_folder
 from spandoc.schemas import CHAT_SCHEME, DEFAULT_SCHEME
 from spandoc.sources import adapters as src
 
@@ -260,6 +260,37 @@ def residualized_ridge(spark, sf):
     return m.metrics(preds, ["condition"])
 
 
+VECTOR_CONDITIONS = ["D0", "D2", "D_POS", "D_STRUCT", "D_SHUFFLED", "D_RANDOM"]
+VECTOR_SEEDS = [13, 21, 42]
+
+
+def _vector_runs(spark, sf):
+    """The six conditions on vectors x three seeds, in one job; finished cells of the same inputs would be skipped."""
+    ents = src.doc_entities(spark, sf).join(src.vector_entities(spark, sf).select("entity_id", "embedding"), "entity_id")
+    done = runs.Runs(evaluation.Setup(src.doc_spans(spark, sf), ents), shared_folder(spark))
+    done.run(runs.cells(VECTOR_CONDITIONS, VECTOR_SEEDS), at_once=18)
+    return done
+
+
+@query("run_log_vectors")
+def run_log_vectors(spark, sf):
+    """One row per condition on vectors, seed and phase."""
+    return _vector_runs(spark, sf).table().drop("error")
+
+
+@query("gate_robustness_vectors")
+def gate_robustness_vectors(spark, sf):
+    """The robustness decision on the conditions it is meant for, with the mean over seeds, all from one run."""
+    preds = _vector_runs(spark, sf).predictions()
+    scores = m.metrics(preds, ["base", "condition"]).groupBy("base").agg(F.avg("qwk").alias("qwk"))
+    pairs = m.pair_table(spark, [("D_STRUCT", c) for c in ("D0", "D2", "D_SHUFFLED", "D_RANDOM")] + [("D_POS", "D2")])
+    diffs = pairs.join(scores.select(F.col("base").alias("condition_a"), F.col("qwk").alias("qa")), "condition_a").join(
+        scores.select(F.col("base").alias("condition_b"), F.col("qwk").alias("qb")), "condition_b").withColumn(
+        "qwk_diff_mean", F.col("qa") - F.col("qb"))
+    groups = m.group_kappa(preds, ["base", "condition", "grp"]).groupBy("base", "grp").agg(F.avg("qwk").alias("qwk_mean"))
+    return gates.robustness_gate(diffs, groups.withColumnRenamed("base", "condition"), len(VECTOR_SEEDS))
+
+
 # --- manifests and protocol -------------------------------------------------------------------
 
 _MANIFEST = ["T1", "T2", "T3", "FIRSTLAST", "TRANS", "LABELPOS", "NO_TRANS", "NO_POS", "COUNTS_TRANS"]

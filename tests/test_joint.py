@@ -193,3 +193,60 @@ def test_null_texts_groups_and_scores(setup):
     got = joint.held_out_groups(Setup(setup.spans, ents, alpha=2.0, max_features=25, min_df=2), ["T2"]).collect()
     ids = {r.entity_id for r in got}
     assert "e05" in ids and "e06" not in ids and "e07" not in ids and len(got) == 34
+
+
+def with_vectors(setup, rows):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(len(rows), 5)) * [1, 0.1, 2, 1, 1]
+    vectors = setup.entities.sparkSession.createDataFrame([(r[0], v.tolist()) for r, v in zip(rows, x)], "entity_id string, embedding array<float>")
+    return Setup(setup.spans, setup.entities.join(vectors, "entity_id"), alpha=2.0), x.astype(np.float32).astype(float)
+
+
+def test_conditions_on_vectors(setup):
+    """Vectors unscaled next to scaled structure; rows of the other splits are predicted."""
+    rows, spans = make()
+    vec, x = with_vectors(setup, rows)
+    got = {(r.condition, r.entity_id): (r.phase, r.y_pred) for r in joint.fitted(vec, ["D0", "D_POS", "D_SHUFFLED_s13"]).collect()}
+    y, train = np.array([r[3] for r in rows]), [i for i, r in enumerate(rows) if r[6] == "train"]
+    for name in ("D0", "D_POS", "D_SHUFFLED_s13"):
+        parts = [x] if name == "D0" else [x, scaled(numbers(setup, rows, name, ranks_of(rows, spans, train))[1], train)]
+        want = dense(np.concatenate(parts, 1), y, train, 2.0)
+        for i, r in enumerate(rows):
+            if r[6] == "test":
+                assert got[name, r[0]] == ("test", pytest.approx(want[i], abs=1e-5))
+    assert len(got) == 3 * sum(r[6] == "test" for r in rows)
+
+
+def test_a_run_that_dies_is_taken_up_again(setup, tmp_path, monkeypatch):
+    from spandoc.plans import runs
+
+    vec, _ = with_vectors(setup, make()[0])
+    wanted = runs.cells(["D0", "D_RANDOM"], [13, 21]) + runs.cells(["NOT_A_CONDITION"], [])
+    fit, fitted = runs.Runs._fit, []
+
+    def dies(self, block, keys):
+        if len(fitted) == 1:
+            raise KeyboardInterrupt
+        fitted.append([c.name for c in block])
+        fit(self, block, keys)
+
+    monkeypatch.setattr(runs.Runs, "_fit", dies)
+    with pytest.raises(KeyboardInterrupt):
+        runs.Runs(vec, str(tmp_path)).run(wanted, at_once=2)
+    first = {r.condition: r.seconds for r in runs.Runs(vec, str(tmp_path)).log().collect()}
+    assert set(first) == {"D0_s13", "D0_s21"}
+    monkeypatch.setattr(runs.Runs, "_fit", lambda self, block, keys: fitted.append([c.name for c in block]) or fit(self, block, keys))
+    again = runs.Runs(vec, str(tmp_path))
+    log = {r.condition: r for r in again.run(wanted, at_once=2).collect()}
+    assert fitted[1:] == [["D_RANDOM_s13", "D_RANDOM_s21"], ["NOT_A_CONDITION"], ["NOT_A_CONDITION"]]
+    assert {c: r.status for c, r in log.items()} == {**dict.fromkeys(["D0_s13", "D0_s21", "D_RANDOM_s13", "D_RANDOM_s21"], "ok"), "NOT_A_CONDITION": "failed"}
+    assert all(log[c].seconds == s for c, s in first.items())  # not run again
+    table = again.table().collect()
+    assert {(r.condition, r.phase) for r in table} == {(c, "test" if r.status == "ok" else None) for c, r in log.items()}
+    # A third run only tries what failed; other settings are other cells.
+    del fitted[:]
+    again.run(wanted)
+    assert fitted == [["NOT_A_CONDITION"], ["NOT_A_CONDITION"]]
+    other = Setup(vec.spans, vec.entities, alpha=3.0)
+    assert runs.key_of(wanted[0], other, "x") != runs.key_of(wanted[0], vec, "x")
+    assert runs.inputs_digest(Setup(vec.spans, vec.entities.filter("entity_id > 'e03'"))) != runs.inputs_digest(vec)
