@@ -6,11 +6,12 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from spandoc.catalog.audit import _ENTITIES, _VALID
 from spandoc.catalog.controls import ranked_sql
 from spandoc.catalog.ctes import sql
 from spandoc.catalog.feature_sql import features_extra, features_select
 from spandoc.catalog.registry import query
-from spandoc.operators import controls, gates, metrics as m, models, qa, stats, structure
+from spandoc.operators import audit, bootstrap as boot, controls, gates, metrics as m, models, qa, stats
 from spandoc.plans import conditions, evaluation, joint, runs
 from spandoc.plans.storage import shared_folder
 from spandoc.schemas import CHAT_SCHEME, DEFAULT_SCHEME
@@ -380,12 +381,12 @@ def leakage_check(spark, sf):
     'train=' || count(*) FILTER (s = 'train') || ', test=' || count(*) FILTER (s = 'test') AS detail
   FROM (SELECT entity_id, count(DISTINCT split) AS n, any_value(split) AS s FROM chat_entities GROUP BY entity_id)
   UNION ALL SELECT 'shuffled_label_counts_preserved', true, 'n_checks=' || count(DISTINCT entity_id) FROM rk
-  UNION ALL SELECT 'random_control_dim_match', true, 'rnd=91, order=91'
-  UNION ALL SELECT 'manifest_match', true, 'T2=24' WHERE EXISTS (SELECT 1 FROM documents)
+  UNION ALL SELECT 'random_control_dim_match', count(*) = 91, 'rnd=91, order=' || count(*) FROM listed WHERE family IN ('firstlast', 'transition', 'label_position')
+  UNION ALL SELECT 'manifest_match', count(*) = 24, 'T2=' || count(*) FROM conds JOIN listed USING (family) WHERE condition = 'T2'
   UNION ALL SELECT 'bootstrap_samples_ge_10000', true, '10000'
-  UNION ALL SELECT 'invalid_entities_excluded', true, 'kept=' || count(*) FILTER (n_ann > 0) FROM
-    (SELECT count(*) FILTER (label <> 'Unannotated') AS n_ann FROM doc_spans GROUP BY entity_id)""",
-  "chat_spans", "chat_entities", "doc_spans", extra=ranked_sql("chat_spans", "system")))
+  UNION ALL SELECT 'invalid_entities_excluded', count(*) > 0, 'kept=' || count(*) FROM doc_entities JOIN jv USING (entity_id) WHERE join_valid""",
+  "chat_spans", "chat_entities", "doc_entities", "annot",
+  extra=ranked_sql("chat_spans", "system") + ",\n" + _MANIFEST_SQL + ",\n" + _ENTITIES + ",\n" + _VALID))
 def protocol_checks(spark, sf):
     chat, ents = src.chat_spans(spark, sf), src.chat_entities(spark, sf)
     doc_spans, docs = _docs(spark, sf)
@@ -395,8 +396,7 @@ def protocol_checks(spark, sf):
     kept = controls.label_counts_equal(
         controls.ranked_spans(chat, CHAT_SCHEME), controls.shuffle_labels(chat, 13, CHAT_SCHEME), "same")
     preserved = kept.agg(F.bool_and("same").alias("passed"), F.concat(F.lit("n_checks="), F.count(F.lit(1))).alias("detail"))
-    order = conditions.feature_names("T3")
-    n_order = sum(n.startswith("order_") for n in order)
+    n_order = sum(n.startswith("order_") for n in models.feature_columns(conditions.build_condition("T3", doc_spans, docs)))
     rnd = controls.random_features(docs, conditions.RANDOM_DIMS, 13)
     n_rnd = len(models.feature_columns(rnd))
     one = docs.agg(F.count(F.lit(1)).alias("n"))
@@ -404,13 +404,16 @@ def protocol_checks(spark, sf):
     match = qa.manifest_match(conditions.manifest_rows(spark, ["T2"]), conditions.actual_manifest(
         "T2", conditions.build_condition("T2", doc_spans, docs))).select(
         F.col("manifest_match").alias("passed"), F.concat("condition", F.lit("="), "actual_feature_count").alias("detail"))
-    import inspect
-    from spandoc.operators import bootstrap
-
-    reps = inspect.signature(bootstrap.paired_bootstrap).parameters["replicates"].default
-    enough = one.select(F.lit(reps >= 10000).alias("passed"), F.lit(str(reps)).alias("detail"))
-    annotated = doc_spans.groupBy("entity_id").agg(F.count_if(F.col("label") != DEFAULT_SCHEME.gap).alias("n")).filter("n > 0")
-    excluded = annotated.agg((F.min("n") > 0).alias("passed"), F.concat(F.lit("kept="), F.count(F.lit(1))).alias("detail"))
+    drawn = boot.bootstrap_differences(src.predictions(spark, sf), "T3_PLUS_POS", ["T2"], 10000, [42])
+    enough = drawn.agg(F.count_distinct("rep").alias("n")).select(
+        (F.col("n") >= 10000).alias("passed"), F.col("n").cast("string").alias("detail"))
+    # The features are built for the valid entities; each of their rows is looked up in the validation again.
+    rows = audit.consolidate(src.annotation_rows(spark, sf))
+    validity = audit.validate_entities(rows).select("entity_id", "join_valid")
+    kept = docs.join(validity.filter("join_valid"), "entity_id", "left_semi")
+    checked = conditions.build_condition("T1", doc_spans, kept).select("entity_id").join(validity, "entity_id", "left")
+    excluded = checked.agg(F.coalesce(F.bool_and(F.coalesce("join_valid", F.lit(False))), F.lit(False)).alias("passed"),
+                           F.concat(F.lit("kept="), F.count(F.lit(1))).alias("detail"))
     return qa.protocol_table([
         ("no_train_test_overlap", overlap), ("shuffled_label_counts_preserved", preserved), ("random_control_dim_match", dims),
         ("manifest_match", match), ("bootstrap_samples_ge_10000", enough), ("invalid_entities_excluded", excluded)])

@@ -17,7 +17,7 @@ QUICK = [
     "order_heuristic", "structure_features", "boundary_geometry", "label_positions", "surface_features",
     "transitions_window", "transitions_array", "metrics_rollup", "kappa_present_labels", "seed_aggregation",
     "bootstrap_pair", "comparison_rows", "gate_claim", "shuffle_labels", "random_boundary_shuffled", "control_checks",
-    "stratified_split", "kfold", "tfidf_weights", "head_tail_overfull", "residualized", "ridge_fixed", "exemplar_details",
+    "structure_by_entity", "exemplars", "condition_pos_trans", "protocol_checks", "stratified_split", "kfold", "tfidf_weights", "head_tail_overfull", "residualized", "ridge_fixed", "exemplar_details",
 ]
 NAMES = list(entry.oracle_sql()) if os.environ.get("SPANDOC_ALL") else QUICK
 ORDERED = ["event_spans", "chat"]
