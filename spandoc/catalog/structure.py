@@ -31,11 +31,12 @@ def family_query(source: str, families):
     def run(spark, sf):
         spans_of, ents_of, scheme, _, _ = SOURCES[source]
         spans, ents = spans_of(spark, sf), ents_of(spark, sf)
-        ranks = 0
+        rows = structure.unpivot_features(structure.structure_features(spans, ents, tuple(families), scheme), 6)
         if {"geometry", "boundary_only"} & set(families):
             ranks = structure.max_rank_count(spans, ents.filter("split = 'train'"), scheme)
-        wide = structure.structure_features(spans, ents, tuple(families), scheme, ranks)
-        return structure.unpivot_features(wide, 6)
+            slots = structure.slot_rows(spans, ents, scheme, ranks)
+            rows = rows.unionByName(slots.withColumn("value", F.round("value", 6)).filter("value <> 0"))
+        return rows
 
     return run
 

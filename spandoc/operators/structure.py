@@ -246,3 +246,12 @@ def rank_slots(spans: DataFrame, entities: DataFrame, scheme: LabelScheme = DEFA
     return ranked.join(entities.select("entity_id", "char_count"), "entity_id").select(
         "entity_id", (F.col("rank") - 1).alias("rank"),
         (F.col("start_at") / n).alias("start_share"), ((F.col("end_at") + 1) / n).alias("end_share"))
+
+
+def slot_rows(spans: DataFrame, entities: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME, max_ranks: int | None = None) -> DataFrame:
+    """Rank slots as feature rows (entity_id, feature, value), zeros left out."""
+    both = F.explode(F.array(*[
+        F.struct(F.concat(F.lit(f"pos_{side}_rank_"), "rank").alias("feature"), F.col(f"{side}_share").alias("value"))
+        for side in ("start", "end")]))
+    rows = rank_slots(spans, entities, scheme, max_ranks).select("entity_id", both.alias("x"))
+    return rows.select("entity_id", "x.*").filter("value <> 0")

@@ -115,10 +115,7 @@ def condition_rows(name: str, spans: DataFrame, entities: DataFrame, scheme: Lab
     if not {"geometry", "boundary_only"} & set(resolve(name).families):
         return rows
     ranks = structure.max_rank_count(spans, entities.filter("split = 'train'"), scheme)
-    slots = structure.rank_slots(spans, entities, scheme, ranks)
-    both = F.explode(F.array(*[
-        F.struct(F.concat(F.lit(f"pos_{side}_rank_"), "rank").alias("feature"), F.col(f"{side}_share").alias("value")) for side in ("start", "end")]))
-    return rows.unionByName(slots.select("entity_id", both.alias("x")).select("entity_id", "x.*").filter("value <> 0"))
+    return rows.unionByName(structure.slot_rows(spans, entities, scheme, ranks))
 
 
 # Family under which the names of a condition's family are listed, where the two differ.
