@@ -21,6 +21,11 @@ def hex_digits(value: Column) -> Column:
     return F.lpad(F.lower(F.hex(value)), 16, "0")
 
 
+def sized(ids: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A stored table of ids, marked for broadcast if it has no more than ``rows`` of them."""
+    return F.broadcast(ids) if ids.count() <= rows else ids
+
+
 class Space:
     """Intermediate tables below the folder that ``spark.checkpoint.dir`` names.
 

@@ -1,7 +1,13 @@
-"""Near copies: SimHash fingerprints linked through multi-index hashing."""
+"""Near copies: SimHash fingerprints linked through multi-index hashing.
+
+``near_copies`` links by fingerprints alone.  ``similar_copies`` looks further, up to a similarity of the texts'
+shingle sets: fingerprints of such texts may differ in ten bits and more, so bands of smallest hashes are a
+second index beside the fingerprint's, and the sets themselves decide about every candidate.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from spandoc.llm.common import Space, heavy_join
+from spandoc.llm.common import Space, heavy_join, sized
 from spandoc.llm.graph import components
 
 BITS = 64
@@ -17,27 +23,42 @@ BITS = 64
 DENSE = 64
 # ... and above this many they are first dealt over sub-buckets by further bits.
 SPLIT = 20_000
+# Texts of a bucket of ``similar_copies`` up to which all its pairs are compared; above it leaders are.
+FEW = 8
+# Pairs that one copy of a leader's shingles serves.
+SHARE = 1000
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """SimHash over the ``width``-word shingles of ``text``, as a signed 64-bit integer."""
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # bytes: only A-Z, only ASCII blanks
+
+
+def _shingles(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 of every run of ``width`` words (fewer words: of all of them), repeats included."""
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode().lower().split()  # bytes: only A-Z, only ASCII blanks
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     end = np.cumsum(size) - 1
     start = end - size + 1
     n = max(1, len(words) - width + 1)
     pairs = zip(start[:n].tolist(), end[min(width, len(words)) - 1:].tolist())
-    ones, half = np.zeros(BITS, np.int64), n
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in pairs), np.uint64, n)
-    for i in range(0, n, 65536):
+    return np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in pairs), np.uint64, n)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), 65536):
         block = hashes[i:i + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > half, bitorder="little").view("<i8")[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """SimHash over the ``width``-word shingles of ``text``, as a signed 64-bit integer."""
+    return _majority(_shingles(_words(text), width))
 
 
 def fingerprints(entities: DataFrame, width: int = 4) -> DataFrame:
@@ -153,3 +174,152 @@ def near_copies(entities: DataFrame, distance: int = 4, width: int = 4, segments
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = space.write(rooted.join(smallest, "root").select("fp", "component_id", "n"))
     return heavy_join(docs, named, "fp", "n").select("entity_id", F.col("fp").alias("fingerprint"), "component_id")
+
+
+def _bands(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
+    """One key per band: the smallest of ``hashes`` under ``rows`` keyed multipliers, hashed together."""
+    from xxhash import xxh64_intdigest
+
+    if not len(hashes):
+        return []
+    draw = np.random.default_rng(42)
+    factor = draw.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    shift = draw.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 8192):
+        least = np.minimum(least, (hashes[i:i + 8192, None] * factor + shift).min(axis=0))
+    return np.array([xxh64_intdigest(b.tobytes(), 42) for b in least.reshape(bands, rows)], np.uint64).view(np.int64).tolist()
+
+
+def _node(words: list[bytes]) -> bytes:
+    return hashlib.md5(b" ".join(words)).digest()
+
+
+def sketches(entities: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """(entity_id, node, fp, marks) of every row: identity of its word sequence, fingerprint, band keys."""
+    rows_in = entities.select("entity_id", "text")
+    schema = T.StructType([
+        rows_in.schema["entity_id"], T.StructField("node", T.BinaryType()), T.StructField("fp", T.LongType()),
+        T.StructField("marks", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, fp, marks = [], [], []
+            for text in b.column(1):
+                words = _words(text.as_py())
+                hashes = _shingles(words, width)
+                node.append(_node(words))
+                fp.append(_majority(hashes))
+                marks.append(_bands(np.unique(hashes), bands, rows))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(node, pa.binary()), pa.array(fp, pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
+                ["entity_id", "node", "fp", "marks"])
+
+    return rows_in.mapInArrow(run, schema)
+
+
+def _shingle_sets(entities: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the distinct shingle hashes of every row, cut to 32 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                words = [_words(x.as_py()) for x in b.column(0).slice(i, 256)]
+                sets = [np.unique(_shingles(w, width).astype(np.uint32)).view(np.int32) for w in words]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_node(w) for w in words], pa.binary()), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
+
+    return entities.select("text").mapInArrow(run, "node binary, shingles array<int>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose shingle sets have at least that Jaccard similarity.
+
+    A text paired with very many others has its set copied once per SHARE of them, so no task meets them all.
+    """
+    counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("slots", F.ceil(F.col("n") / SHARE).cast("int"))
+    salted = heavy_join(pairs, counts, "b", "n").withColumn("slot", F.pmod(F.xxhash64("a"), "slots").cast("int")).drop("slots")
+    right = (
+        sets.withColumnRenamed("node", "b").join(counts.drop("n"), "b")
+        .select("b", F.col("shingles").alias("other"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot")))
+    met = salted.join(sets.withColumnRenamed("node", "a"), "a").join(right, ["b", "slot"])
+    # Sets of too different sizes cannot reach the limit; that spares their intersection.
+    least, most = F.least(F.size("shingles"), F.size("other")), F.greatest(F.size("shingles"), F.size("other"))
+    common = F.size(F.array_intersect("shingles", "other"))
+    total = F.size("shingles") + F.size("other")
+    return met.filter(least >= most * similarity).filter(common >= (total - common) * F.lit(similarity)).select("a", "b").distinct()
+
+
+def _spread(index: DataFrame) -> DataFrame:
+    """``index`` (seg, mark, node) with the number of nodes per bucket, buckets of one left out."""
+    counts = index.groupBy("seg", "mark").agg(F.count(F.lit(1)).alias("n"))
+    return heavy_join(index, counts.filter("n > 1").withColumn("size", F.col("n")), ["seg", "mark"], "n")
+
+
+def _pairs_of(members: DataFrame) -> DataFrame:
+    left, right = members.select("seg", "mark", F.col("node").alias("a")), members.select("seg", "mark", F.col("node").alias("b"))
+    return left.join(right, ["seg", "mark"]).filter("a > b").select("a", "b").distinct()
+
+
+def similar_links(entities: DataFrame, docs: DataFrame, classes: DataFrame, space: Space, similarity: float, width: int,
+                  distance: int, segments: int) -> DataFrame:
+    """Edges (a, b) between nodes whose shingle sets are similar, enough to connect the classes.
+
+    Candidates share a bucket: a band's key, or the chain of fingerprints within ``distance`` bits.  Buckets of
+    FEW texts compare all their pairs.  In larger ones all texts meet the bucket's leaders, whose number doubles
+    from round to round; whoever is similar to one is linked and leaves, leaders leave too, and the rest goes on.
+    """
+    chains = components(links(classes.select("fp").distinct(), distance, segments), space).withColumnRenamed("node", "fp")
+    rooted = classes.join(chains, "fp", "left").select(F.lit(-1).alias("seg"), F.coalesce("root", "fp").alias("mark"), "node")
+    banded = docs.select("node", F.posexplode("marks").alias("seg", "mark")).distinct().select("seg", "mark", "node")
+    index = space.write(rooted.unionByName(banded))
+    members = space.write(_spread(index))
+    space.drop(index)
+
+    wanted = space.write(members.select("node").distinct().join(classes, "node").select(F.col("first").alias("id")))
+    wanted_ids = sized(wanted)
+    sets = space.write(_shingle_sets(entities.join(wanted_ids, entities.entity_id.eqNullSafe(wanted_ids.id), "left_semi"), width))
+
+    pairs = space.write(_pairs_of(members.filter(F.col("size") <= FEW)))
+    found = space.write(_similar(pairs, sets, similarity))
+    live = space.write(members.filter(F.col("size") > FEW).select("seg", "mark", "node"))
+    leaders = 1
+    while not live.isEmpty():
+        drawn = F.xxhash64("node")
+        least = live.groupBy("seg", "mark", F.pmod(drawn, F.lit(leaders)).alias("part")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct(drawn.alias("h"), "node")).alias("least"))
+        tops = space.write(least.groupBy("seg", "mark").agg(F.sum("n").alias("n"), F.collect_list("least.node").alias("tops")))
+        met = space.write(
+            heavy_join(live, tops, ["seg", "mark"], "n").select("seg", "mark", "node", F.explode("tops").alias("top")))
+        pairs = space.write(met.filter("node <> top").select(F.greatest("node", "top").alias("a"), F.least("node", "top").alias("b")).distinct())
+        more = space.write(_similar(pairs, sets, similarity))
+        both = more.select(F.col("a").alias("node"), F.col("b").alias("top")).unionByName(more.select(F.col("b").alias("node"), F.col("a").alias("top")))
+        gone = met.join(both, ["node", "top"], "left_semi").unionByName(met.filter("node = top")).select("seg", "mark", "node").distinct()
+        members = space.write(_spread(live.join(gone, ["seg", "mark", "node"], "left_anti")))
+        few = space.write(_similar(space.write(_pairs_of(members.filter(F.col("size") <= FEW))), sets, similarity))
+        found = found.unionByName(more).unionByName(few)
+        live = space.write(members.filter(F.col("size") > FEW).select("seg", "mark", "node"))
+        leaders *= 2
+    return found.distinct()
+
+
+def similar_copies(entities: DataFrame, similarity: float = 0.8, width: int = 5, distance: int = 4, segments: int = 3,
+                   bands: int = 8, rows: int = 4) -> DataFrame:
+    """Near-copy class of every entity by the similarity of the texts.
+
+    ``entities`` has ``entity_id`` and ``text`` (other columns are ignored).  Words and shingles are those of
+    ``near_copies``, ``width`` words each.  Entities of equal words are one text; texts are linked if the Jaccard
+    similarity of their sets of shingles is at least ``similarity``, and found if they share a chain of
+    fingerprints or one of ``bands`` bands of ``rows`` smallest hashes: at the limit of 0.8 a pair of texts
+    shares a band with probability 0.985.  Returns one row per input row: entity_id, component_id, the smallest
+    entity_id reachable.  Null and empty texts are one text without shingles, linked with no other.  Null ids
+    keep their row; a class of null ids only has a null component_id.
+    """
+    space = Space(entities.sparkSession)
+    docs = space.write(sketches(entities, width, bands, rows))
+    classes = space.write(docs.groupBy("node").agg(F.min("entity_id").alias("first"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")))
+    edges = similar_links(entities, docs, classes, space, similarity, width, distance, segments)
+    rooted = classes.join(components(edges, space), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = space.write(rooted.join(smallest, "root").select("node", "component_id", "n"))
+    return heavy_join(docs.select("entity_id", "node"), named, "node", "n").select("entity_id", "component_id")

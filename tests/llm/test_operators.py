@@ -658,3 +658,87 @@ def test_empty_tables(spark, empty, tokenizer):
     for df in (lines.drop_repeated_lines(empty), sharding.extendible_shards(empty), simhash.near_copies(empty), secret_scan.secret_spans(empty),
                decontam.contamination(empty, items), bpe.encode(empty, *tokenizer), topk.exact_top_k(none, none)):
         assert df.count() == 0
+
+
+# similar texts
+
+
+def shingle_set(text, width=5):
+    w = words(text)
+    return {tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def similar_by_hand(texts, similarity=0.8):
+    """component per position: equal words or Jaccard similarity of five-word shingles, over chains."""
+    sets = [shingle_set(t) for _, t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a == b or (a and b and len(a & b) >= similarity * len(a | b)):
+                x, y = top(i), top(j)
+                root[max(x, y)] = min(x, y)
+    least = {}
+    for i, (e, _) in enumerate(texts):
+        if e is not None:
+            least[top(i)] = min(e, least.get(top(i), e))
+    return [least.get(top(i)) for i in range(len(texts))]
+
+
+def edited(rng, text, share):
+    w = text.split()
+    for i in rng.sample(range(len(w)), max(1, round(len(w) * share))):
+        w[i] = f"edit{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("few", [8, 2])
+def test_similar_copies_against_all_pairs(spark, monkeypatch, few):
+    """Copies far above the limit, chains of them, a crowded bucket, short, null and empty texts, repeated and null ids."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "SHARE", 5)
+    rng = random.Random(11)
+    base = [" ".join(f"w{rng.randrange(3000)}" for _ in range(300)) for _ in range(6)]
+    texts = [(None, "null id text"), (50, None), (51, ""), (52, " \t"), (53, "one two"), (54, "One  two"), (55, "one two three")]
+    for b in base:
+        texts += [(100 + len(texts), b), (100 + len(texts), b.upper().replace("W", "w")), (100 + len(texts) + 1, edited(rng, b, 0.004))]
+    texts += [(300 + i, edited(rng, base[0], 0.007)) for i in range(30)]
+    chain = base[1]
+    for i in range(5):
+        chain = edited(rng, chain, 0.012)
+        texts.append((400 + i, chain))
+    # one common passage in unlike texts
+    texts += [(500 + i, base[2][:700] + " " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(120))) for i in range(12)]
+    texts += [(53, "one two"), (53, "something else entirely"), (9, base[3])]
+    frame = spark.createDataFrame(texts, ENTITY).withColumn("component_id", F.lit("clash"))
+    got = sorted(map(str, ((r.entity_id, r.component_id) for r in simhash.similar_copies(frame).collect())))
+    want = sorted(map(str, zip([e for e, _ in texts], similar_by_hand(texts))))
+    assert got == want
+
+
+def test_recall_of_similar_copies(spark):
+    """Planted copies of similarity 0.8 to 1, per step of 0.05: at least 0.9 are found, and nothing below 0.8 is linked."""
+    rng = random.Random(12)
+    texts, pairs = [], []
+    for n in range(400):
+        size = rng.randrange(80, 400)
+        text = " ".join(f"w{rng.randrange(20000)}" for _ in range(size))
+        copy = edited(rng, text, rng.uniform(0.002, 0.03))
+        a, b = shingle_set(text), shingle_set(copy)
+        texts += [(2 * n, text), (2 * n + 1, copy)]
+        pairs.append((2 * n, len(a & b) / len(a | b)))
+    got = {r.entity_id: r.component_id for r in simhash.similar_copies(spark.createDataFrame(texts, ENTITY)).collect()}
+    for low in (0.8, 0.85, 0.9, 0.95):
+        step = [got[e + 1] == e for e, s in pairs if low <= s <= low + 0.05]
+        assert len(step) > 20 and sum(step) >= 0.9 * len(step)
+    assert all(got[e + 1] == e + 1 for e, s in pairs if s < 0.8)
+
+
+def test_similar_copies_of_an_empty_table(spark):
+    assert simhash.similar_copies(spark.createDataFrame([], ENTITY)).count() == 0

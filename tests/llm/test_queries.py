@@ -75,13 +75,13 @@ def test_main_text_of_the_pages(spark):
 
 
 def test_pipeline_against_its_stages_by_hand(spark):
-    from tests.llm.test_operators import classes_by_hand, contaminated_by_hand, lines_by_hand, print_by_hand
+    from tests.llm.test_operators import contaminated_by_hand, lines_by_hand, similar_by_hand
 
     docs = {d.doc_id: d.text for d in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     scores = {r.doc_id: r.predicted for r in queries.QUERIES["op7_quality_classifier"](spark, SF).collect()}
     rows = [(i, t) for i, t in docs.items() if scores[i]]
     texts = {e: t for e, t, _, _ in lines_by_hand(rows)}
-    classes = classes_by_hand({i: print_by_hand(t) for i, t in texts.items()})
+    classes = dict(zip(texts, similar_by_hand(list(texts.items()))))
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = {i: t for i, t in texts.items() if classes[i] == i and not contaminated_by_hand(t, items)[-1]}
     got = {r.doc_id: r.text for r in corpus_pipeline.run(spark, SF).collect()}
