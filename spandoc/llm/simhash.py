@@ -266,8 +266,8 @@ def similar_links(entities: DataFrame, docs: DataFrame, classes: DataFrame, spac
     """Edges (a, b) between nodes whose shingle sets are similar, enough to connect the classes.
 
     Candidates share a bucket: a band's key, or the chain of fingerprints within ``distance`` bits.  Buckets of
-    FEW texts compare all their pairs.  In larger ones all texts meet the bucket's leaders, whose number doubles
-    from round to round; whoever is similar to one is linked and leaves, leaders leave too, and the rest goes on.
+    FEW texts compare all their pairs.  In larger ones all texts meet the bucket's leaders, whose number grows
+    fourfold from round to round; whoever is similar to one is linked and leaves, leaders leave too, and the rest goes on.
     """
     chains = components(links(classes.select("fp").distinct(), distance, segments), space).withColumnRenamed("node", "fp")
     rooted = classes.join(chains, "fp", "left").select(F.lit(-1).alias("seg"), F.coalesce("root", "fp").alias("mark"), "node")
@@ -280,26 +280,24 @@ def similar_links(entities: DataFrame, docs: DataFrame, classes: DataFrame, spac
     wanted_ids = sized(wanted)
     sets = space.write(_shingle_sets(entities.join(wanted_ids, entities.entity_id.eqNullSafe(wanted_ids.id), "left_semi"), width))
 
-    pairs = space.write(_pairs_of(members.filter(F.col("size") <= FEW)))
-    found = space.write(_similar(pairs, sets, similarity))
-    live = space.write(members.filter(F.col("size") > FEW).select("seg", "mark", "node"))
-    leaders = 1
-    while not live.isEmpty():
+    found, leaders = None, 4
+    while found is None or not members.isEmpty():
+        few, live = members.filter(F.col("size") <= FEW), members.filter(F.col("size") > FEW)
         drawn = F.xxhash64("node")
         least = live.groupBy("seg", "mark", F.pmod(drawn, F.lit(leaders)).alias("part")).agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct(drawn.alias("h"), "node")).alias("least"))
         tops = space.write(least.groupBy("seg", "mark").agg(F.sum("n").alias("n"), F.collect_list("least.node").alias("tops")))
         met = space.write(
             heavy_join(live, tops, ["seg", "mark"], "n").select("seg", "mark", "node", F.explode("tops").alias("top")))
-        pairs = space.write(met.filter("node <> top").select(F.greatest("node", "top").alias("a"), F.least("node", "top").alias("b")).distinct())
+        led = met.filter("node <> top").select(F.greatest("node", "top").alias("a"), F.least("node", "top").alias("b"))
+        pairs = space.write(led.unionByName(_pairs_of(few)).distinct())
         more = space.write(_similar(pairs, sets, similarity))
+        found = more if found is None else found.unionByName(more)
         both = more.select(F.col("a").alias("node"), F.col("b").alias("top")).unionByName(more.select(F.col("b").alias("node"), F.col("a").alias("top")))
         gone = met.join(both, ["node", "top"], "left_semi").unionByName(met.filter("node = top")).select("seg", "mark", "node").distinct()
-        members = space.write(_spread(live.join(gone, ["seg", "mark", "node"], "left_anti")))
-        few = space.write(_similar(space.write(_pairs_of(members.filter(F.col("size") <= FEW))), sets, similarity))
-        found = found.unionByName(more).unionByName(few)
-        live = space.write(members.filter(F.col("size") > FEW).select("seg", "mark", "node"))
-        leaders *= 2
+        left = space.write(live.select("seg", "mark", "node").join(gone, ["seg", "mark", "node"], "left_anti"))
+        members = space.write(_spread(left))
+        leaders *= 4
     return found.distinct()
 
 
