@@ -21,8 +21,9 @@ from spandoc.llm.graph import components
 BITS = 64
 # Buckets above this many fingerprints are clustered in one task each instead of joined pair by pair ...
 DENSE = 64
-# ... and above this many they are first dealt over sub-buckets by further bits.
+# ... groups above this many are dealt over smaller ones, those above CUT times as many by bits outside their segment.
 SPLIT = 20_000
+CUT = 8
 # Texts of a bucket of ``similar_copies`` up to which all its pairs are compared; above it leaders are.
 FEW = 8
 # Pairs that one copy of a leader's shingles serves.
@@ -111,6 +112,62 @@ def _cluster(fps: np.ndarray, distance: int) -> np.ndarray:
     return root
 
 
+def _members(lookups: DataFrame, counts: DataFrame, space: Space) -> DataFrame:
+    """(seg, key, fp) of all that look into the buckets of ``counts``; crowded buckets are broadcast, being no more than rows / SPLIT."""
+    crowded = space.write(counts.filter(F.col("n") > SPLIT).select("seg", "key"))
+    rest = counts.filter(F.col("n") <= SPLIT).select("seg", "key")
+    found = lookups.select("seg", "key", "fp")
+    if crowded.isEmpty():
+        return found.join(rest, ["seg", "key"])
+    crowded = sized(crowded)
+    return found.join(crowded, ["seg", "key"]).unionByName(found.join(crowded, ["seg", "key"], "left_anti").join(rest, ["seg", "key"]))
+
+
+def bounded_groups(members: DataFrame, distance: int, segments: int, space: Space) -> DataFrame:
+    """``members`` (seg, key, fp) dealt over groups (seg, key, path) of about SPLIT fingerprints at most.
+
+    Fingerprints of a bucket that are within ``distance`` bits agree in one of ``distance`` + 1 pieces of the bits
+    outside the segment.  A group above CUT * SPLIT puts each member into one group per piece, keyed by the bits there;
+    what is left of the bits is cut again while a group is that large.  Smaller ones, and those without bits
+    left, are dealt into parts, and every two parts meet in a group.  Each close pair stays together in some group.
+    """
+    outside, width = F.lit(None).cast("bigint"), F.lit(None).cast("int")
+    for j, (shift, size, _) in enumerate(_segments(segments, distance)):
+        low = F.col("fp").bitwiseAND(F.lit((1 << shift) - 1))
+        high = F.shiftleft(F.shiftrightunsigned("fp", shift + size), shift) if shift + size < BITS else F.lit(0).cast("bigint")
+        outside = F.when(F.col("seg") == j, low.bitwiseOR(high)).otherwise(outside)
+        width = F.when(F.col("seg") == j, F.lit(BITS - size)).otherwise(width)
+    path = ["seg", "key", "path"]
+    now = space.write(members.select(
+        "seg", "key", F.lit(0).cast("bigint").alias("path"), "fp", outside.alias("bits"), width.cast("int").alias("width")))
+    done = None
+    while True:
+        sizes = now.groupBy(*path).agg(F.count(F.lit(1)).alias("n"), F.max("width").alias("most"))
+        cut = (F.col("n") > CUT * SPLIT) & (F.col("most") > distance)
+        large = space.write(sizes.filter(F.col("n") > SPLIT).select(*path, "n", cut.alias("cut")))
+        if large.isEmpty():
+            rest = now.select(*path, "fp")
+            return rest if done is None else done.unionByName(rest)
+        again = not large.filter("cut").isEmpty()
+        large = sized(large)
+        parts = F.ceil(F.col("n") * 3 / SPLIT).cast("int")
+        part, other = F.pmod(F.xxhash64("fp"), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
+        met = now.join(large.filter("not cut"), path).withColumn("part", part).withColumn("other", other).select(
+            "seg", "key", F.xxhash64("path", F.least("part", "other"), F.greatest("part", "other")).alias("path"), "fp")
+        ready = space.write(now.join(large.select(*path), path, "left_anti").select(*path, "fp").unionByName(met))
+        done = ready if done is None else done.unionByName(ready)
+        if not again:
+            return done
+        pieces = now.join(large.filter("cut").select(*path), path, "left_semi").withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(distance))))
+        start, stop = (f"cast(floor(width * {x} / {distance + 1}) as int)" for x in ("piece", "(piece + 1)"))
+        now = space.write(
+            pieces.withColumn("start", F.expr(start)).withColumn("stop", F.expr(stop))
+            .withColumn("own", F.expr("shiftrightunsigned(bits, start) & (shiftleft(1L, stop - start) - 1)"))
+            .select("seg", "key", F.xxhash64("path", "piece", "own").alias("path"), "fp",
+                    F.expr("(bits & (shiftleft(1L, start) - 1)) | shiftleft(shiftrightunsigned(bits, stop), start)").alias("bits"),
+                    F.expr("width - (stop - start)").alias("width")))
+
+
 def links(prints: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
     """Edges (a, b) between the distinct values of ``prints`` (column ``fp``): enough of the pairs within
     ``distance`` bits to connect whatever all of them connect.
@@ -118,8 +175,8 @@ def links(prints: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
     Multi-index hashing: a table per segment holds the fingerprints by the bits of that segment; each
     fingerprint looks up the Hamming ball around its own bits (of radius one only the half with a bit
     set more, the other half finds it from the other side), and complete distances decide.
-    Buckets of many fingerprints are not paired but clustered, which gives one edge per
-    fingerprint and bucket.
+    Buckets of many fingerprints are not paired but clustered, in groups of bounded size, which gives one edge per
+    fingerprint and group.
     """
     fp = F.col("fp")
     stored, probes = [], []
@@ -129,20 +186,15 @@ def links(prints: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
         probes.append(_ball(j, key, width if radius else 0))
     table = prints.select("fp", F.inline(F.array(*stored)))
     lookups = prints.select("fp", F.inline(F.flatten(F.array(*probes))))
-    counts = table.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > DENSE)
+    space = Space(prints.sparkSession)
+    counts = space.write(table.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > DENSE))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance
     light = (
         lookups.join(table.join(counts, ["seg", "key"], "left_anti").withColumnRenamed("fp", "other"), ["seg", "key"])
         .filter(close & (~F.col("own") | (F.col("fp") < F.col("other"))))
         .select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b"))
     )
-    sub = BITS // (distance + 1) + 1
-    crowded = F.col("n") > SPLIT
-    cuts = F.array(*[
-        F.struct(F.lit(i).alias("part"), _field(fp, i * sub, min(sub, BITS - i * sub)).alias("bits")) for i in range(distance + 1)
-    ])
-    whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("bigint").alias("bits")))
-    members = lookups.join(counts, ["seg", "key"]).select("seg", "key", "fp", F.inline(F.when(crowded, cuts).otherwise(whole)))
+    groups = bounded_groups(_members(lookups, counts, space), distance, segments, space)
 
     def stars(pdf: pd.DataFrame) -> pd.DataFrame:
         fps = np.unique(pdf["fp"].to_numpy(np.int64))
@@ -150,7 +202,7 @@ def links(prints: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
         moved = root != fps
         return pd.DataFrame({"a": fps[moved], "b": root[moved]})
 
-    dense = members.groupBy("seg", "key", "part", "bits").applyInPandas(stars, "a bigint, b bigint")
+    dense = groups.groupBy("seg", "key", "path").applyInPandas(stars, "a bigint, b bigint")
     return light.unionByName(dense).distinct()
 
 
@@ -240,9 +292,10 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("slots", F.ceil(F.col("n") / SHARE).cast("int"))
     salted = heavy_join(pairs, counts, "b", "n").withColumn("slot", F.pmod(F.xxhash64("a"), "slots").cast("int")).drop("slots")
     right = (
-        sets.withColumnRenamed("node", "b").join(counts.drop("n"), "b")
+        sets.withColumnRenamed("node", "b").hint("merge").join(counts.drop("n"), "b")
         .select("b", F.col("shingles").alias("other"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot")))
-    met = salted.join(sets.withColumnRenamed("node", "a"), "a").join(right, ["b", "slot"])
+    # Sets grow with the corpus and are several times their stored size in memory: never broadcast.
+    met = salted.join(sets.withColumnRenamed("node", "a").hint("merge"), "a").join(right.hint("merge"), ["b", "slot"])
     # Sets of too different sizes cannot reach the limit; that spares their intersection.
     least, most = F.least(F.size("shingles"), F.size("other")), F.greatest(F.size("shingles"), F.size("other"))
     common = F.size(F.array_intersect("shingles", "other"))
@@ -258,7 +311,7 @@ def _spread(index: DataFrame) -> DataFrame:
 
 def _pairs_of(members: DataFrame) -> DataFrame:
     left, right = members.select("seg", "mark", F.col("node").alias("a")), members.select("seg", "mark", F.col("node").alias("b"))
-    return left.join(right, ["seg", "mark"]).filter("a > b").select("a", "b").distinct()
+    return left.join(right.hint("merge"), ["seg", "mark"]).filter("a > b").select("a", "b").distinct()
 
 
 def similar_links(entities: DataFrame, docs: DataFrame, classes: DataFrame, space: Space, similarity: float, width: int,
