@@ -32,6 +32,9 @@ MATCH_STATUSES = (
 )
 PROCEED_SHARE = 0.95
 EXCLUSIONS_SHARE = 0.85
+# Spans of an entity that meet its text in one row, and entities above that whose number of rows is broadcast.
+SPANS_PER_ROW = 10_000
+BROADCAST_ENTITIES = 1_000_000
 
 
 def profile(sources: dict[str, DataFrame], entity: str, important: list[str]) -> DataFrame:
@@ -168,14 +171,29 @@ def span_match_status(text_length: Column, sliced: Column, start: Column, end: C
     )
 
 
+def _dealt(annotated: DataFrame) -> DataFrame:
+    """``annotated`` with a slot, of about SPANS_PER_ROW spans of an entity at most; one slot unless an entity has more."""
+    counts = annotated.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPANS_PER_ROW)
+    crowded = counts.select("entity_id", F.ceil(F.col("n") / SPANS_PER_ROW).alias("slots"))
+    n = crowded.count()
+    if not n:
+        return annotated.withColumn("slot", F.lit(0).cast("bigint"))
+    if n <= BROADCAST_ENTITIES:
+        crowded = F.broadcast(crowded)
+    slot = F.pmod(F.xxhash64("k", "start_at", "end_at"), F.coalesce("slots", F.lit(1)))
+    return annotated.join(crowded, "entity_id", "left").withColumn("slot", slot).drop("slots")
+
+
 def match_statuses(spans: DataFrame, texts: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:
     """Annotated spans with their text length and match status.
 
     Texts never travel with the spans: the borders of an entity's spans meet its one text row,
-    and only the slices go on.
+    and only the slices go on.  Entities of more than SPANS_PER_ROW spans are dealt over several such rows,
+    so no row or task holds all spans of an entity.
     """
     annotated = spans.filter(F.col("label") != scheme.gap).select("entity_id", "k", "start_at", "end_at", "span_text")
-    borders = annotated.groupBy("entity_id").agg(F.collect_list(F.struct("k", "start_at", "end_at", "span_text")).alias("spans"))
+    borders = _dealt(annotated).groupBy("entity_id", "slot").agg(
+        F.collect_list(F.struct("k", "start_at", "end_at", "span_text")).alias("spans"))
     met = borders.join(texts.select("entity_id", F.coalesce("text", F.lit("")).alias("text")), "entity_id", "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = met.select("entity_id", text.alias("text"), F.length(text).cast("bigint").alias("text_length"), "spans")

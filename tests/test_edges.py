@@ -301,3 +301,19 @@ def test_exemplars_against_picking_one_by_one(spark):
             spark.createDataFrame(ents, "entity_id string, score int, grp string, subgrp string").repartition(3),
             spark.createDataFrame(issues, "entity_id string, partition_status string, annotated_segments int, overlap_pairs int"))
         assert [tuple(r) for r in got.collect()] == picked
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_statuses_of_an_entity_with_many_spans(spark, monkeypatch, broadcast):
+    text = "".join(chr(97 + i % 26) for i in range(500))
+    rows = [("hot", i, i, i + 4, text[i:i + 5] if i % 3 else "no", "Claim") for i in range(498)]
+    rows += [("cold", 0, 0, 1, "ab", "Claim"), ("untold", 0, 0, 1, "ab", "Claim"), (None, 0, 0, 1, "ab", "Claim")]
+    spans = spark.createDataFrame(rows, "entity_id string, k bigint, start_at bigint, end_at bigint, span_text string, label string")
+    texts = spark.createDataFrame([("hot", text), ("cold", "abc")], "entity_id string, text string")
+    want = sorted(map(str, audit.match_statuses(spans, texts).collect()))
+    assert len(want) == len(rows)
+    monkeypatch.setattr(audit, "SPANS_PER_ROW", 50)
+    monkeypatch.setattr(audit, "BROADCAST_ENTITIES", broadcast)
+    assert sorted(map(str, audit.match_statuses(spans, texts).collect())) == want
+    held = audit._dealt(spans).groupBy("entity_id", "slot").count().collect()
+    assert max(r["count"] for r in held) <= 100 and sum(r["count"] for r in held) == len(rows)
